@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``, without a job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def parts(df: DataFrame, mb: float, least: int | None = None) -> int:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, packing, pii, quality
+from . import exact_dedup, html_text, packing, pii, quality, warc
 
 
 def tokenizer(name: str) -> str:
@@ -13,6 +13,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_zip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_warc_zip": op2_warc_zip,
+    "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op8_block_naming": op8_block_naming,
     "op9_pii": op9_pii,
@@ -39,6 +49,12 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op2_warc_zip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+             d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
                           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
