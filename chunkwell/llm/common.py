@@ -57,3 +57,21 @@ def parts(df: DataFrame, mb: float, least: int | None = None) -> int:
     """So many partitions that each gets about ``mb`` MB of ``df``, by Catalyst's estimate."""
     least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, int(input_bytes(df) / (mb * 1e6)) + 1))
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, label) of each node of ``edges`` (a, b): the smallest node of its connected component.
+
+    Minimum labels spread over the edges, then each label takes the label of its own node (pointer jumping), until none
+    changes; one count a round comes to the driver. Aggregates are partial and the joins can be split, so hubs do no harm.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), f"{name}-edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
+    while True:
+        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
+        nearer = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
+        nearer = written(nearer, f"{name}-near")
+        own = nearer.select(F.col("node").alias("via"), F.col("label").alias("to"))
+        labels = written(nearer.join(own, nearer["label"] == own["via"]).select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")), f"{name}-labels")
+        if not labels.agg(F.coalesce(F.max("moved"), F.lit(False))).first()[0]:
+            return labels.select("node", "label")

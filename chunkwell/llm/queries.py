@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, html_text, packing, pii, quality, warc
+from . import exact_dedup, html_text, ngram_join, packing, pii, quality, warc
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +25,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_block_naming(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op2_warc_zip": op2_warc_zip,
     "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op8_block_naming": op8_block_naming,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
