@@ -37,8 +37,8 @@ def _named(rows: DataFrame, content: list[str], carry: list[str]) -> DataFrame:
     names = rows.groupBy(*content).agg(F.min(F.struct("doc_id", "idx")).alias("f")).select(*content, F.col("f.doc_id").alias("name_doc"), F.col("f.idx").alias("name_idx"))
     left, right = rows.alias("l"), names.alias("r")
     same = F.lit(True)
-    for c in content:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    for c in content:  # blocks are never null, and a plain equality keeps the aggregate's partitioning, so they aren't shuffled again
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}") if c == "block" else F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")))
     return left.join(right, same).select(*[F.col(f"l.{c}") for c in carry], "r.name_doc", "r.name_idx")
 
 
