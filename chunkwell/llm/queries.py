@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, html_text, ngram_join, packing, pii, quality, warc
+from . import exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, warc
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,10 @@ def op2_warc_zip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     "op2_warc_zip": op2_warc_zip,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
