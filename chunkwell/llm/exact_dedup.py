@@ -37,11 +37,26 @@ def _named(rows: DataFrame, content: list[str], carry: list[str]) -> DataFrame:
     names = rows.groupBy(*content).agg(F.min(F.struct("doc_id", "idx")).alias("f")).select(*content, F.col("f.doc_id").alias("name_doc"), F.col("f.idx").alias("name_idx"))
     left, right = rows.alias("l"), names.alias("r")
     same = F.lit(True)
-    for c in content:  # blocks are never null, and a plain equality keeps the aggregate's partitioning, so they aren't shuffled again
-        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}") if c == "block" else F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")))
+    for c in content:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     return left.join(right, same).select(*[F.col(f"l.{c}") for c in carry], "r.name_doc", "r.name_idx")
 
 
+def _named_blocks(blocks: DataFrame) -> DataFrame:
+    """The first level: blocks are sorted and named by their bytes, and the names go back to the rows by a digest.
+
+    The digest is an address only: two blocks of one digest would be seen below, and then names go back by bytes. So
+    the bytes are shuffled once, for the sort, after each task has dropped its repeats, and rows of a frequent block
+    meet its name in a join that adaptive execution can split.
+    """
+    names = blocks.groupBy("block").agg(F.min(F.struct("doc_id", "idx")).alias("f"))
+    names = written(names.select(F.unhex(F.sha2("block", 256)).alias("digest"), F.col("f.doc_id").alias("name_doc"), F.col("f.idx").alias("name_idx")), "blocks")
+    if not names.groupBy("digest").count().where("count > 1").isEmpty():
+        return _named(blocks, ["block"], CARRY)
+    rows = blocks.select(*CARRY, F.unhex(F.sha2("block", 256)).alias("at"))
+    return rows.join(names.hint("merge"), F.col("at") == F.col("digest")).select(*CARRY, "name_doc", "name_idx")
+
+
 CARRY = ["rid", "doc_id", "idx", "n", "n_blocks", "sha"]
 
 
@@ -61,7 +76,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     blocks = text.withColumn("n", n).select("rid", "doc_id", "n", F.col("n").alias("n_blocks"), F.posexplode(cut).alias("pos", "b"))
     blocks = blocks.select("rid", "doc_id", F.col("pos").cast("long").alias("idx"), "n", "n_blocks", F.col("b.sha").alias("sha"), F.col("b.block").alias("block"))
-    level = written(_named(blocks, ["block"], CARRY), "names-0")
+    level = written(_named_blocks(blocks), "names-0")
     done = level.where("n = 1")
     longest = level.agg(F.max("n")).first()[0] or 1
     k = 0
