@@ -242,7 +242,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     units = max(1, int((placed.agg(F.sum("n_grams")).first()[0] or 0) / BLOCK_GRAMS) + 1)
     # A block meets every block of its component, itself included; a small component has one block and shares its unit with others.
     other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    with_text = placed.join(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Merged at every size: neither side has a bound, and shuffles then grow as the input does.
+    with_text = placed.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
     spread = with_text.select("comp", "rid", "digest", "text", "block", "blocks", other.alias("other")).select(
         "comp", "rid", "digest", "text", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
         F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(comp), {units}L)")).otherwise(F.col("comp")).alias("unit"), (F.col("blocks") == 1).alias("small"),
