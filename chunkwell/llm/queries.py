@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, warc
+from . import exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +25,11 @@ def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_warc_zip": op2_warc_zip,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_block_naming": op8_block_naming,
