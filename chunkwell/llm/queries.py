@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc
+from . import exact_dedup, html_text, ngram_join, packing, pii, quality, sentencepiece_scan, suffix_dedup, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -13,6 +13,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark, sf_dir):
+    model = tokenizer("piece_bpe_32k.model")
+    return sentencepiece_scan.digests(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op2_warc_zip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -51,6 +56,7 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc_zip": op2_warc_zip,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
