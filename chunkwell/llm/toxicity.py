@@ -43,7 +43,7 @@ FUZZY_ODDS = 4.5
 EDITED = 0.6
 NEAR = 6
 
-WORD = re.compile(r"[\w@$*]+|[\"“”«»„]")
+WORD = re.compile(r"\w+(?:[@$*]+\w+)*|[\"“”«»„]")
 MARKS = frozenset("\"“”«»„")
 REPORTED = frozenset("said says saying quote quoted quotes called calls calling word words term terms wrote dit disait mot sagte wort dijo palabra".split())
 SECOND = frozenset("you your yours youre u ur tu toi te vous du dich dir ihr euch tú ti usted ustedes eres bist es".split())
@@ -51,7 +51,7 @@ SECOND = frozenset("you your yours youre u ur tu toi te vous du dich dir ihr euc
 
 def words(text: str) -> list[str]:
     """Words in order, folded, and quotation marks."""
-    return [w.strip("@$*_") or w for w in WORD.findall(text.casefold())]
+    return WORD.findall(text.casefold())
 
 
 def terms_of(found: set[str]) -> set[str]:
@@ -69,17 +69,14 @@ class Trie:
 
     def __init__(self, weights: dict[str, float]):
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
+        self.shorter: set[str] = set()  # whole words that may be misspelt, and what one deletion leaves of them
         for term, weight in weights.items():
             node = self.root
             for c in term[:-1]:
                 node = node.setdefault(c, {})
             node[term[-1]] = weight  # under "$" for a whole word, "*" for a stem
             if term[-1] == "$" and len(term) > FUZZY and weight >= FUZZY_ODDS:
-                w, half = term[:-1], (len(term) - 1) // 2
-                self.heads.setdefault(half, set()).add(w[:half])
-                self.tails.setdefault(len(w) - half, set()).add(w[half:])
+                self.shorter.update(term[:k] + term[k + 1 : -1] for k in range(len(term)))
 
     def exact(self, word: str) -> float:
         """Weight of the longest term that the word is or begins with; 0 if there is none."""
@@ -95,9 +92,10 @@ class Trie:
         """Greatest weight of a whole word (five letters or more) within one edit.
 
         A state of the automaton is a row of edit distances; it goes down the trie and stops where all exceed one.
-        One edit leaves a half of the term as it was, so words that have no half of any term need no automaton.
+        Words one edit apart are equal after at most one deletion in each, so a word that has no deletion in common with any
+        term needs no automaton.
         """
-        if len(word) < FUZZY - 1 or not (any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items())):
+        if len(word) < FUZZY - 1 or not (word in self.shorter or any(word[:k] + word[k + 1 :] in self.shorter for k in range(len(word)))):
             return 0.0
         best, n = 0.0, len(word)
         stack = [(self.root, list(range(n + 1)), 0)]
@@ -131,13 +129,17 @@ class Model:
     def __getstate__(self):
         return {"lexicon": self.lexicon, "coefficients": self.coefficients}
 
+    def seen(self) -> dict[str, tuple[float, bool]]:
+        self.trie()
+        return self._seen
+
     def match(self, word: str) -> tuple[float, bool]:
         trie = self.trie()
         got = self._seen.get(word)
         if got is None:
             weight = trie.exact(word)
             got = (weight, False) if weight else (trie.near(word), True)
-            if len(self._seen) > 300_000:
+            if len(self._seen) > 200_000:
                 self._seen.clear()
             self._seen[word] = got
         return got
@@ -145,6 +147,10 @@ class Model:
     def features(self, text: str) -> list[float]:
         """1, and of the matches: summed weights (log) outside quotations, where an edited word counts less, and in quotations; greatest weight; density; of those near a second person; how many words match."""
         found = words(text)
+        seen, look = self.seen(), self.match
+        hits = {w for w in set(found) if (seen[w] if w in seen else look(w))[0]}
+        if not hits:
+            return [1.0] + [0.0] * 6
         said = quoted = personal = most = 0.0
         distinct: set[str] = set()
         open_ = False
@@ -154,9 +160,9 @@ class Model:
                 open_ = not open_
                 continue
             n += 1
-            weight, edited = self.match(w)
-            if not weight:
+            if w not in hits:
                 continue
+            weight, edited = look(w)
             around = found[max(0, k - NEAR) : k + NEAR + 1]
             if (open_ and any(x in MARKS for x in around)) or any(x in REPORTED for x in around):
                 quoted += weight
