@@ -14,8 +14,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sentencepiece(spark, sf_dir):
-    model = tokenizer("piece_bpe_32k.model")
-    return sentencepiece_scan.digests(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model)
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), summed=True)
 
 
 def op2_warc_zip(spark, sf_dir):

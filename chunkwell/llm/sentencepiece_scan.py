@@ -21,7 +21,9 @@ position; characters the vocabulary lacks become their bytes; an empty table giv
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHUNK = 1 << 16
+KEPT_WORDS = 500_000
 SPACE = "▁"
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NEVER = float("-inf")
 BYTE_PAIR, UNIGRAM = "bpe", "unigram"
 
@@ -42,6 +46,21 @@ State = tuple[int, int, int]
 START: State = (0, 0, -1)
 
 
+class _Words(dict):
+    """Ids of words, as bytes of 32-bit numbers, kept; emptied when there are KEPT_WORDS."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        ids = array("i", self.vocabulary.word(word)).tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class Vocabulary:
     """Pieces of a model file, and the lattice steps between them."""
 
@@ -57,23 +76,50 @@ class Vocabulary:
         self.score = [self.model.get_score(i) for i in range(n)]
         self.byte_ids = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids) if self.model.is_byte(i)}
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.byte_of)] = True
         self.unknown = self.model.unk_id()
         self.longest = max(map(len, self.ids))
-        self.joints: dict[tuple[int, int], float] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.joints: dict[int, float] = {}
+        self.words = _Words(self)
+        self.reach: dict[str, tuple[int, ...]] = {}
+        self.units = self.pattern()
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on into a new word; words cannot be cut apart")
         if kind == BYTE_PAIR:  # pieces that no merges make never occur in a result
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[:3], set()).add(len(p))
+        self.long = {k: tuple(sorted(n, reverse=True)) for k, n in sizes.items()}
+
+    def pattern(self) -> re.Pattern:
+        """Units that no piece goes across: words with the space marks before them, and what stands behind a letter that
+        no piece has there (mostly punctuation). Units come from the vocabulary's own pieces."""
+        behind = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in behind and c != "_")
+        line = "\n" if not any("\n" in p for p in self.ids) else ""
+        if not apart:
+            return WORD
+        inner = f"(?:[^{SPACE}{apart}{line}]|(?<![^\\W\\d_])[{apart}])"
+        return re.compile(f"{SPACE}*{inner}+|[{apart}]{inner}*|{SPACE}+" + (f"|{line}" if line else ""))
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging of the best pair, leftmost first; for the short texts that joints are made of."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max((k for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.ids), key=lambda k: (self.score[self.ids[parts[k] + parts[k + 1]]], -k), default=None)
-            if best is None:
+        parts, ids, score = list(text), self.ids, self.score
+        ranks = [NEVER if (i := ids.get(x + y)) is None else score[i] for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = max(ranks)
+            if best == NEVER:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = NEVER if (i := ids.get(parts[k] + parts[k + 1])) is None else score[i]
+            if k:
+                ranks[k - 1] = NEVER if (i := ids.get(parts[k - 1] + parts[k])) is None else score[i]
         return parts
 
     def step(self, a: int, a_text: str, b: int, b_text: str) -> float:
@@ -82,20 +128,29 @@ class Vocabulary:
             return self.score[b] if b != self.unknown else min(self.score) - 10
         if a < 0 or a == self.unknown or b == self.unknown:
             return 0.0
-        got = self.joints.get((a, b))
+        key = a << 32 | b
+        got = self.joints.get(key)
         if got is None:
             got = 0.0 if self.merged(a_text + b_text) == [a_text, b_text] else NEVER
-            if len(self.joints) > 2_000_000:
+            if len(self.joints) > 500_000:
                 self.joints.clear()
-            self.joints[a, b] = got
+            self.joints[key] = got
+        return got
+
+    def lengths(self, text: str, at: int) -> tuple[int, ...]:
+        """Lengths, longest first, that pieces at a place can have, by the three characters there."""
+        key = text[at : at + 3]
+        got = self.reach.get(key)
+        if got is None:
+            if len(self.reach) > 200_000:
+                self.reach.clear()
+            got = self.reach[key] = (*self.long.get(key, ()), *((2,) if len(key) > 1 and key[:2] in self.ids else ()), 1)
         return got
 
     def starting(self, text: str, at: int) -> list[tuple[int, int]]:
         """(length, id) of the pieces that begin at a place; an unknown character is a piece of its own."""
-        found = [(n, i) for n in range(min(self.longest, len(text) - at), 0, -1) if (i := self.ids.get(text[at : at + n])) is not None]
-        if text[at] not in self.ids:
-            found.append((1, self.unknown))
-        return found
+        ids, unknown = self.ids, self.unknown
+        return [(n, i) for n in self.lengths(text, at) if at + n <= len(text) and (i := ids.get(text[at : at + n], unknown if n == 1 else None)) is not None]
 
     def covering(self, text: str, cut: int) -> list[State]:
         """States at a cut: pieces that hold the character before it."""
@@ -174,29 +229,49 @@ class Vocabulary:
         """
         if self.kind == UNIGRAM:
             return self.best(text)[0]
-        n = len(text)
-        trail: list[tuple[int, int, Iterator]] = []
-        place, last, last_len = 0, entry[2], entry[1]
-        options = iter(self.starting(text, 0)) if n else iter(())
-        before = text[:0]
+        ends, found = self.trace(text, entry)
+        return [(b - a, i) for a, b, i in zip([0, *ends], ends, found, strict=False)]
+
+    def trace(self, text: str, entry: State) -> tuple[list[int], list[int]]:
+        """Ends and ids of the merge result that goes on from ``entry``."""
+        n, ids, joints, unknown = len(text), self.ids, self.joints, self.unknown
+        trail: list[tuple[int, int, str, Iterator[int]]] = []
         dead: set[tuple[int, int]] = set()
+        place, last, before = 0, entry[2], ""
+        reach, lengths = self.reach.get, self.lengths
+        options = iter(lengths(text, 0)) if n else iter(())
         while place < n:
-            for size, i in options:
-                if (place + size, i) in dead:
+            for size in options:
+                end = place + size
+                if end > n:
+                    continue
+                piece = text[place:end]
+                i = ids.get(piece)
+                if i is None:
+                    if size > 1:
+                        continue
+                    i = unknown
+                if dead and (end, i) in dead:
                     continue
-                if self.step(last, before, i, text[place : place + size]) > NEVER:
-                    trail.append((place, last, options, before))
-                    before, place, last = text[place : place + size], place + size, i
-                    options = iter(self.starting(text, place)) if place < n else iter(())
-                    break
+                if last >= 0:
+                    weight = joints.get(last << 32 | i)
+                    if weight is None:
+                        weight = self.step(last, before, i, piece)
+                    if weight == NEVER:
+                        continue
+                trail.append((place, last, before, options))
+                before, place, last = piece, end, i
+                if place < n:
+                    options = iter(reach(text[place : place + 3]) or lengths(text, place))
+                break
             else:
                 if not trail:
                     raise ValueError("the text has no segmentation")
                 dead.add((place, last))
-                place, last, options, before = trail.pop()
-        ends = [t[0] for t in trail[1:]] + [n]
-        ids = [t[1] for t in trail[1:]] + [last]
-        return [(e - t[0], i) for t, e, i in zip(trail, ends, ids, strict=True)]
+                place, last, before, options = trail.pop()
+        if not n:
+            return [], []
+        return [t[0] for t in trail[1:]] + [n], [t[1] for t in trail[1:]] + [last]
 
     def best(self, text: str) -> tuple[list[tuple[int, int]], float]:
         """Viterbi path of a unigram model, and its weight."""
@@ -223,19 +298,14 @@ class Vocabulary:
             at += n
         return tuple(out)
 
-    def word(self, text: str) -> tuple[int, ...]:
-        got = self.words.get(text)
-        if got is None:
-            if text[:2] == SPACE * 2:  # runs of spaces tie with themselves: their merges have no single order of pairs
-                parts = self.merged_long(text) if self.kind == BYTE_PAIR else None
-                got = self.spelled(text, [(len(p), self.ids.get(p, self.unknown)) for p in parts] if parts else self.path(text, START, None))
-            else:
-                got = self.spelled(text, self.path(text, START, None))
-            if len(self.words) > 300_000:
-                self.words.clear()
-            if len(text) <= 64:
-                self.words[text] = got
-        return got
+    def word(self, text: str) -> list[int] | tuple[int, ...]:
+        if text[:2] == SPACE * 2 and self.kind == BYTE_PAIR:  # runs of spaces tie with themselves: their merges have no single order of pairs
+            return self.spelled(text, [(len(p), self.ids.get(p, self.unknown)) for p in self.merged_long(text)])
+        if self.kind == BYTE_PAIR:
+            ends, found = self.trace(text, START)
+            if self.unknown not in found:
+                return found
+        return self.spelled(text, self.path(text, START, None))
 
     def merged_long(self, text: str) -> list[str]:
         """Merging of a word behind a run of spaces: the run but its last space merges with nothing else."""
@@ -255,26 +325,20 @@ class Vocabulary:
     def text_of(self, step: tuple[int, int]) -> str:
         return self.pieces[step[1]]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a normalised text, word by word."""
-        out: list[int] = []
-        for w in split_words(text):
-            out += self.word(w)
-        return out
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.units.findall(text))), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The normalised text of ids."""
-        out, held = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            out.append(self.pieces[i])
-        out.append(held.decode(errors="replace"))
+        out, at, pieces = [], 0, self.pieces
+        is_byte = self.is_byte[ids]
+        edges = np.flatnonzero(np.diff(is_byte, prepend=False, append=False)).reshape(-1, 2) if is_byte.any() else ()
+        for x, y in edges:
+            out += map(pieces.__getitem__, ids[at:x].tolist())
+            out.append(bytes(self.byte_of[i] for i in ids[x:y].tolist()).decode(errors="replace"))
+            at = y
+        out += map(pieces.__getitem__, ids[at:].tolist())
         return "".join(out)
 
 
@@ -285,16 +349,7 @@ def boundary(text: str, k: int) -> bool:
 
 def split_words(text: str) -> list[str]:
     """Words with the space marks before them."""
-    found, carry = [], ""
-    for k, w in enumerate(text.split(SPACE)):
-        if k:
-            carry += SPACE
-        if w:
-            found.append(carry + w)
-            carry = ""
-    if carry:
-        found.append(carry)
-    return found
+    return WORD.findall(text)
 
 
 @lru_cache(maxsize=4)
@@ -336,13 +391,36 @@ def cut_states(matrices: list[np.ndarray]) -> list[int]:
 CHUNKS = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("n_chunks", pa.int64()), ("left", pa.int64()), ("size", pa.int64()), ("body", pa.string())])
 
 
-def _whole(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterator[pa.RecordBatch]:
-    """Texts of one chunk, encoded."""
+SLICE = 128
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], path: str, kind: str, summed: bool) -> Iterator[pa.RecordBatch]:
+    """Texts of one chunk, encoded, some at a time; with the columns of ``digests`` if ``summed``."""
     v = vocabulary(path, kind)
     for batch in batches:
-        n = len(batch)
-        ids = pa.array([v.encode(v.model.normalize(t.as_py() or "")) for t in batch.column(1)], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), ids], ["doc_id", "chunk", "n_chunks", "ids"])
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            n = len(part)
+            ids = [v.encode(v.model.normalize(t.as_py() or "")) for t in part.column(1)]
+            columns = [part.column(0), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64))]
+            if summed:
+                yield pa.RecordBatch.from_arrays([*columns, *_sums(v, ids)], names=["doc_id", "chunk", "n_chunks", *SUMS])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, _lists(ids)], names=["doc_id", "chunk", "n_chunks", "ids"])
+
+
+SUMS = ("n_ids", "ids", "ids_crc32", "n_chars", "text_crc32")
+
+
+def _sums(v: Vocabulary, ids: list[np.ndarray]) -> list[pa.Array]:
+    texts = [v.decode(x).replace(SPACE, " ") for x in ids]
+    number = lambda x: pa.array(x, pa.int64())
+    return [number([len(x) for x in ids]), _lists(ids), number([zlib.crc32(x.astype("<u4").tobytes()) for x in ids]), number([len(t) for t in texts]), number([zlib.crc32(t.encode()) for t in texts])]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path: str, kind: str, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -415,7 +493,7 @@ def traced(v: Vocabulary, body: str, begin: int, end: int, entry: State, left: i
     if begin < stop:
         ids += v.spelled(body[begin:stop], after(v, body, begin, stop, entry, left))
     if first is not None:
-        ids += v.encode(body[first:end])
+        ids += v.encode(body[first:end]).tolist()
     return ids
 
 
@@ -435,11 +513,15 @@ def after(v: Vocabulary, body: str, begin: int, stop: int, entry: State, left: i
     raise ValueError("no segmentation goes on from the cut")
 
 
-def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUNK) -> DataFrame:
-    """Per chunk of each row: doc_id, chunk, n_chunks, ids of the pieces that begin in it (in order)."""
+def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUNK, summed: bool = False) -> DataFrame:
+    """Per chunk of each row: doc_id, chunk, n_chunks, ids of the pieces that begin in it (in order).
+
+    ``summed`` adds, in the same pass, n_ids, ids_crc32, and of the decoded text n_chars and text_crc32.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_ = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
-    whole = rows.where(~long_).mapInArrow(lambda b: _whole(b, model, kind), "doc_id long, chunk long, n_chunks long, ids array<int>")
+    own = "doc_id long, chunk long, n_chunks long, " + ("n_ids long, ids array<int>, ids_crc32 long, n_chars long, text_crc32 long" if summed else "ids array<int>")
+    whole = rows.where(~long_).mapInArrow(lambda b: _whole(b, model, kind, summed), own)
     schema = "row string, doc_id long, chunk long, n_chunks long, left long, size long, body string"
     giant = written(rows.where(long_).mapInArrow(lambda b: _chunks(b, model, kind, chunk), schema), "chunks")
     spread = giant.repartition("row", "chunk")
@@ -447,7 +529,7 @@ def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUN
     states = matrices.groupBy("row").applyInArrow(_cuts, "row string, chunk long, entry long, exit long")
     back = giant.join(states, ["row", "chunk"]).select("doc_id", "chunk", "n_chunks", "left", "size", "body", "entry", "exit")
     traced_ = back.mapInArrow(lambda b: _traced(b, model, kind), "doc_id long, chunk long, n_chunks long, ids array<int>")
-    return whole.unionByName(traced_)
+    return whole.unionByName(digests(traced_, model, kind) if summed else traced_)
 
 
 def decode(encoded: DataFrame, model: str, kind: str = BYTE_PAIR) -> DataFrame:
@@ -458,7 +540,7 @@ def decode(encoded: DataFrame, model: str, kind: str = BYTE_PAIR) -> DataFrame:
         v = vocabulary(model, kind)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = pa.array([v.decode(x.as_py() or []).replace(SPACE, " ") for x in ids], pa.string())
+            texts = pa.array([v.decode(np.array(x.as_py() or [], np.int32)).replace(SPACE, " ") for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
 
     return encoded.mapInArrow(decoded, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, text string")
@@ -470,12 +552,7 @@ def digests(encoded: DataFrame, model: str, kind: str = BYTE_PAIR) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, kind)
         for batch in batches:
-            lists = batch.column(3).to_pylist()
-            texts = [v.decode(x).replace(SPACE, " ") for x in lists]
-            columns = [
-                pa.array([len(x) for x in lists], pa.int64()), batch.column(3), pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists], pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "chunk", "n_chunks", "n_ids", "ids", "ids_crc32", "n_chars", "text_crc32"])
+            ids = [np.array(x.as_py() or [], np.int32) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_sums(v, ids)], names=["doc_id", "chunk", "n_chunks", *SUMS])
 
     return encoded.mapInArrow(summed, "doc_id long, chunk long, n_chunks long, n_ids long, ids array<int>, ids_crc32 long, n_chars long, text_crc32 long")
