@@ -232,7 +232,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     )
     bands = sketches.join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
     stars = bands.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = bands.join(stars, "key").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
+    # A text meets up to 32 hubs. It is linked to the smallest, and so are the other hubs, which many texts share: the same components from fewer edges.
+    hubs = bands.join(stars, "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    edges = hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
     members = components(edges, "near").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
 
     members = members.join(texts.select("rid", "doc_id", "digest", "n_grams"), "rid")
