@@ -1,8 +1,7 @@
-"""Schemas and fixed numbers of the data model."""
+"""Schemas (as DDL) and fixed numbers of the data model."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
 BLOCK_SIZE = 256 * 1024
 MAX_CHUNK = 65536
@@ -14,8 +13,8 @@ CONTAINER_SIZE = 4 * 1024 * 1024
 CONTAINER_META = 124 * 1024
 ITEM_META = 84
 
-WRITES = T.StructType.fromDDL("write_seq long, volume_id int, offset long, data binary")
-BLOCK_ITEMS = T.StructType.fromDDL("block_id long, version int, pos int, fp string, data_address long, chunk_offset int, size int")
-CHUNK_INDEX = T.StructType.fromDDL("fp string, data_address long, usage_count long, change_log_id long, block_hint long")
-CONTAINER_ITEMS = T.StructType.fromDDL("container_id long, original_id long, fp string, raw_size int, item_size int, deleted boolean, indexed boolean")
-LOG = T.StructType.fromDDL("log_id long, event_type string, block_id long, version int, fp string, delta int")
+WRITES = "write_seq long, volume_id int, offset long, data binary"
+BLOCK_ITEMS = "block_id long, version int, pos int, fp string, data_address long, chunk_offset int, size int"
+CHUNK_INDEX = "fp string, data_address long, usage_count long, change_log_id long, block_hint long"
+CONTAINER_ITEMS = "container_id long, original_id long, fp string, raw_size int, item_size int, deleted boolean, indexed boolean"
+LOG = "log_id long, event_type string, block_id long, version int, fp string, delta int"
