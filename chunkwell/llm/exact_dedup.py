@@ -1,8 +1,8 @@
 """Exact duplicates by deterministic block naming.
 
 A normalised text is cut into fixed-size blocks. Equal blocks are sorted together and
-named by the first place, (doc_id, block number), at which that block occurs: two
-integers that cannot collide and that every run gives alike. Then adjacent names are
+named by the first place, in order of doc_id and block number, at which that block occurs: the number
+of its row and of the block, two integers that cannot collide. Then adjacent names are
 paired, equal pairs are named by their first place in the same way, and so on until
 each document has one name. As all names are first places, the last one of a document
 is the identity of its whole text. Text is shuffled at the first level only; above it
@@ -33,13 +33,13 @@ def normalised(text):
 
 
 def _named(rows: DataFrame, content: list[str], carry: list[str]) -> DataFrame:
-    """The rows' ``carry`` columns with (name_doc, name_idx), the first (doc_id, idx) that has their content."""
-    names = rows.groupBy(*content).agg(F.min(F.struct("doc_id", "idx")).alias("f")).select(*content, F.col("f.doc_id").alias("name_doc"), F.col("f.idx").alias("name_idx"))
+    """The rows' ``carry`` columns with (name_row, name_idx), the first place (row and block) that has their content."""
+    names = rows.groupBy(*content).agg(F.min(F.struct("doc_id", "rid", "idx")).alias("f")).select(*content, F.col("f.rid").alias("name_row"), F.col("f.idx").alias("name_idx"))
     left, right = rows.alias("l"), names.alias("r")
     same = F.lit(True)
     for c in content:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, same).select(*[F.col(f"l.{c}") for c in carry], "r.name_doc", "r.name_idx")
+    return left.join(right, same).select(*[F.col(f"l.{c}") for c in carry], "r.name_row", "r.name_idx")
 
 
 def _named_blocks(blocks: DataFrame) -> DataFrame:
@@ -49,19 +49,19 @@ def _named_blocks(blocks: DataFrame) -> DataFrame:
     the bytes are shuffled once, for the sort, after each task has dropped its repeats, and rows of a frequent block
     meet its name in a join that adaptive execution can split.
     """
-    names = blocks.groupBy("block").agg(F.min(F.struct("doc_id", "idx")).alias("f"))
-    names = written(names.select(F.unhex(F.sha2("block", 256)).alias("digest"), F.col("f.doc_id").alias("name_doc"), F.col("f.idx").alias("name_idx")), "blocks")
+    names = blocks.groupBy("block").agg(F.min(F.struct("doc_id", "rid", "idx")).alias("f"))
+    names = written(names.select(F.unhex(F.sha2("block", 256)).alias("digest"), F.col("f.rid").alias("name_row"), F.col("f.idx").alias("name_idx")), "blocks")
     if not names.groupBy("digest").count().where("count > 1").isEmpty():
         return _named(blocks, ["block"], CARRY)
     rows = blocks.select(*CARRY, F.unhex(F.sha2("block", 256)).alias("at"))
-    return rows.join(names.hint("merge"), F.col("at") == F.col("digest")).select(*CARRY, "name_doc", "name_idx")
+    return rows.join(names.hint("merge"), F.col("at") == F.col("digest")).select(*CARRY, "name_row", "name_idx")
 
 
 CARRY = ["rid", "doc_id", "idx", "n", "n_blocks", "sha"]
 
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(rid, doc_id, sha, n_blocks, name_doc, name_idx) of each row; texts are equal where the last three are.
+    """(rid, doc_id, sha, n_blocks, name_row, name_idx) of each row; texts are equal where the last three are.
 
     ``rid`` tells rows apart that share an id.
     """
@@ -89,7 +89,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             .groupBy("rid", "half")  # one or two names
             .agg(
                 F.max("doc_id").alias("doc_id"), F.ceil(F.max("n") / 2).cast("long").alias("n"), F.max("n_blocks").alias("n_blocks"), F.max("sha").alias("sha"),
-                at(0, "name_doc").alias("a_doc"), at(0, "name_idx").alias("a_idx"), at(1, "name_doc").alias("b_doc"), at(1, "name_idx").alias("b_idx"),
+                at(0, "name_row").alias("a_doc"), at(0, "name_idx").alias("a_idx"), at(1, "name_row").alias("b_doc"), at(1, "name_idx").alias("b_idx"),
             )
             .withColumnRenamed("half", "idx")
         )
@@ -102,7 +102,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each row: keep_id, the smallest doc_id with an equal text; group_size; kept; text_sha256."""
     who = identities(docs, block)
-    key = ["n_blocks", "name_doc", "name_idx"]
+    key = ["n_blocks", "name_row", "name_idx"]
     sizes = who.groupBy(*key).agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
     left, right = who.alias("w"), sizes.alias("s")
     same = F.lit(True)

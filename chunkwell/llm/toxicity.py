@@ -145,7 +145,7 @@ class Model:
         return got
 
     def features(self, text: str) -> list[float]:
-        """1, and of the matches: summed weights (log) outside quotations, where an edited word counts less, and in quotations; greatest weight; density; of those near a second person; how many words match."""
+        """1, and of the matches (an edited word counts less): summed weights (log) outside quotations, and in them; outside: greatest weight, density, sum near a second person, how many words."""
         found = words(text)
         seen, look = self.seen(), self.match
         hits = {w for w in set(found) if (seen[w] if w in seen else look(w))[0]}
@@ -166,14 +166,14 @@ class Model:
             around = found[max(0, k - NEAR) : k + NEAR + 1]
             if (open_ and any(x in MARKS for x in around)) or any(x in REPORTED for x in around):
                 quoted += weight
-            else:
-                said += weight * (EDITED if edited else 1.0)
+                continue
+            weight *= EDITED if edited else 1.0
+            said += weight
             if any(x in SECOND for x in around):
                 personal += weight
             distinct.add(w)
-            most = max(most, weight * (EDITED if edited else 1.0))
-        total = said + quoted
-        return [1.0, math.log1p(said), math.log1p(quoted), most / 4, min(5.0, 10 * total / max(n, 10)), math.log1p(personal), math.log1p(len(distinct))]
+            most = max(most, weight)
+        return [1.0, math.log1p(said), math.log1p(quoted), most / 4, min(5.0, 10 * said / max(n, 10)), math.log1p(personal), math.log1p(len(distinct))]
 
     def score(self, text: str | None) -> float:
         if not self.coefficients:
