@@ -38,15 +38,15 @@ N = 5
 THRESHOLD = 0.8
 TOLERANCE = 1e-9
 HASHES, BAND, STEP = 128, 4, 16
-BLOCK_TEXTS, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK_TEXTS, BLOCK_GRAMS = 512, 500_000
 U64 = np.uint64
 
 
 class _Words(dict):
-    """64-bit hashes of words, kept; emptied when it has grown to a million."""
+    """64-bit hashes of words, kept; emptied when there are 150,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -172,7 +172,7 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
     total = np.zeros((len(a), len(b)), np.float32)
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    width = 4096
+    width = 2048
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         x, y = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(every), width), np.float32)
