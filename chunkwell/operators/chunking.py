@@ -23,13 +23,30 @@ def split_blocks(writes: DataFrame, block_size: int) -> DataFrame:
 
 def static_chunks(writes: DataFrame, size: int = 8192, fp: str = "sha1") -> DataFrame:
     """Fixed-size chunks aligned to the volume's offsets; the first and last of a request may be short."""
-    first, end = F.floor(F.col("offset") / size), F.col("offset") + F.col("size")
-    cut = writes.where("size > 0").select("write_seq", "volume_id", "source", "offset", F.col("size").alias("total"), "data", first.alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((end - 1) / size) - first)).alias("chunk_no"))
-    start = F.greatest(F.lit(0), (F.col("first") + F.col("chunk_no")) * size - F.col("offset"))
-    stop = F.least(F.col("total"), (F.col("first") + F.col("chunk_no") + 1) * size - F.col("offset"))
-    piece = F.substring("data", (F.col("start") + 1).cast("int"), F.col("size").cast("int"))
-    placed = cut.withColumn("start", start).withColumn("size", stop - start).withColumn("chunk", piece)
-    return placed.select("write_seq", "volume_id", "source", "offset", "chunk_no", "start", "size", fingerprint(F.col("chunk"), fp).alias("fp"), "chunk")
+    grid = F.floor(F.col("offset") / size)
+    last = F.floor((F.col("offset") + F.col("total") - 1) / size) - grid
+
+    def piece(k):
+        start = F.greatest(F.lit(0), (grid + k) * size - F.col("offset"))
+        return _piece(k, start, F.least(F.col("total"), (grid + k + 1) * size - F.col("offset")))
+
+    # Bytes are sliced before rows are made: a row then holds its chunk, not a copy of the request.
+    rows = writes.where("size > 0").withColumn("total", F.col("size"))
+    cut = rows.select("write_seq", "volume_id", "source", "offset", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), last), piece)))
+    return cut.withColumn("fp", fingerprint(F.col("chunk"), fp)).select("write_seq", "volume_id", "source", "offset", "chunk_no", "start", "size", "fp", "chunk")
+
+
+def _piece(number, start, stop, **more):
+    return F.struct(
+        number.cast("long").alias("chunk_no"), start.cast("long").alias("start"), (stop - start).cast("long").alias("size"), F.substring("data", (start + 1).cast("int"), (stop - start).cast("int")).alias("chunk"),
+        *[c.alias(n) for n, c in more.items()],
+    )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input that came as fewer partitions than there are cores (a small file is one) is dealt out; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def rabin_chunks(writes: DataFrame, options: RabinOptions = RabinOptions(), fp: str = "sha1") -> DataFrame:  # noqa: B008
@@ -42,13 +59,11 @@ def rabin_chunks(writes: DataFrame, options: RabinOptions = RabinOptions(), fp:
             lists = pa.array([[{"end": e, "reason": r} for e, r in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cuts"])
 
-    rows = writes.select("write_seq", "volume_id", "source", "offset", "data")
+    rows = spread(writes.select("write_seq", "volume_id", "source", "offset", "data"))
     cut = rows.mapInArrow(cuts, "write_seq long, volume_id int, source string, offset long, data binary, cuts array<struct<end: long, reason: string>>")
-    each = cut.select("*", F.posexplode("cuts").alias("chunk_no", "cut"))
-    start = F.when(F.col("chunk_no") > 0, F.get("cuts", F.col("chunk_no") - 1)["end"]).otherwise(F.lit(0).cast("long"))
-    placed = each.withColumn("start", start).withColumn("size", F.col("cut.end") - F.col("start"))
-    placed = placed.withColumn("chunk", F.substring("data", (F.col("start") + 1).cast("int"), F.col("size").cast("int")))
-    return placed.select("write_seq", "volume_id", "source", "offset", F.col("chunk_no").cast("long").alias("chunk_no"), "start", "size", fingerprint(F.col("chunk"), fp).alias("fp"), "chunk", F.col("cut.reason").alias("reason"))
+    before = lambda k: F.coalesce(F.get("cuts", k - 1)["end"], F.lit(0).cast("long"))
+    each = cut.select("write_seq", "volume_id", "source", "offset", F.inline(F.transform("cuts", lambda c, k: _piece(k, before(k), c["end"], reason=c["reason"]))))
+    return each.withColumn("fp", fingerprint(F.col("chunk"), fp)).select("write_seq", "volume_id", "source", "offset", "chunk_no", "start", "size", "fp", "chunk", "reason")
 
 
 CHUNKERS.add("static", static_chunks)
