@@ -33,6 +33,7 @@ def load(lines: list[str]) -> list[tuple[str, str]]:
 class RabinOptions:
     """Content-defined chunking; the least size may be undercut by a window, as a cut is sought from there on."""
 
+    # Default sizes, window and polynomial.
     average: int = 8192
     least: int = 2028
     most: int = 32768

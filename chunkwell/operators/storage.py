@@ -130,3 +130,37 @@ def adler32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.adler32(x.as_py()) for x in batch.column(1)], pa.int64())], ["key", "adler32"])
+
+
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow on (fp, chunk): the stored size with deflate; chunks below 128 bytes, or that do not shrink, stay as they are."""
+    import zlib
+
+    for batch in batches:
+        raw = [x.as_py() for x in batch.column(1)]
+        stored = [min(len(x), len(zlib.compress(x, 1))) if len(x) >= 128 else len(x) for x in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(stored, pa.int64())], ["fp", "raw_size", "item_size"])
+
+
+def commit_state(addresses: DataFrame, committed: DataFrame, known_at_start: int) -> DataFrame:
+    """Of each address: committed, never (an id given out before the start that was not committed), or open."""
+    done = committed.select(F.col("container_id").alias("address"), F.lit(True).alias("done"))
+    state = F.when(F.col("done"), "committed").when(F.col("address") <= known_at_start, "never").otherwise("open")
+    return addresses.join(done, "address", "left").select("address", state.alias("state"))
+
+
+def import_containers(index: DataFrame, items: DataFrame) -> DataFrame:
+    """The index (fp, address) after committed containers' live, indexed items that are still at their first container were put into it."""
+    fresh = items.where("not deleted and indexed and original_id = container_id").groupBy("fp").agg(F.min("container_id").alias("address"))
+    return index.join(fresh.select("fp"), "fp", "left_anti").select("fp", "address").unionByName(fresh)
+
+
+def drop_failed(cache: DataFrame, failed: DataFrame) -> DataFrame:
+    """Cached entries (fp, address) without those of failed containers; an entry that points elsewhere stays."""
+    return cache.join(failed.select("fp", "address"), ["fp", "address"], "left_anti")
+
+
+def resolve(addresses: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Addresses with redirects (container_id, primary_id) followed, one level deep."""
+    to = redirects.select(F.col("container_id").alias("address"), "primary_id")
+    return addresses.join(to, "address", "left").withColumn("address", F.coalesce("primary_id", "address")).drop("primary_id")

@@ -485,3 +485,67 @@ def inspect_blocks(spark, d):
 def stats_json(spark, d):
     r = dedup.ratio(_chunks(spark, d))
     return r.select(F.to_json(F.struct(*r.columns)).alias("stats"))
+
+
+# Further container and index states
+
+
+@query(", x AS (SELECT 1) SELECT DISTINCT container_id AS address, CASE WHEN container_id // 64 < 3 THEN 'committed' WHEN container_id <= 250 THEN 'never' ELSE 'open' END AS state FROM packed")
+def container_commit_state(spark, d):
+    """Each lane's first three containers are committed; ids up to 250 were given out before the start."""
+    ids = _packed(spark, d).select(F.col("container_id").alias("address")).distinct()
+    return storage.commit_state(ids, ids.select(F.col("address").alias("container_id")).where("floor(container_id / 64) < 3"), 250)
+
+
+@query(", x AS (SELECT 1) SELECT fp, CASE WHEN fp < 'c' THEN container_id ELSE 0 END AS address FROM packed")
+def container_import(spark, d):
+    """Committed containers put their live, indexed items into an index that knew all chunks at address 0."""
+    packed = _packed(spark, d)
+    items = packed.select("fp", "container_id", F.col("container_id").alias("original_id"), (F.col("fp") >= "e").alias("deleted"), (F.col("fp") < "c").alias("indexed"))
+    return storage.import_containers(packed.select("fp", F.lit(0).cast("long").alias("address")), items)
+
+
+@query(", x AS (SELECT 1) SELECT fp, container_id AS address FROM packed WHERE NOT (container_id <= 64)")
+def container_commit_failed(spark, d):
+    """The first container of each lane fails: its entries go, entries at other addresses stay."""
+    cache = _packed(spark, d).select("fp", F.col("container_id").alias("address"))
+    failed = cache.where("address <= 64").unionByName(cache.where("address > 64").select("fp", F.lit(1).cast("long").alias("address")))
+    return storage.drop_failed(cache, failed)
+
+
+@query(", m AS (SELECT container_id, min(container_id) OVER (PARTITION BY container_id % 64) AS primary_id FROM (SELECT DISTINCT container_id FROM packed)) SELECT fp, primary_id AS address FROM packed JOIN m USING (container_id)")
+def container_redirects(spark, d):
+    """All containers of a lane merged into its first: addresses follow the redirects."""
+    packed = _packed(spark, d)
+    ids = packed.select("container_id").distinct()
+    first = ids.groupBy(F.expr("pmod(container_id, 64)").alias("lane")).agg(F.min("container_id").alias("primary_id"))
+    redirects = ids.withColumn("lane", F.expr("pmod(container_id, 64)")).join(first, "lane").where("container_id <> primary_id").select("container_id", "primary_id")
+    return storage.resolve(packed.select("fp", F.col("container_id").alias("address")), redirects)
+
+
+@query()
+def container_compression(spark, d):
+    stored = _chunks(spark, d).groupBy("fp").agg(F.min("chunk").alias("chunk"))
+    return stored.select("fp", "chunk").mapInArrow(storage.compressed, "fp string, raw_size long, item_size long")
+
+
+@query(", h AS (SELECT fp, arg_max(block_id, log_id) AS hint FROM logt GROUP BY fp) SELECT hint - block_id AS diff, count(*) AS hits FROM logt JOIN h USING (fp) GROUP BY 1")
+def block_locality_diffs(spark, d):
+    """How far the block that last held a fingerprint is from the one that asks for it: what a locality cache learns."""
+    log = tables.log(spark, d)
+    hints = log.groupBy("fp").agg(F.max_by("block_id", "log_id").alias("hint"))
+    return log.join(hints, "fp").groupBy((F.col("hint") - F.col("block_id")).alias("diff")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(", x AS (SELECT 1) SELECT write_seq, 0::BIGINT AS miscompares, count(*) AS blocks FROM (SELECT write_seq, unnest(range(off // 4096, (off + total - 1) // 4096 + 1)) AS b FROM w WHERE total > 0) GROUP BY write_seq")
+def verify_requests(spark, d):
+    """Every block piece of every request is read back through mapping and store, and compared with what was written."""
+    w = tables.writes(spark, d)
+    c = _chunks(spark, d)
+    pieces = chunking.split_blocks(w, BLOCK)
+    ids = pieces.select("write_seq", "block", block_id(F.col("volume_id"), F.col("block") * BLOCK, BLOCK).alias("block_id"), F.col("block_offset").alias("lo"), (F.col("block_offset") + F.col("piece_size")).alias("hi"))
+    got = mapping.read_range(mapping.block_items(c, BLOCK), c.groupBy("fp").agg(F.min("chunk").alias("chunk")), ids.select("block_id", "lo", "hi"))
+    start = F.col("block") * BLOCK + F.col("lo") - F.col("offset")
+    said = ids.join(w.select("write_seq", "offset", "data"), "write_seq").select("write_seq", "block_id", "lo", F.lower(F.hex(F.substring("data", (start + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")))).alias("want"))
+    both = said.join(got.select("block_id", "lo", "data"), ["block_id", "lo"], "left")
+    return both.groupBy("write_seq").agg(F.sum((~F.col("want").eqNullSafe(F.col("data"))).cast("long")).alias("miscompares"), F.count(F.lit(1)).alias("blocks"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+# Sizes, sentinels and shifts of the stored formats.
 BLOCK_SIZE = 256 * 1024
 MAX_CHUNK = 65536
 VOLUME_BITS = 16
