@@ -453,3 +453,26 @@ def test_pipeline(spark, tmp_path):
     classes = near_truth(list(exact.values()))
     assert {r["doc_id"] for r in got} <= {c for c, *_ in classes.values()}
     assert 10 in {r["doc_id"] for r in got} and 0 in {r["doc_id"] for r in got} and not {1, 2, 3, 4, 5} & {r["doc_id"] for r in got}
+
+
+@pytest.mark.parametrize("size", [5, 23])
+def test_unigram_chunks_weigh_what_the_whole_text_does(size):
+    v = sp.vocabulary(PIECES, sp.UNIGRAM)
+    for text in ("internationalisation of things, indeed. " * 4, prose(5, 30)):
+        t = v.model.normalize(text)
+        cuts, reach = [*range(0, len(t), size), len(t)], v.longest + 1
+        parts = [(k, min(lo, reach), hi - lo, t[max(0, lo - reach) : hi + reach]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        ends = [sp._ends(v, b, left, n, k, len(parts)) for k, left, n, b in parts]
+        ends[-1] = (ends[-1][0], [s for s in ends[-1][1] if s[0] + s[1] == 0])
+        ms = [v.matrix(b, left, left + n, *e) for (k, left, n, b), e in zip(parts, ends, strict=True)]
+        inner, last = sp.cut_states(ms), int(sp.scan(ms)[-1].max(0).argmax())
+        out = []
+        for (k, left, n, b), (en, ex), i, o in zip(parts, ends, [0, *inner], [*inner, last], strict=True):
+            begin, end = left + en[i][0] + en[i][1], left + n + ex[o][0]
+            if end >= begin:
+                out += sp.traced(v, b, begin, end, en[i], left)
+                if ex[o][0] >= -n:
+                    out += v.spelled(b[end : end + ex[o][1]], [(ex[o][1], ex[o][2])])
+        steps, weight = v.best(t)
+        assert v.decode(np.array(out, np.int32)) == t
+        assert sum(v.score[i] for i in out) == pytest.approx(weight) == pytest.approx(sum(v.score[i] for _, i in steps))
