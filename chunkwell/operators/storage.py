@@ -11,31 +11,38 @@ from pyspark.sql import functions as F
 from ..schemas import CONTAINER_META, CONTAINER_SIZE, ITEM_META
 
 LANES = 64
+SEGMENT = 65536  # requests after which all lanes begin new containers, so that a lane's share of a segment stays of one size
+SEGMENT_IDS = 1 << 32
+
+
+def _placed(index: DataFrame, lanes: int) -> DataFrame:
+    return index.withColumn("lane", F.pmod("first_seq", F.lit(lanes))).withColumn("segment", F.floor(F.col("first_seq") / SEGMENT))
 
 
 def fill(index: DataFrame, capacity: int, lanes: int = LANES) -> DataFrame:
-    """Approximate packing by running sums: new chunks in order of arrival, dealt to lanes, a new container every ``capacity`` bytes."""
-    lane = F.pmod("first_seq", F.lit(lanes))
-    before = F.sum("size").over(Window.partitionBy("lane").orderBy("first_seq", "first_no").rowsBetween(Window.unboundedPreceding, -1))
-    out = index.withColumn("lane", lane).withColumn("container_id", F.col("lane") + lanes * F.floor(F.coalesce(before, F.lit(0)) / capacity) + 1)
-    return out.select("fp", "size", "lane", "container_id")
+    """Approximate packing by running sums: new chunks in order of arrival, dealt to lanes, a new container every ``capacity`` bytes and in every segment."""
+    before = F.sum("size").over(Window.partitionBy("segment", "lane").orderBy("first_seq", "first_no").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.col("lane") + lanes * F.floor(F.coalesce(before, F.lit(0)) / capacity) + 1
+    return _placed(index, lanes).withColumn("container_id", F.col("segment") * SEGMENT_IDS + number).select("fp", "size", "lane", "container_id")
 
 
 def pack(index: DataFrame, capacity: int = CONTAINER_SIZE, lanes: int = LANES) -> DataFrame:
-    """Next-fit packing: a container is closed when an item no longer fits, or its metadata is full. Lanes are packed one by one."""
+    """Next-fit packing: a container is closed when an item no longer fits, or its metadata is full. Each lane of each segment is packed alone."""
     room, most = capacity - CONTAINER_META if capacity > CONTAINER_META else capacity, CONTAINER_META // ITEM_META
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("first_seq", "ascending"), ("first_no", "ascending")])
         ids, used, items, number = [], 0, 0, 0
+        first = group.column("segment")[0].as_py() * SEGMENT_IDS + group.column("lane")[0].as_py() + 1
         for size in group.column("size").to_pylist():
             if items and (used + size + ITEM_META >= room or items + 1 >= most):
                 number, used, items = number + 1, 0, 0
             used, items = used + size, items + 1
-            ids.append(number * lanes + group.column("lane")[0].as_py() + 1)
+            ids.append(first + number * lanes)
         return pa.table({"fp": group.column("fp"), "size": group.column("size"), "container_id": pa.array(ids, pa.int64())})
 
-    return index.withColumn("lane", F.pmod("first_seq", F.lit(lanes))).select("fp", F.col("size").cast("long").alias("size"), "lane", "first_seq", "first_no").groupBy("lane").applyInArrow(packed, "fp string, size long, container_id long")
+    rows = _placed(index, lanes).select("fp", F.col("size").cast("long").alias("size"), "segment", "lane", "first_seq", "first_no")
+    return rows.groupBy("segment", "lane").applyInArrow(packed, "fp string, size long, container_id long")
 
 
 def delete_items(items: DataFrame, gone: DataFrame) -> DataFrame:

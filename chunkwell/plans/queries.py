@@ -37,7 +37,7 @@ idx AS (SELECT fp, min(write_seq) AS first_seq, arg_min(chunk_no, write_seq * 10
 items0 AS (SELECT *, unnest(range((off + start) // 4096, (off + start + size - 1) // 4096 + 1)) AS b FROM chunks),
 items AS (SELECT write_seq, chunk_no, ((1::BIGINT << 47) | b) AS block_id, fp, greatest(off + start, b * 4096) - b * 4096 AS item_start, greatest(off + start, b * 4096) - (off + start) AS chunk_offset,
           least(off + start + size, (b + 1) * 4096) - greatest(off + start, b * 4096) AS item_size FROM items0),
-packed AS (SELECT fp, size, first_seq % 64 AS lane, first_seq % 64 + 64 * (coalesce(sum(size) OVER (PARTITION BY first_seq % 64 ORDER BY first_seq, first_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536)::BIGINT + 1 AS container_id FROM idx),
+packed AS (SELECT fp, size, first_seq % 64 AS lane, first_seq // 65536 * 4294967296 + first_seq % 64 + 64 * (coalesce(sum(size) OVER (PARTITION BY first_seq // 65536, first_seq % 64 ORDER BY first_seq, first_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536)::BIGINT + 1 AS container_id FROM idx),
 logt AS (SELECT event_id AS log_id, event_type, user_id AS fp, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS delta, event_id % 977 AS block_id, ts, value FROM events)
 """
 
