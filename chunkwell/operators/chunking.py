@@ -66,5 +66,18 @@ def rabin_chunks(writes: DataFrame, options: RabinOptions = RabinOptions(), fp:
     return each.withColumn("fp", fingerprint(F.col("chunk"), fp)).select("write_seq", "volume_id", "source", "offset", "chunk_no", "start", "size", "fp", "chunk", "reason")
 
 
+def chunks_by_volume(writes: DataFrame, default: tuple[str, dict], volumes: dict[int, tuple[str, dict]]) -> DataFrame:
+    """Chunks by each volume's own chunker (name and arguments), or the default one; one pass over the requests for each distinct choice."""
+    own = lambda v: writes.where(F.col("volume_id") == v)
+    parts = [CHUNKERS.get(name)(own(v), **args) for v, (name, args) in volumes.items()]
+    name, args = default
+    parts.append(CHUNKERS.get(name)(writes.where(~F.col("volume_id").isin(*volumes)) if volumes else writes, **args))
+    columns = ["write_seq", "volume_id", "source", "offset", "chunk_no", "start", "size", "fp", "chunk"]
+    out = parts[0].select(*columns)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*columns))
+    return out
+
+
 CHUNKERS.add("static", static_chunks)
 CHUNKERS.add("rabin", rabin_chunks)

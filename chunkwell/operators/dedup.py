@@ -96,9 +96,35 @@ def chain(chunks: DataFrame, names: Sequence[str] = ("block-index-filter", "chun
     return out.withColumn("known", F.col("address").isNotNull())
 
 
+def filters_for(names: Sequence[str] | None, default: Sequence[str] = ("block-index-filter", "chunk-index-filter")) -> tuple[str, ...]:
+    """A volume's own filters, all of which must exist, or else the default ones."""
+    for name in names or ():
+        FILTERS.get(name)
+    return tuple(names or default)
+
+
+def learn(index: DataFrame, decided: DataFrame) -> DataFrame:
+    """The index (fp, index_address) after a chain's update phase: new, indexed chunks enter at their first request; known ones leave it as it is."""
+    fresh = decided.where(~F.col("known"))
+    if "indexed" in decided.columns:
+        fresh = fresh.where("indexed")
+    fresh = fresh.groupBy("fp").agg(F.min("write_seq").alias("index_address")).join(index, "fp", "left_anti")
+    return index.select("fp", "index_address").unionByName(fresh)
+
+
+def accepts_new(index: DataFrame, capacity: int, share: float = 0.9) -> DataFrame:
+    """One row: how many items the index has, and whether new chunks may still enter."""
+    return index.agg(F.count(F.lit(1)).alias("items")).select("items", (F.col("items") < share * capacity).alias("accepting"))
+
+
 # Keyed tables
 
 
+def two_tier(main: DataFrame, aux: DataFrame, key: str) -> DataFrame:
+    """The table as read through an auxiliary tier, whose rows hide main ones of the same key."""
+    return main.join(aux.select(key), key, "left_anti").unionByName(aux)
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """The last change of each key wins over the table."""
     rest = [c for c in table.columns if c != key]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import block_id
-from ..schemas import EMPTY_FP
+from ..schemas import EMPTY_FP, MAX_CHUNK
 
 
 def block_items(chunks: DataFrame, block_size: int) -> DataFrame:
@@ -49,14 +49,18 @@ def usage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def read_range(items: DataFrame, stored: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (block_id, lo, hi) -> (block_id, lo, hi, data): item slices in order. stored: (fp, chunk)."""
+    """ranges (block_id, lo, hi) -> (block_id, lo, hi, data): item slices in order. stored: (fp, chunk).
+
+    Empty items read as zeros; a range with an item that nothing stores is null, not short.
+    """
     r, i = ranges.alias("r"), items.alias("i")
-    hit = r.join(i, (F.col("r.block_id") == F.col("i.block_id")) & (F.col("i.item_start") < F.col("r.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("r.lo"))).join(stored.alias("s"), F.col("s.fp") == F.col("i.fp"))
+    hit = r.join(i, (F.col("r.block_id") == F.col("i.block_id")) & (F.col("i.item_start") < F.col("r.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("r.lo"))).join(stored.alias("s"), F.col("s.fp") == F.col("i.fp"), "left")
     begin = F.greatest("r.lo", "i.item_start")
     size = F.least(F.col("r.hi"), F.col("i.item_start") + F.col("i.item_size")) - begin
-    piece = F.hex(F.substring("s.chunk", (F.col("i.chunk_offset") + begin - F.col("i.item_start") + 1).cast("int"), size.cast("int")))
+    held = F.hex(F.substring("s.chunk", (F.col("i.chunk_offset") + begin - F.col("i.item_start") + 1).cast("int"), size.cast("int")))
+    piece = F.when(F.col("i.fp") == EMPTY_FP, F.repeat(F.lit("00"), size.cast("int"))).otherwise(held)
     parts = hit.select("r.block_id", "r.lo", "r.hi", begin.alias("begin"), piece.alias("piece")).groupBy("block_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("begin", "piece"))).alias("p"))
-    return parts.select("block_id", "lo", "hi", F.lower(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("data"))
+    return parts.select("block_id", "lo", "hi", F.when(~F.exists("p", lambda x: x["piece"].isNull()), F.lower(F.array_join(F.transform("p", lambda x: x["piece"]), ""))).alias("data"))
 
 
 def fast_copy(items: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -65,3 +69,80 @@ def fast_copy(items: DataFrame, jobs: DataFrame) -> DataFrame:
     hit = j.join(i, (F.col("j.src") == F.col("i.block_id")) & (F.col("i.item_start") < F.col("j.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("j.lo")))
     lo, hi = F.greatest("j.lo", "i.item_start"), F.least(F.col("j.hi"), F.col("i.item_start") + F.col("i.item_size"))
     return hit.select(F.col("j.dst").alias("block_id"), "i.fp", lo.alias("item_start"), (F.col("i.chunk_offset") + lo - F.col("i.item_start")).alias("chunk_offset"), (hi - lo).alias("item_size"))
+
+
+ITEM = ("block_id", "fp", "item_start", "chunk_offset", "item_size")
+
+
+def cut(items: DataFrame, at: int) -> DataFrame:
+    """Blocks truncated at an offset."""
+    return items.where(F.col("item_start") < at).select("block_id", "fp", "item_start", "chunk_offset", F.least(F.col("item_size"), F.lit(at) - F.col("item_start")).alias("item_size"))
+
+
+def fill_empty(blocks: DataFrame, items: DataFrame, block_size: int) -> DataFrame:
+    """Items of the blocks asked for (block_id), with empty items wherever nothing was written, missing blocks included."""
+    asked = blocks.select("block_id").distinct()
+    held = items.join(asked, "block_id", "left_semi").select(*ITEM)
+    # A marker of no size at either end makes every gap one between neighbours.
+    marks = asked.select("block_id", F.explode(F.array(F.lit(0), F.lit(block_size)).cast("array<long>")).alias("item_start"), F.lit(0).cast("long").alias("item_size"))
+    order = Window.partitionBy("block_id").orderBy("item_start", "item_size")
+    ends = held.select("block_id", "item_start", "item_size").unionByName(marks).withColumn("next", F.lead("item_start").over(order))
+    gaps = ends.select("block_id", (F.col("item_start") + F.col("item_size")).alias("lo"), F.col("next").alias("hi")).where("hi > lo")
+    pieces = gaps.select("block_id", "lo", "hi", F.explode(F.expr(f"sequence(lo, hi - 1, {MAX_CHUNK}L)")).alias("at"))
+    empty = pieces.select("block_id", F.lit(EMPTY_FP).alias("fp"), F.col("at").alias("item_start"), F.lit(0).cast("long").alias("chunk_offset"), F.least(F.col("hi") - F.col("at"), F.lit(MAX_CHUNK).cast("long")).alias("item_size"))
+    return held.unionByName(empty)
+
+
+def merge_parts(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """jobs (seq, src, dst, src_lo, dst_lo, size), seq from 1 -> the target blocks after each got its slices of the sources, in order of seq.
+
+    Sources are read as they were before the jobs.
+    """
+    j, i = jobs.alias("j"), items.alias("i")
+    stop, end = F.col("j.src_lo") + F.col("j.size"), F.col("i.item_start") + F.col("i.item_size")
+    hit = j.join(i, (F.col("j.src") == F.col("i.block_id")) & (F.col("i.item_start") < stop) & (end > F.col("j.src_lo")))
+    lo, hi = F.greatest("j.src_lo", "i.item_start"), F.least(stop, end)
+    moved = hit.select(
+        F.col("j.dst").alias("block_id"), F.col("j.seq").cast("long").alias("seq"), "i.fp", (lo - F.col("j.src_lo") + F.col("j.dst_lo")).alias("item_start"),
+        (F.col("i.chunk_offset") + lo - F.col("i.item_start")).alias("chunk_offset"), (hi - lo).alias("item_size"),
+    )
+    targets = jobs.select(F.col("dst").alias("block_id")).distinct()
+    old = items.join(targets, "block_id", "left_semi").select("block_id", F.lit(0).cast("long").alias("seq"), "fp", "item_start", "chunk_offset", "item_size")
+    return overlay(old.unionByName(moved)).select(*ITEM)
+
+
+def copy_steps(jobs: DataFrame, block_size: int) -> DataFrame:
+    """jobs (job, src_offset, dst_offset, size) -> steps within which neither side crosses a block border."""
+    past = lambda c: F.lit(block_size).cast("long") - F.pmod(F.col(c), F.lit(block_size))  # noqa: E731  to the first border
+    borders = lambda c: F.when(past(c) < F.col("size"), F.sequence(past(c), F.col("size") - 1, F.lit(block_size).cast("long"))).otherwise(F.array().cast("array<long>"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), borders("src_offset"), borders("dst_offset"))))
+    each = jobs.where("size > 0").withColumn("cuts", cuts).select("*", F.posexplode("cuts").alias("k", "lo")).withColumn("hi", F.coalesce(F.get("cuts", F.col("k") + 1), F.col("size")))
+    return each.select("job", (F.col("src_offset") + F.col("lo")).alias("src_offset"), (F.col("dst_offset") + F.col("lo")).alias("dst_offset"), (F.col("hi") - F.col("lo")).alias("size"))
+
+
+def pair_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """before and after (block_id, pos, fp, size) -> items of the new version with their change of the usage count.
+
+    The first occurrence of a fingerprint carries its block's difference, repeats carry 0; fingerprints that only the old version has
+    follow as items of no size and place, unless empty. Items of size 0 count for nothing.
+    """
+    old = before.where("size > 0").groupBy("block_id", "fp").agg(F.count(F.lit(1)).alias("n_old"))
+    new = after.where("size > 0")
+    first = new.groupBy("block_id", "fp").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_new"))
+    diff = first.join(old, ["block_id", "fp"], "left").select("block_id", "fp", "first_pos", (F.col("n_new") - F.coalesce("n_old", F.lit(0))).alias("delta"))
+    kept = new.join(diff, ["block_id", "fp"]).select("block_id", "pos", "fp", "size", F.when(F.col("pos") == F.col("first_pos"), F.col("delta")).otherwise(0).alias("modifier"))
+    gone = old.where(F.col("fp") != EMPTY_FP).join(first, ["block_id", "fp"], "left_anti")
+    return kept.unionByName(gone.select("block_id", F.lit(None).cast("long").alias("pos"), "fp", F.lit(0).cast("long").alias("size"), (-F.col("n_old")).alias("modifier")))
+
+
+def equal_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per block of either mapping: whether both have the same items."""
+    signed = a.select(*ITEM, F.lit(1).alias("s")).unionAll(b.select(*ITEM, F.lit(-1).alias("s")))
+    return signed.groupBy(*ITEM).agg(F.sum("s").alias("s")).groupBy("block_id").agg(F.bool_and(F.col("s") == 0).alias("equal"))
+
+
+def checksum(items: DataFrame) -> DataFrame:
+    """SHA-256 of each block's items in order."""
+    listed = F.sort_array(F.collect_list(F.struct("item_start", "item_size", "fp", "chunk_offset")))
+    text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["item_start"], x["item_size"], x["fp"], x["chunk_offset"])), ",")
+    return items.groupBy("block_id").agg(F.sha2(text, 256).alias("checksum"))

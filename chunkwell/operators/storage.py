@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CONTAINER_META, CONTAINER_SIZE, ITEM_META
@@ -28,14 +28,14 @@ def fill(index: DataFrame, capacity: int, lanes: int = LANES) -> DataFrame:
 
 def pack(index: DataFrame, capacity: int = CONTAINER_SIZE, lanes: int = LANES) -> DataFrame:
     """Next-fit packing: a container is closed when an item no longer fits, or its metadata is full. Each lane of each segment is packed alone."""
-    room, most = capacity - CONTAINER_META if capacity > CONTAINER_META else capacity, CONTAINER_META // ITEM_META
+    room = capacity - CONTAINER_META if capacity > CONTAINER_META else capacity
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("first_seq", "ascending"), ("first_no", "ascending")])
         ids, used, items, number = [], 0, 0, 0
         first = group.column("segment")[0].as_py() * SEGMENT_IDS + group.column("lane")[0].as_py() + 1
         for size in group.column("size").to_pylist():
-            if items and (used + size + ITEM_META >= room or items + 1 >= most):
+            if items and (used + size + ITEM_META >= room or (items + 1) * ITEM_META >= CONTAINER_META):
                 number, used, items = number + 1, 0, 0
             used, items = used + size, items + 1
             ids.append(first + number * lanes)
@@ -53,8 +53,9 @@ def delete_items(items: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def merge_candidates(fill_state: DataFrame, capacity: int, share: float = 0.4, bucket: int = 4096) -> DataFrame:
-    """Containers with few live bytes, by size bucket; ``rank`` orders a bucket by id."""
-    few = fill_state.where(F.col("active_bytes") <= share * capacity).withColumn("bucket", F.floor(F.col("active_bytes") / bucket))
+    """Containers with few live bytes and items, by size bucket. Two of them never have too many items for one."""
+    most = share * (CONTAINER_META // ITEM_META)
+    few = fill_state.where((F.col("active_bytes") <= share * capacity) & (F.col("active_items") <= most)).withColumn("bucket", F.floor(F.col("active_bytes") / bucket))
     return few.select("container_id", "active_bytes", "active_items", "bucket")
 
 
@@ -99,6 +100,70 @@ def revert_failed(counts: DataFrame, failed: DataFrame) -> DataFrame:
     return counts.join(undone, "fp", "left").select("fp", (F.col("usage_count") + F.coalesce("undo", F.lit(0))).alias("usage_count"))
 
 
+def in_combat(log: DataFrame, position: int) -> DataFrame:
+    """Fingerprints that events behind the replay position touch."""
+    return log.where(F.col("log_id") > position).select("fp").distinct()
+
+
+def orphans(listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Listed fingerprints that are indexed and unused are candidates of failed writes; unknown ones are ignored."""
+    return counts.where("usage_count <= 0").join(listed.select("fp"), "fp", "left_semi").select("fp", "usage_count", F.lit("failed").alias("type"))
+
+
+def failed_candidates(failed: DataFrame, counts: DataFrame) -> DataFrame:
+    """What failed writes (fp, delta) had added and the index now lacks, or holds unused."""
+    added = failed.where("delta > 0").select("fp").distinct()
+    return added.join(counts.select("fp", "usage_count"), "fp", "left").where("usage_count is null or usage_count <= 0").select("fp", F.lit("failed").alias("type"))
+
+
+def candidate_lists(candidates: DataFrame) -> DataFrame:
+    """Candidates (container_id, fp, type) by container and type, each fingerprint once; a container's room bounds its list."""
+    return candidates.groupBy("container_id", "type").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+
+
+def process_candidates(candidates: DataFrame, counts: DataFrame, busy: DataFrame) -> DataFrame:
+    """Candidates (fp, type) with what becomes of them.
+
+    One that an unreplayed event touches is kept, as is one of a failed write that the index does not know. One that is in use, or that
+    nothing knows, is dropped as a candidate; an unused one is deleted with its index row.
+    """
+    known = candidates.join(counts.select("fp", "usage_count"), "fp", "left").join(busy.select("fp").distinct().withColumn("busy", F.lit(True)), "fp", "left")
+    unknown = F.col("usage_count").isNull()
+    action = F.when(F.col("busy") | (unknown & (F.col("type") == "failed")), "keep").when(unknown | (F.col("usage_count") != 0), "drop").otherwise("delete")
+    return known.select("fp", "type", "usage_count", action.alias("action"))
+
+
+def anchor_hints(log: DataFrame, anchor: Column) -> DataFrame:
+    """Without counting, a log only gives anchors the last event's id and block."""
+    return log.where(anchor).groupBy("fp").agg(F.max("log_id").alias("change_log_id"), F.max_by("block_id", "log_id").alias("block_hint"))
+
+
+# Versions of blocks
+
+
+def volatile_states(mappings: DataFrame, containers: DataFrame) -> DataFrame:
+    """mappings (block_id, version, container_id), containers (container_id, state) -> (block_id, version, state).
+
+    A failed container fails every version that uses it and all later ones of the block; a version is committed once its containers and
+    all earlier versions are. First failed and first open versions come from aggregates, so a block of many versions loads no task.
+    """
+    state = F.coalesce("state", F.lit("open"))
+    used = mappings.join(containers.select("container_id", "state"), "container_id", "left").groupBy("block_id", "version").agg(
+        F.bool_or(state == "failed").alias("failed"), F.bool_and(state == "committed").alias("done")
+    )
+    first = used.groupBy("block_id").agg(F.min(F.when(F.col("failed"), F.col("version"))).alias("broken"), F.min(F.when(~F.col("done"), F.col("version"))).alias("pending"))
+    verdict = F.when(F.col("version") >= F.col("broken"), "failed").when(F.col("version") >= F.col("pending"), "volatile").otherwise("committed")
+    return used.join(first, "block_id").select("block_id", "version", verdict.alias("state"))
+
+
+def import_ready(main: DataFrame, aux: DataFrame, ready: DataFrame, key: str) -> DataFrame:
+    """main and aux (key, version, ...), ready (key, version): an auxiliary row moves to main if it is the ready version and main's is lower."""
+    fresh = aux.join(ready.select(key, "version"), [key, "version"], "left_semi")
+    older = main.select(key, F.col("version").alias("_main"))
+    fresh = fresh.join(older, key, "left").where(F.col("_main").isNull() | (F.col("_main") < F.col("version"))).select(*main.columns)
+    return main.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
 # Checks
 
 
@@ -171,3 +236,43 @@ def resolve(addresses: DataFrame, redirects: DataFrame) -> DataFrame:
     """Addresses with redirects (container_id, primary_id) followed, one level deep."""
     to = redirects.select(F.col("container_id").alias("address"), "primary_id")
     return addresses.join(to, "address", "left").withColumn("address", F.coalesce("primary_id", "address")).drop("primary_id")
+
+
+def load_containers(index: DataFrame, items: DataFrame) -> DataFrame:
+    """After a crash: live, indexed items at their first container that the index (fp, address, usage_count) lacks enter it unused."""
+    fresh = items.where("not deleted and indexed and original_id = container_id").groupBy("fp").agg(F.min("container_id").alias("address")).join(index.select("fp"), "fp", "left_anti")
+    return index.select("fp", "address", "usage_count").unionByName(fresh.withColumn("usage_count", F.lit(0).cast("long")))
+
+
+def merge_containers(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """items (container_id, original_id, deleted), groups (container_id, merge_group) -> what becomes of each original id.
+
+    The smallest id that still has live items is the primary one; others with live items redirect to it, the rest are removed.
+    """
+    ids = items.join(groups, "container_id").groupBy("merge_group", "original_id").agg(F.sum((~F.col("deleted")).cast("long")).alias("live_items"))
+    first = ids.where("live_items > 0").groupBy("merge_group").agg(F.min("original_id").alias("primary_id"))
+    role = F.when(F.col("original_id") == F.col("primary_id"), "primary").when(F.col("live_items") > 0, "secondary").otherwise("removed")
+    return ids.join(first, "merge_group", "left").select("merge_group", "original_id", "live_items", F.when(F.col("live_items") > 0, F.col("primary_id")).alias("primary_id"), role.alias("role"))
+
+
+def idle_containers(writes: DataFrame, seconds: int) -> DataFrame:
+    """Open containers (container_id, ts) by their last write; those idle for longer than ``seconds`` before the latest of all are to be committed."""
+    last = writes.groupBy("container_id").agg(F.max("ts").alias("last_ts"))
+    now = last.agg(F.max("last_ts").alias("now"))  # one row
+    idle = F.unix_micros("now") - F.unix_micros("last_ts") > seconds * 1_000_000
+    return last.join(F.broadcast(now)).select("container_id", idle.alias("commit"))
+
+
+def read_items(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """requests (fp, address, lo, n), stored (fp, address, chunk, deleted) -> their bytes in hex: short at the end, null if deleted or absent."""
+    piece = F.substring("chunk", (F.col("lo") + 1).cast("int"), F.col("n").cast("int"))
+    return requests.join(stored.where("not deleted"), ["fp", "address"], "left").select("fp", F.lower(F.hex(piece)).alias("data"))
+
+
+def repair_index(index: DataFrame, items: DataFrame, stored: DataFrame) -> DataFrame:
+    """The index with addresses from containers and counts from block items, and whether a row had to change. stored: one row a fingerprint."""
+    used = items.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    place = stored.select("fp", F.col("address").alias("place"))
+    both = place.join(used, "fp", "left").join(index, "fp", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    same = F.col("address").eqNullSafe(F.col("place")) & F.col("usage_count").eqNullSafe(F.col("n"))
+    return both.select("fp", F.col("place").alias("address"), F.col("n").alias("usage_count"), (~same).alias("repaired"))

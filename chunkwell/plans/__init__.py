@@ -1,0 +1 @@
+from . import queries, states  # noqa: F401  states adds its queries to those of queries

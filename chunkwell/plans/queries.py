@@ -356,7 +356,7 @@ def container_delete(spark, d):
     return _state(spark, d)
 
 
-@query(_DELETED + "SELECT container_id, active_bytes, active_items, active_bytes // 4096 AS bucket FROM st WHERE active_bytes <= 0.4 * 65536")
+@query(_DELETED + "SELECT container_id, active_bytes, active_items, active_bytes // 4096 AS bucket FROM st WHERE active_bytes <= 0.4 * 65536 AND active_items <= 0.4 * 1511")
 def merge_candidates_bucketed(spark, d):
     return storage.merge_candidates(_state(spark, d), CONTAINER)
 
@@ -375,13 +375,14 @@ def container_merge_ids(spark, d):
 # Checks
 
 
-def _checked(spark, d):
+def _planted(spark, d):
+    """Block items, an index with lost rows, wrong addresses and wrong counts, and stored chunks of which some are damaged."""
     items = _items(spark, d).join(_packed(spark, d).select("fp", F.col("container_id").alias("address")), "fp").select("fp", "address")
     counts = items.groupBy("fp").agg(F.min("address").alias("address"), F.count(F.lit(1)).alias("usage_count"))
     first = F.substring("fp", 1, 2)
     index = counts.where(first != "00").select("fp", F.when(first == "11", -1).otherwise(F.col("address")).cast("long").alias("address"), (F.col("usage_count") + (first == "22").cast("long")).alias("usage_count"))
     stored = counts.select("fp", "address", F.when(first == "33", F.lit("x")).otherwise(F.col("fp")).alias("real_fp"))
-    return storage.violations(items, index, stored)
+    return items, index, stored
 
 
 @query(""", u AS (SELECT items.fp, min(container_id) AS address, count(*) AS n FROM items JOIN packed USING (fp) GROUP BY items.fp)
@@ -389,7 +390,8 @@ def _checked(spark, d):
        UNION ALL SELECT 'missing_item', fp, '-1' FROM u WHERE substr(fp, 1, 2) = '11' UNION ALL SELECT 'usage_count', fp, '-1' FROM u WHERE substr(fp, 1, 2) = '22' UNION ALL SELECT 'rehash', fp, 'x' FROM u WHERE substr(fp, 1, 2) = '33'""")
 def check_violations(spark, d):
     """The checker on an index with planted faults: lost rows, wrong addresses, wrong counts, damaged data."""
-    return _checked(spark, d)
+    items, index, stored = _planted(spark, d)
+    return storage.violations(items, index, stored)
 
 
 @query(", x AS (SELECT 1) SELECT fp, container_id AS address, n AS usage_count FROM packed JOIN (SELECT fp, count(*) AS n FROM items GROUP BY fp) USING (fp)")
@@ -468,7 +470,8 @@ def idle_state(spark, d):
 def committed_versions(spark, d):
     """A version of a block commits only if no version before it failed."""
     e = tables.log(spark, d).select("log_id", F.col("fp").alias("block_id"), (F.col("event_type") == "error").alias("failed"))
-    return e.select("log_id", "block_id", (~F.bool_or("failed").over(Window.partitionBy("block_id").orderBy("log_id"))).alias("committed"))
+    first = e.groupBy("block_id").agg(F.min(F.when(F.col("failed"), F.col("log_id"))).alias("broken"))
+    return e.join(first, "block_id").select("log_id", "block_id", (F.col("broken").isNull() | (F.col("log_id") < F.col("broken"))).alias("committed"))
 
 
 @query(", x AS (SELECT 1) SELECT source, count(*) AS requests, sum(total)::BIGINT AS bytes, grouping(source)::BIGINT AS all_volumes FROM w GROUP BY ROLLUP (source)")

@@ -21,6 +21,14 @@ def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("size", F.octet_length("data").cast("long"))
 
 
+def page_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is one write request to volume 2."""
+    pages = read(spark, sf_dir, "pages")
+    return pages.select(
+        F.col("page_id").alias("write_seq"), F.lit(2).alias("volume_id"), F.lit("pages").alias("source"), (F.col("page_id") * EXTENT + SKEW).alias("offset"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")
+    ).withColumn("size", F.octet_length("data").cast("long"))
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of count changes: the user is the fingerprint; purchases and signups add, errors take away, views and clicks change nothing."""
     delta = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
