@@ -8,6 +8,7 @@ from ..functions.fingerprints import block_id
 from ..functions.hashing import murmur3_batches, rot13
 from ..operators import chunking, dedup, locality, mapping, storage
 from ..sources import tables
+from ..streaming import ingest
 from .queries import BLOCK, CHUNK, _chunks, _halves, _index, _items, _packed, _planted, query
 
 # Functions
@@ -310,3 +311,31 @@ def stats_table(spark, d):
     """Counters as rows under prefixed keys, the form in which they are kept and found again."""
     r = dedup.ratio(_chunks(spark, d)).drop("dedup_ratio")
     return r.unpivot([], r.columns, "name", "value").select(F.concat(F.lit("dedup."), F.col("name")).alias("key"), "value")
+
+
+# Streams
+
+
+def _folder(spark, name):
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='chunkwell-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(", x AS (SELECT 1) SELECT fp, size FROM idx")
+def stream_ingest(spark, d):
+    """The index that writes leave when they arrive in micro-batches."""
+    folder = _folder(spark, "ingest")
+    index, _ = ingest.ingest(ingest.staged(tables.writes(spark, d), folder, "write_seq"), folder, CHUNK, BLOCK)
+    return index.select("fp", "size")
+
+
+@query(", x AS (SELECT 1) SELECT event_type, count(*) AS events, max(log_id) AS last_id FROM logt GROUP BY event_type")
+def stream_publish(spark, d):
+    """One of two consumers of the log counts its events; partial counts of batches are summed."""
+    folder = _folder(spark, "publish")
+    count = lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.max("log_id").alias("last_id"))
+    consumers = {"counts": count, "hints": lambda b: b.select("log_id", "fp", "block_id")}
+    found = ingest.publish(ingest.staged(tables.log(spark, d), folder, "log_id"), folder, consumers)["counts"]
+    return found.groupBy("event_type").agg(F.sum("events").alias("events"), F.max("last_id").alias("last_id"))

@@ -163,3 +163,22 @@ def test_locality_evicts_the_oldest_block():
     for b in (1, 2, 3):
         assert cache._fetch(b)
     assert list(cache.cached) == [2, 3] and cache.holders == {"b": {2}, "c": {3}, "a": {3}} and not cache._fetch(9)
+
+
+def test_ingest_again_changes_nothing(spark, tmp_path):
+    from chunkwell.streaming import ingest
+
+    rows = [(k, 1, "s", k * 4096, bytearray(bytes([k % 3]) * 100), 100) for k in range(24)]
+    writes = spark.createDataFrame(rows, "write_seq long, volume_id int, source string, offset long, data binary, size long")
+    stream = ingest.staged(writes, str(tmp_path), "write_seq", 8)
+    for _ in range(2):
+        index, items = ingest.ingest(stream, str(tmp_path), 64, 4096)
+        assert index.count() == index.select("fp").distinct().count() == 6 and items.count() == 48
+
+
+def test_a_failing_consumer_does_not_stop_the_others(spark, tmp_path):
+    from chunkwell.streaming import ingest
+
+    events = spark.createDataFrame([(k, "t") for k in range(20)], "log_id long, event_type string")
+    found = ingest.publish(ingest.staged(events, str(tmp_path), "log_id"), str(tmp_path), {"bad": lambda b: b.select("nothing"), "good": lambda b: b.select("log_id")})
+    assert set(found) == {"good"} and found["good"].select("log_id").distinct().count() == 20
