@@ -204,14 +204,59 @@ def adler32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.adler32(x.as_py()) for x in batch.column(1)], pa.int64())], ["key", "adler32"])
 
 
-def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow on (fp, chunk): the stored size with deflate; chunks below 128 bytes, or that do not shrink, stay as they are."""
+def _pack_bytes(codec: str, raw: bytes) -> bytes:
+    import bz2
+    import zlib
+
+    if codec == "deflate":
+        return zlib.compress(raw, 1)
+    return bz2.compress(raw) if codec == "bz2" else pa.compress(raw, codec=PYARROW_CODECS[codec], asbytes=True)
+
+
+def _unpack_bytes(codec: str, stored: bytes, size: int) -> bytes:
+    import bz2
+    import zlib
+
+    if codec == "deflate":
+        return zlib.decompress(stored)
+    return bz2.decompress(stored) if codec == "bz2" else pa.decompress(stored, size, codec=PYARROW_CODECS[codec], asbytes=True)
+
+
+PYARROW_CODECS = {"snappy": "snappy", "lz4": "lz4_raw"}
+CODECS = ("deflate", "bz2", *PYARROW_CODECS)
+LEAST_COMPRESSED = 128  # smaller items stay as they are
+SEALED = "fp string, codec string, raw_size long, stored binary, adler32 long"
+
+
+def seal(codec: str):
+    """For mapInArrow on (fp, chunk): items as containers hold them, compressed where that is smaller (``codec`` is null elsewhere), with a checksum of the stored bytes."""
+    import zlib
+
+    if codec not in CODECS:
+        raise ValueError(f"no codec {codec}; there are {CODECS}")
+
+    def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.as_py() for x in batch.column(1)]
+            small = [_pack_bytes(codec, x) if len(x) >= LEAST_COMPRESSED else x for x in raw]
+            used = [len(y) < len(x) for x, y in zip(raw, small, strict=True)]
+            stored = [y if u else x for x, y, u in zip(raw, small, used, strict=True)]
+            columns = [batch.column(0), pa.array([codec if u else None for u in used], pa.string()), pa.array([len(x) for x in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array([zlib.adler32(x) for x in stored], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "codec", "raw_size", "stored", "adler32"])
+
+    return sealed
+
+
+def unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow on sealed items: (fp, chunk, ok); a checksum that does not match gives no bytes."""
     import zlib
 
     for batch in batches:
-        raw = [x.as_py() for x in batch.column(1)]
-        stored = [min(len(x), len(zlib.compress(x, 1))) if len(x) >= 128 else len(x) for x in raw]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(stored, pa.int64())], ["fp", "raw_size", "item_size"])
+        out = []
+        for codec, size, stored, check in zip(*(batch.column(n).to_pylist() for n in ("codec", "raw_size", "stored", "adler32")), strict=True):
+            ok = zlib.adler32(stored) == check
+            out.append((_unpack_bytes(codec, stored, size) if codec else stored) if ok else None)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("fp")), pa.array(out, pa.binary()), pa.array([x is not None for x in out])], ["fp", "chunk", "ok"])
 
 
 def commit_state(addresses: DataFrame, committed: DataFrame, known_at_start: int) -> DataFrame:

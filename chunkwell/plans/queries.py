@@ -529,7 +529,8 @@ def container_redirects(spark, d):
 @query()
 def container_compression(spark, d):
     stored = _chunks(spark, d).groupBy("fp").agg(F.min("chunk").alias("chunk"))
-    return stored.select("fp", "chunk").mapInArrow(storage.compressed, "fp string, raw_size long, item_size long")
+    sealed = stored.select("fp", "chunk").mapInArrow(storage.seal("deflate"), storage.SEALED)
+    return sealed.select("fp", "raw_size", F.octet_length("stored").cast("long").alias("item_size"))
 
 
 @query(", h AS (SELECT fp, arg_max(block_id, log_id) AS hint FROM logt GROUP BY fp) SELECT hint - block_id AS diff, count(*) AS hits FROM logt JOIN h USING (fp) GROUP BY 1")

@@ -286,6 +286,19 @@ def check_repairs(spark, d):
     return storage.repair_index(index, items, stored)
 
 
+@query(", c AS (SELECT unnest(['deflate', 'bz2', 'snappy', 'lz4']) AS codec) SELECT codec, (SELECT count(*) FROM idx) AS items, 0::BIGINT AS damaged, 0::BIGINT AS different FROM c")
+def container_codecs(spark, d):
+    """All stored chunks sealed by each codec and read back, checked by checksum and fingerprint."""
+    stored = _chunks(spark, d).groupBy("fp").agg(F.min("chunk").alias("chunk"))
+    out = None
+    for codec in storage.CODECS:
+        back = stored.select("fp", "chunk").mapInArrow(storage.seal(codec), storage.SEALED).mapInArrow(storage.unseal, "fp string, chunk binary, ok boolean")
+        wrong = F.col("ok") & (F.sha1("chunk") != F.col("fp"))
+        row = back.agg(F.count(F.lit(1)).alias("items"), F.sum((~F.col("ok")).cast("long")).alias("damaged"), F.sum(wrong.cast("long")).alias("different")).select(F.lit(codec).alias("codec"), "items", "damaged", "different")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Inspection and log
 
 

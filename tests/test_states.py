@@ -182,3 +182,22 @@ def test_a_failing_consumer_does_not_stop_the_others(spark, tmp_path):
     events = spark.createDataFrame([(k, "t") for k in range(20)], "log_id long, event_type string")
     found = ingest.publish(ingest.staged(events, str(tmp_path), "log_id"), str(tmp_path), {"bad": lambda b: b.select("nothing"), "good": lambda b: b.select("log_id")})
     assert set(found) == {"good"} and found["good"].select("log_id").distinct().count() == 20
+
+
+@pytest.mark.parametrize("codec", storage.CODECS)
+def test_sealed_items_come_back_or_are_refused(spark, codec):
+    data = {"empty": b"", "short": b"a" * 127, "even": b"ab" * 500, "random": random.Random(2).randbytes(1000)}
+    chunks = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "fp string, chunk binary")
+    sealed = chunks.mapInArrow(storage.seal(codec), storage.SEALED)
+    rows = {r["fp"]: r for r in sealed.collect()}
+    assert {k: r["codec"] for k, r in rows.items()} == {"empty": None, "short": None, "even": codec, "random": None}
+    assert len(rows["even"]["stored"]) < 1000 and rows["random"]["raw_size"] == 1000
+    back = "fp string, chunk binary, ok boolean"
+    assert {r["fp"]: bytes(r["chunk"]) for r in sealed.mapInArrow(storage.unseal, back).collect()} == data
+    hurt = sealed.where("fp = 'even'").withColumn("adler32", F.col("adler32") + 1)
+    assert [(r["ok"], r["chunk"]) for r in hurt.mapInArrow(storage.unseal, back).collect()] == [(False, None)]
+
+
+def test_unknown_codecs_are_refused():
+    with pytest.raises(ValueError):
+        storage.seal("none")
