@@ -7,6 +7,8 @@ have equal keys. Neighbouring windows mostly share their key, so what travels ar
 1. Documents are dealt into batches of some MB, once; later steps read the same exchange.
 2. A batch lists the keys of its windows (once each, twice if it has the key in several runs). Buckets of keys find those
    that occur more than once; only runs with such a key go on. Each batch is told its own.
+   A key of very many runs is hot: of its windows, batches also list the hashes of all 100 bytes, and buckets of these
+   find the ones that occur more than once. Its runs are cut down to those windows.
 3. A batch sends each distinct run (its bytes, document and start) to the bucket of its key. A run whose bytes the batch
    has sent already is a repeat: only its place goes along.
 4. A bucket sorts the suffixes of its runs in two stages: those smaller than their successor are sorted directly,
@@ -14,8 +16,9 @@ have equal keys. Neighbouring windows mostly share their key, so what travels ar
    of 100 bytes join equal windows; all but the earliest are marked.
 5. Marks return to their batch, where covered bytes are counted and the rest is hashed.
 
-No key is special: a window's content is sent once per batch at most, however often it occurs, so a passage in a third of all
-documents loads a bucket with one run for each batch. Batches and buckets grow in number, not in size.
+A window's content is sent once per batch at most, however often it occurs, so a passage in a third of all documents loads a bucket
+with one run for each batch. Without the cut, the windows over its ends, or over a frequent phrase below 100 bytes, would
+send another run for each document, as each has other bytes beside it. Batches and buckets grow in number, not in size.
 
 Nulls and edge cases: a null text is empty; a null id sorts first; rows that repeat an id follow each other in the
 order of their texts, so a repeated row is removed whole if it has 100 bytes; texts below 100 bytes lose nothing; an
@@ -38,6 +41,7 @@ LENGTH = 100
 GRAM = 40
 CHUNK = 1 << 18
 BATCH_MB = 8
+HOT = 4096  # runs that one key may send to its bucket unexamined: about 1 MB
 U64 = np.uint64
 NO_ID = -(2**63)
 
@@ -64,6 +68,28 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return _mix(h[:n] * _STEPS[6] + eight[32 : 32 + n])
 
 
+def _window_hashes(b: np.ndarray) -> np.ndarray:
+    """Hashes of all 100-byte windows, by doubling: 1, 2, 4, ... 64 bytes, then 64, 32 and 4."""
+    h, held = _BYTES[b], {}
+    for k in range(6):
+        held[1 << k] = h
+        h = h[: -(1 << k)] * _STEPS[k] + h[1 << k :]
+    n = len(b) - LENGTH + 1
+    return _mix((h[:n] * _STEPS[6] + held[32][64 : 64 + n]) * _STEPS[7] + held[4][96 : 96 + n])
+
+
+def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def _spread_out(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number of its run) of every window of the runs."""
+    run = np.repeat(np.arange(len(first)), count)
+    return first[run] + np.arange(len(run)) - (np.cumsum(count) - count)[run], run
+
+
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -266,36 +292,82 @@ class Batch:
                 self.nth[k] = self.nth[k - 1] + 1
 
 
-def _keys(table: pa.Table, buckets: int) -> pa.Table:
-    """(bucket, batch, keys) of a batch: distinct keys, those of several runs twice."""
-    own: list[np.ndarray] = []
-    found = [np.empty(0, U64), *[keys for *_, keys in runs(Batch(table).texts, own=own)]]
-    keys, counts = np.unique(np.concatenate(found + own), return_counts=True)
-    keys = np.r_[keys, keys[counts > 1]]
+LISTED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+KNOWN = pa.schema([("batch", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+
+
+def _listed(batch: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """A batch's distinct keys and their counts, by bucket."""
+    keys, counts = np.unique(keys, return_counts=True)
     bucket = (keys % U64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    keys, bucket = keys[by], bucket[by]
+    keys, counts, bucket = keys[by], np.minimum(counts[by], 2**32 - 1).astype(np.uint32), bucket[by]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.empty(0, np.int64)
-    blobs = [keys[x:y].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True)] if len(keys) else []
-    batch = table.column("batch")[0].as_py()
-    return pa.table({"bucket": pa.array(bucket[cuts], pa.int64()), "batch": pa.array([batch] * len(blobs), pa.int64()), "keys": pa.array(blobs, pa.binary())})
+    ends = np.r_[cuts[1:], len(keys)] if len(keys) else cuts
+    blobs = [[x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)] for x in (keys, counts)]
+    return pa.Table.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array([batch] * len(cuts), pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], schema=LISTED)
+
 
+def _keys(table: pa.Table, buckets: int) -> pa.Table:
+    """The keys of a batch's runs; a run that may repeat a window itself counts twice."""
+    own: list[np.ndarray] = []
+    found = [np.empty(0, U64), *[keys for *_, keys in runs(Batch(table).texts, own=own)]]
+    return _listed(table.column("batch")[0].as_py(), np.concatenate(found + own), buckets)
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """(batch, keys): of a bucket's keys those that occur more than once, for each batch that has them."""
+
+def _repeated(table: pa.Table, hot: int) -> pa.Table:
+    """(batch, keys, hot): of a bucket's keys those that occur more than once, for each batch that has them, and whether more than ``hot`` times."""
     lists = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
     keys = np.concatenate(lists)
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
     owner = np.repeat(np.array(table.column("batch").to_pylist()), [len(x) for x in lists])
-    by = np.lexsort((owner, keys))
-    keys, owner = keys[by], owner[by]
-    same = keys[1:] == keys[:-1]
-    many = np.r_[same, False] | np.r_[False, same]
-    keys, owner = keys[many], owner[many]
+    by = np.argsort(keys, kind="stable")
+    keys, owner, counts = keys[by], owner[by], counts[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    total = np.repeat(np.add.reduceat(counts, first), np.diff(np.r_[first, len(keys)]))
+    many = total > 1
+    keys, owner, often = keys[many], owner[many], (total[many] > hot).astype(np.uint8)
     by = np.argsort(owner, kind="stable")
-    keys, owner = keys[by], owner[by]
+    keys, owner, often = keys[by], owner[by], often[by]
     cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(keys) else np.empty(0, np.int64)
-    blobs = [np.unique(keys[x:y]).tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True)] if len(keys) else []
-    return pa.table({"batch": pa.array(owner[cuts], pa.int64()), "keys": pa.array(blobs, pa.binary())})
+    ends = np.r_[cuts[1:], len(keys)] if len(keys) else cuts
+    blobs = [[x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)] for x in (keys, often)]
+    return pa.Table.from_arrays([pa.array(owner[cuts], pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], schema=KNOWN)
+
+
+def _joined(known: pa.Table, name: str, kind=U64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[np.frombuffer(x.as_py(), kind) for x in known.column(name) if x.is_valid]])
+
+
+def _hot_keys(known: pa.Table) -> np.ndarray:
+    return np.sort(_joined(known, "keys")[_joined(known, "hot", np.uint8) > 0])
+
+
+def _hot_windows(docs: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+    """Hashes of the windows whose key is hot."""
+    hot = _hot_keys(known)
+    if not len(docs) or not len(hot):
+        return LISTED.empty_table()
+    found = [np.empty(0, U64)]
+    for _, joined, _, first, count, keys in runs(Batch(docs).texts):
+        hit = _within(keys, hot)
+        if hit.any():
+            found.append(_window_hashes(np.frombuffer(joined, np.uint8))[_spread_out(first[hit], count[hit])[0]])
+    return _listed(docs.column("batch")[0].as_py(), np.concatenate(found), buckets)
+
+
+def _cut_down(joined: bytes, first: np.ndarray, count: np.ndarray, keys: np.ndarray, hot: np.ndarray, again: np.ndarray):
+    """The runs in order, those of hot keys without windows that occur once."""
+    hit = _within(keys, hot)
+    if not hit.any():
+        return first, count, keys
+    at, run = _spread_out(first[hit], count[hit])
+    stays = _within(_window_hashes(np.frombuffer(joined, np.uint8))[at], again)
+    begins = stays & np.r_[True, ~stays[:-1] | (run[1:] != run[:-1])]
+    sizes = np.bincount(np.cumsum(begins)[stays] - 1, minlength=int(begins.sum())).astype(count.dtype)
+    first, count, keys = np.r_[first[~hit], at[begins]], np.r_[count[~hit], sizes], np.r_[keys[~hit], keys[hit][run[begins]]]
+    by = np.argsort(first, kind="stable")
+    return first[by], count[by], keys[by]
 
 
 PIECES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("places", pa.binary()), ("repeats", pa.binary()), ("bytes", pa.binary())])
@@ -306,12 +378,13 @@ def _pieces(docs: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
     if not len(docs) or not len(known):
         return PIECES.empty_table()
     batch = Batch(docs)
-    repeated = np.sort(np.concatenate([np.frombuffer(x.as_py(), U64) for x in known.column("keys")]))
+    repeated, hot, again = np.sort(_joined(known, "keys")), _hot_keys(known), np.sort(_joined(known, "windows"))
     sent: set[bytes] = set()
     out: dict[int, tuple[list, list, list]] = {}
     for at, joined, begins, first, count, keys in runs(batch.texts):
-        hit = repeated[np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)] == keys
-        first, count, bucket = first[hit], count[hit], (keys[hit] % U64(buckets)).astype(np.int64)
+        hit = _within(keys, repeated)
+        first, count, keys = _cut_down(joined, first[hit], count[hit], keys[hit], hot, again)
+        bucket = (keys % U64(buckets)).astype(np.int64)
         doc = np.searchsorted(begins, first, side="right") - 1
         rows = zip(first.tolist(), count.tolist(), bucket.tolist(), (doc + at).tolist(), (first - begins[doc]).tolist(), strict=True)
         for x, n, b, d, start in rows:
@@ -396,15 +469,19 @@ def _removed(docs: pa.Table, marked: pa.Table, with_text: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and ``kept``, the bytes that stay, if asked for."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and ``kept``, the bytes that stay, if asked for. ``hot`` changes the way, not the result."""
     batches = parts(docs, BATCH_MB)
     buckets = 4 * batches
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.withColumn("batch", F.expr(f"pmod(xxhash64(doc_id), {batches}L)")).repartition(batches, "batch")
-    keys = dealt.groupBy("batch").applyInArrow(lambda t: _keys(t, batches), "bucket long, batch long, keys binary")
-    known = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, keys binary")
-    pieces = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda d, k: _pieces(d, k, buckets), "bucket long, batch long, places binary, repeats binary, bytes binary")
+    listed, told = "bucket long, batch long, keys binary, counts binary", "batch long, keys binary, hot binary"
+    keys = dealt.groupBy("batch").applyInArrow(lambda t: _keys(t, batches), listed)
+    known = keys.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), told)
+    windows = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda d, k: _hot_windows(d, k, batches), listed)
+    again = windows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), told).select("batch", F.col("keys").alias("windows"))
+    both = known.unionByName(again, allowMissingColumns=True)
+    pieces = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(lambda d, k: _pieces(d, k, buckets), "bucket long, batch long, places binary, repeats binary, bytes binary")
     marks = pieces.groupBy("bucket").applyInArrow(_marks, "batch long, marks binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return dealt.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda d, m: _removed(d, m, with_text), schema)

@@ -151,8 +151,8 @@ def covered(texts):
     return out
 
 
-def removed(spark, rows):
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("keys", F.lit(1))).collect()
+def removed(spark, rows, hot=suffix_dedup.HOT):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("keys", F.lit(1)), hot=hot).collect()
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr)
 
 
@@ -165,13 +165,29 @@ def wanted(rows):
     return sorted(out, key=repr)
 
 
-def test_suffix_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [0, 3, suffix_dedup.HOT])
+def test_suffix_dedup_against_brute_force(spark, hot):
     r = random.Random(4)
     shared = [prose(k, 60) for k in range(4)]
     rows = [(k, " ".join(r.choice([prose(100 + k, 30), r.choice(shared), "ab" * 120, "=" * r.randrange(300), "é" * 70]) for _ in range(r.randrange(5)))) for k in range(60)]
     rows += [(k, t) for k, t, *_ in awkward() if k != 10]
-    assert removed(spark, rows) == wanted(rows)
-    assert removed(spark, []) == []
+    assert removed(spark, rows, hot) == wanted(rows)
+    assert removed(spark, [], hot) == []
+
+
+def test_phrases_and_passages_among_other_words(spark):
+    """A phrase below 100 bytes goes nowhere; a longer passage goes where it comes again, however its ends differ."""
+    phrase, passage = prose(7, 30)[:80], prose(8, 60)[:300]
+    rows = [(k, f"{prose(1000 + k, 25)} {phrase} {prose(2000 + k, 25)} {passage if k % 2 else ''} {prose(3000 + k, 25)}") for k in range(40)]
+    got = removed(spark, rows, 2)
+    assert got == wanted(rows) == removed(spark, rows)
+    assert sum(n > 0 for _, _, n, _, _ in got) == 19
+
+
+def test_window_hashes_are_of_the_window_alone():
+    b = np.frombuffer(random.Random(3).randbytes(700), np.uint8)
+    twice = suffix_dedup._window_hashes(np.r_[b, b])
+    assert (twice[:601] == twice[700:1301]).all() and len(np.unique(twice[:700])) == 700 and len(twice) == 1301
 
 
 @pytest.mark.parametrize("seed", range(30))
