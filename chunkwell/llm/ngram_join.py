@@ -124,7 +124,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 bands.append([])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["rid", "doc_id", "digest", "n_grams", "bands"]
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["rid", "doc_id", "sha", "digest", "n_grams", "bands"],
         )
 
 
@@ -221,14 +222,20 @@ def _verify(unit: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], schema=UNIT)
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per row: doc_id; class_id, the smallest doc_id among all texts that verified links join; n_links, other texts at or
-    above the threshold; copy_id, the smallest doc_id with the same words; n_copies, rows with the same words.
+def _sha(text):
+    """Digest of a text, which tells rows apart that share an id."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
+
+
+def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, digest); texts (digest, copy_id, n_copies, n_links, label); classes (label, first), where ``first``
+    has the doc_id and sha of the class's row of smallest id, rows without an id last.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(rows.mapInArrow(_sketch, "rid long, doc_id long, digest binary, n_grams long, bands array<long>"), "sketches")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", _sha(F.col("text")).alias("sha"))
+    sketches = written(rows.mapInArrow(_sketch, "rid long, doc_id long, sha binary, digest binary, n_grams long, bands array<long>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
     texts = written(
-        sketches.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "n_grams")).alias("s"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")).select("digest", "s.*", "copy_id", "n_copies"), "texts"
+        sketches.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "sha", "n_grams")).alias("s"), first, F.count(F.lit(1)).alias("n_copies")).select("digest", "s.*", "first", "n_copies"), "texts"
     )
     bands = sketches.join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
     stars = bands.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -237,7 +244,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     edges = hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
     members = components(edges, "near").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
 
-    members = members.join(texts.select("rid", "doc_id", "digest", "n_grams"), "rid")
+    members = members.join(texts.select("rid", "doc_id", "sha", "digest", "n_grams"), "rid")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("long"))
     placed = written(members.join(sizes.select("comp", "blocks"), "comp").withColumn("block", F.expr("pmod(xxhash64(rid), blocks)")), "placed")
@@ -245,7 +252,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     # A block meets every block of its component, itself included; a small component has one block and shares its unit with others.
     other = F.explode(F.expr("sequence(0L, blocks - 1)"))
     # Merged at every size: neither side has a bound, and shuffles then grow as the input does.
-    with_text = placed.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("_id"), _sha(F.col("text")).alias("_sha"), "text")
+    with_text = placed.hint("merge").join(texts_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
     spread = with_text.select("comp", "rid", "digest", "text", "block", "blocks", other.alias("other")).select(
         "comp", "rid", "digest", "text", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
         F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(comp), {units}L)")).otherwise(F.col("comp")).alias("unit"), (F.col("blocks") == 1).alias("small"),
@@ -256,14 +264,24 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     links = verified.groupBy("rid").agg(F.sum("n_links").alias("n_links"))
     joined = components(verified.where("rid <> to").select(F.col("rid").alias("a"), F.col("to").alias("b")), "classes")
     known = texts.join(links, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
-    known = known.select("digest", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "rid").alias("label"))
-    lowest = known.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    classes = known.join(lowest, "label").drop("label")
+    known = known.select("digest", "first", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "rid").alias("label"))
+    lowest = known.groupBy("label").agg(F.min("first").alias("first"))
+    return sketches, known.withColumn("copy_id", F.col("first.doc_id")).drop("first"), lowest
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per row: doc_id; class_id, the smallest doc_id among all texts that verified links join; n_links, other texts at or
+    above the threshold; copy_id, the smallest doc_id with the same words; n_copies, rows with the same words.
+    """
+    sketches, known, lowest = _classed(docs, threshold, tolerance)
+    classes = known.join(lowest.select("label", F.col("first.doc_id").alias("class_id")), "label").drop("label")
     return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest id, with its columns."""
-    kept = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    got = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return got.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))).where("_nth = 1").select(*docs.columns)
+    """One row of each class, one with the smallest id, with its columns; rows without an id, or of one id, are told apart by their texts."""
+    kept = _classed(docs, THRESHOLD, TOLERANCE)[2].select(F.col("first.doc_id").alias("_id"), F.col("first.sha").alias("_kept_sha"))
+    rows = docs.withColumn("_sha", _sha(F.col("text")))
+    got = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))  # equal rows
+    return got.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)

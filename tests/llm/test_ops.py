@@ -346,6 +346,21 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     assert kept == sorted({c for c, *_ in want.values()})
 
 
+def test_near_stage_keeps_a_row_of_each_class_whatever_the_ids(spark):
+    near = lambda t: " ".join([*t.split()[:-1], "zzz"])
+    texts = [prose(70 + k, 80) for k in range(7)]
+    rows = [(None, texts[k]) for k in range(4)] + [(None, near(texts[0])), (None, texts[1])]  # four classes without any id
+    rows += [(7, texts[4]), (7, texts[5]), (7, near(texts[6])), (3, texts[6])]  # an id of two classes, and of a near copy of another id's text
+    want = [*texts[1:6], texts[6]]
+    for n in (1, 3):
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(n)
+        out = ngram_join.stage(spark, df, "")
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert out.columns == df.columns and len(got) == 7
+        assert sorted(t for _, t in got if t not in (texts[0], near(texts[0]))) == sorted(want)
+        assert {i for i, t in got if t == texts[6]} == {3} and {i for i, t in got if t in texts[4:6]} == {7}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     assert all(ngram_join.least_matches(n, 0.8, 1e-9) < 0.8 * n for n in range(16, 129, 16))
     assert [ngram_join.least_matches(n, 0.8, 1e-9) for n in (16, 64, 128)] == sorted(ngram_join.least_matches(n, 0.8, 1e-9) for n in (16, 64, 128))
