@@ -4,15 +4,16 @@ The patterns (email, ip, card, phone) give the base spans; they always stay. The
 labels every candidate token of the document: base spans, long strings of letters and
 digits, and long numbers that no pattern accepted. A token's own potential comes from a
 log-linear model of its shape and the words before it, fitted here on a small labelled
-table. Adjacent candidates are linked, and so are distant ones that repeat or nearly
-repeat a token: these share a potential that favours equal labels, and loopy belief
-propagation (damped sum-product, a few rounds) carries evidence between them. A bare key
-is thus found because the same key stands after ``token =`` elsewhere, and a number with a
-mistyped digit because the right one is close by.
+table. All copies of a token are one variable, however many and far apart they are. Its
+features are those that any of its copies has: the words before one copy are evidence for all, and
+a shape that repeats is no new evidence. So a bare key is found because the same key
+stands after ``token =`` elsewhere. Variables of adjacent candidates are linked, and so are those of
+tokens that nearly repeat each other: these share a potential that favours equal labels, and
+loopy belief propagation (damped sum-product, until messages settle) carries evidence between
+them, as to a number with a mistyped digit whose right form stands elsewhere.
 
-Each document is worked on alone, in one pass without a shuffle. Links of repeated tokens run
-from each to the next, so their number is linear in the tokens. Similar tokens are
-found by half keys (equal first or last half), again to the next one only.
+Each document is worked on alone, in one pass without a shuffle. Similar tokens are
+found by half keys (equal first or last half), each linked to the next one only, so links are linear in the tokens.
 
 Nulls and edge cases: a null text is empty and has no spans; rows are independent, so ids may be
 null or repeated; empty tables give empty results; texts are read whole; further columns are ignored.
@@ -21,6 +22,7 @@ null or repeated; empty tables give empty results; texts are read whole; further
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -42,7 +44,7 @@ CUES = {
     "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|karte|tarjeta|carte)\b[^0-9]{0,16}\Z"),
     "phone": re.compile(r"(?i)\b(?:phone|tel|call|fax|mobile|telefon|teléfono|téléphone)\b[^0-9]{0,16}\Z"),
 }
-SKIP_SAME, SKIP_NEAR, CHAIN = 4.0, 1.5, 0.1
+SKIP_NEAR, CHAIN, SETTLED = 1.5, 0.1, 1e-6
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -143,40 +145,50 @@ def weights() -> np.ndarray:
     return w
 
 
-def _links(tokens: list[str]) -> list[tuple[int, int, float]]:
-    """Pairs of candidates that share a potential, and how strong it is; linear in the number of tokens."""
-    links = [(k, k + 1, CHAIN) for k in range(len(tokens) - 1)]
-    last: dict[object, int] = {}
-    for k, t in enumerate(tokens):
-        plain = re.sub(r"[ ()+.-]", "", t).casefold()
+def _plain(token: str) -> str:
+    return re.sub(r"[ ()+.-]", "", token).casefold()
+
+
+def _links(plains: list[str], entity: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """Pairs of variables (a, b) that share a potential, how strong it is for b and for a; linear in the number of tokens.
+
+    ``plains`` are the distinct tokens, ``entity`` says which of them each candidate is. To a token that stands n times
+    each of its neighbours says an nth as much, so that they do not outweigh the token itself.
+    """
+    times = np.bincount(entity, minlength=len(plains)).tolist()
+    links = [(a, b, CHAIN / times[b], CHAIN / times[a]) for a, b in itertools.pairwise(entity.tolist()) if a != b]
+    last: dict[tuple, int] = {}
+    for k, plain in enumerate(plains):
         half = len(plain) // 2
-        if (j := last.get(plain)) is not None:
-            links.append((j, k, SKIP_SAME))
         for key in ((len(plain), 0, plain[:half]), (len(plain), 1, plain[-half:])):
-            if (j := last.get(key)) is not None and re.sub(r"[ ()+.-]", "", tokens[j]).casefold() != plain:
-                links.append((j, k, SKIP_NEAR))
+            if (j := last.get(key)) is not None:
+                links.append((j, k, SKIP_NEAR, SKIP_NEAR))
             last[key] = k
-        last[plain] = k
     return links
 
 
-def propagate(unary: np.ndarray, links: list[tuple[int, int, float]], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Beliefs of each token by loopy sum-product; a link multiplies equal labels by exp(strength)."""
+def propagate(unary: np.ndarray, links: list[tuple[int, int, float, float]], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+    """Beliefs of each variable by loopy sum-product; a link multiplies equal labels by exp(strength).
+
+    It ends when no message changes any more; ``rounds`` are added to what the longest possible chain needs under damping.
+    """
     if not links:
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    src = np.array([a for a, b, _ in links] + [b for a, b, _ in links])
-    dst = np.array([b for a, b, _ in links] + [a for a, b, _ in links])
-    gain = np.expm1(np.array([s for *_, s in links] * 2))[:, None]
+    a, b, ahead, behind = (np.array(c) for c in zip(*links, strict=True))
+    src, dst = np.r_[a, b], np.r_[b, a]
+    gain = np.expm1(np.r_[ahead, behind])[:, None]
     m, back = len(links), np.r_[len(links) : 2 * len(links), 0 : len(links)]
     message = np.zeros((2 * m, unary.shape[1]))
-    for _ in range(rounds):
+    for _ in range(rounds + 2 * len(unary)):
         total = unary.copy()
         np.add.at(total, dst, message)
         z = total[src] - message[back]
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
-        message = damping * message + (1 - damping) * np.log1p(gain * z)
+        old, message = message, damping * message + (1 - damping) * np.log1p(gain * z)
+        if np.abs(message - old).max() < SETTLED:
+            break
     np.add.at(unary := unary.copy(), dst, message)
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -197,11 +209,15 @@ def field_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if len(cands) == len(base):
         return []
     cands.sort()
-    unary = np.array([features(text, a, b, kind) for a, kind, b in cands]) @ weights()
-    for i, (_, kind, _) in enumerate(cands):
-        if kind >= 0:
-            unary[i, kind] += 6.0  # base spans stay: what they are is evidence for others
-    beliefs = propagate(unary, _links([text[a:b] for a, _, b in cands]))
+    number: dict[str, int] = {}
+    entity = np.array([number.setdefault(_plain(text[a:b]), len(number)) for a, _, b in cands])
+    own = np.array([features(text, a, b, kind) for a, kind, b in cands])
+    pooled = np.zeros((len(number), own.shape[1]))
+    np.maximum.at(pooled, entity, own)
+    unary = pooled @ weights()
+    for e, kind in {(e, kind) for e, (_, kind, _) in zip(entity.tolist(), cands, strict=True) if kind >= 0}:
+        unary[e, kind] += 6.0  # base spans stay: what they are is evidence for others
+    beliefs = propagate(unary, _links(list(number), entity))[entity]
     best = beliefs.argmax(1)
     return [(a, int(best[i]), b) for i, (a, kind, b) in enumerate(cands) if kind < 0 and best[i] < len(KINDS) and beliefs[i, best[i]] > 0.5]
 

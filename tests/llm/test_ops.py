@@ -421,6 +421,32 @@ def test_field_carries_labels_to_repeats(spark, docs, empty):
     assert all(x["base_sha256"] == hashlib.sha256(b"").hexdigest() for x in got if x["doc_id"] is None)
 
 
+@pytest.mark.parametrize("n", [1, 13, 100])
+def test_one_label_for_all_copies_of_a_token(n):
+    key, other = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "0beec7b5ea3f0fdbc95d0dd47f3c5bc275da8a33"
+    cue = f'token = "{key}"'
+    bare = [f"then {key} and" for _ in range(n)]
+    among = [f"then {key} at {10**11 + 37 * k} in {other}" for k in range(n)]  # neighbours without personal data
+    for parts in ([cue, *bare], [*bare, cue], [*bare, cue, *bare], [cue, *among], [*among, cue]):
+        text = " ".join(parts)
+        found = [text[a:b] for a, k, b in pii.find(text)[1] if pii.KINDS[k] == "secret"]
+        assert found == [key] * text.count(key), (n, len(found))
+        assert key not in pii.redact(text) and pii.redact(text).count(other) == text.count(other)
+    assert pii.find(" ".join(bare))[1] == []
+
+
+def test_propagation_settles_along_a_chain():
+    """As the exact marginals of a chain longer than any fixed number of rounds."""
+    n, unary = 60, np.zeros((60, 2))
+    unary[0, 0] = 9.0
+    p = pii.propagate(unary, [(k, k + 1, 4.0, 4.0) for k in range(n - 1)])
+    same = np.exp(4.0) / (np.exp(4.0) + 1)
+    ahead = np.array([1 / (1 + np.exp(-9.0)), 1 / (1 + np.exp(9.0))])
+    for k in range(n):
+        assert p[k] == pytest.approx(ahead, abs=1e-3)
+        ahead = same * ahead + (1 - same) * ahead[::-1]
+
+
 # 10
 
 
