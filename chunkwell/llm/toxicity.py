@@ -4,13 +4,14 @@ Training rows are labelled rows whose ``crc32(doc_id) mod 5`` is not 0, at most
 documented bound. From these come the lexicon (whole words, and stems that stand for all their
 continuations, by log odds), and a logistic model over what the matches in a text add up to.
 
-A word matches the lexicon exactly, by a stem, or within one edit of a whole word of five letters or more. The
+A word matches the lexicon exactly, by a stem, or within one edit of a whole word of five letters or more: one of the
+lexicon, or one that toxic training rows hold and a stem of the lexicon speaks for, which then has the stem's weight. The
 automaton of a term's neighbours is run along the word and the trie at once, so all terms are tried
 together. A window of words around each match tells quotation (quotation marks, words of reporting) from
 abuse (second person near by): both have their own features.
 
 Scores use the text only. Scoring is one pass over the documents without a shuffle; the model in the
-closure has at most ``MAX_TERMS`` terms.
+closure has at most ``MAX_TERMS`` terms, and at most ``MAX_INFLECTED`` words that stems speak for.
 
 Nulls and edge cases: a null text is empty and gets the score of a text without matches, as an empty one does; labels without an
 id or a value are left out, and of several labels of an id the highest holds; without any labels the score is 0 throughout. Repeated rows each
@@ -35,11 +36,11 @@ from .common import written
 TRAIN_ROWS = 20_000
 MAX_CANDIDATES = 50_000
 MAX_TERMS = 2_000
+MAX_INFLECTED = 50_000
 LEAST_DOCS = 4
 LEAST_ODDS = 2.5
 STEMS = range(4, 9)
 FUZZY = 5
-FUZZY_ODDS = 4.5
 EDITED = 0.6
 NEAR = 6
 
@@ -50,8 +51,9 @@ SECOND = frozenset("you your yours youre u ur tu toi te vous du dich dir ihr euc
 
 
 def words(text: str) -> list[str]:
-    """Words in order, folded, and quotation marks."""
-    return WORD.findall(text.casefold())
+    """Words in order, folded and without the underscores around them, and quotation marks."""
+    found = WORD.findall(text.casefold())
+    return [x for w in found if (x := w.strip("_"))] if "_" in text else found
 
 
 def terms_of(found: set[str]) -> set[str]:
@@ -65,18 +67,26 @@ def terms_of(found: set[str]) -> set[str]:
 
 
 class Trie:
-    """Terms of a lexicon; nodes are dicts, and the empty key holds a term's weight."""
+    """Terms of a lexicon, and the words that may be misspelt; nodes are dicts, and among these words the empty key holds the weight."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], inflected: dict[str, float] | None = None):
         self.root: dict = {}
-        self.shorter: set[str] = set()  # whole words that may be misspelt, and what one deletion leaves of them
+        self.whole: dict = {}
+        self.shorter: set[str] = set()  # what one deletion leaves of whole words
         for term, weight in weights.items():
             node = self.root
             for c in term[:-1]:
                 node = node.setdefault(c, {})
             node[term[-1]] = weight  # under "$" for a whole word, "*" for a stem
-            if term[-1] == "$" and len(term) > FUZZY and weight >= FUZZY_ODDS:
-                self.shorter.update(term[:k] + term[k + 1 : -1] for k in range(len(term)))
+        for word, weight in ((inflected or {}) | {t[:-1]: w for t, w in weights.items() if t[-1] == "$"}).items():
+            if len(word) < FUZZY:
+                continue
+            self.shorter.add(word)
+            self.shorter.update(word[:k] + word[k + 1 :] for k in range(len(word)))
+            node = self.whole
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = weight
 
     def exact(self, word: str) -> float:
         """Weight of the longest term that the word is or begins with; 0 if there is none."""
@@ -98,36 +108,37 @@ class Trie:
         if len(word) < FUZZY - 1 or not (word in self.shorter or any(word[:k] + word[k + 1 :] in self.shorter for k in range(len(word)))):
             return 0.0
         best, n = 0.0, len(word)
-        stack = [(self.root, list(range(n + 1)), 0)]
+        stack = [(self.whole, list(range(n + 1)))]
         while stack:
-            node, row, depth = stack.pop()
-            if depth >= FUZZY and row[n] <= 1 and node.get("$", 0.0) >= FUZZY_ODDS:
-                best = max(best, node["$"])
+            node, row = stack.pop()
+            if row[n] <= 1:
+                best = max(best, node.get("", 0.0))
             for c, child in node.items():
-                if c in "$*" or not isinstance(child, dict):
+                if not c:
                     continue
                 new = [row[0] + 1]
                 for k in range(1, n + 1):
                     new.append(min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c)))
                 if min(new) <= 1:
-                    stack.append((child, new, depth + 1))
+                    stack.append((child, new))
         return best
 
 
 @dataclass
 class Model:
-    """A lexicon and the coefficients of the logistic model over ``features``."""
+    """A lexicon, the coefficients of the logistic model over ``features``, and the words that stems speak for."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = ()
+    inflected: dict[str, float] = field(default_factory=dict)
 
     def trie(self) -> Trie:
         if not hasattr(self, "_trie"):
-            self._trie, self._seen = Trie(self.lexicon), {}
+            self._trie, self._seen = Trie(self.lexicon, self.inflected), {}
         return self._trie
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "coefficients": self.coefficients}
+        return {"lexicon": self.lexicon, "coefficients": self.coefficients, "inflected": self.inflected}
 
     def seen(self) -> dict[str, tuple[float, bool]]:
         self.trie()
@@ -233,6 +244,16 @@ def _counted(batches: Iterator[pa.RecordBatch], among: frozenset[str] | None) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
 
+def _inflected(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """(word, n): in how many of the texts each word occurs that only a stem matches."""
+    trie = Trie(lexicon)
+    for batch in batches:
+        counts: Counter[str] = Counter()
+        for text in batch.column(0):
+            counts.update(w for w in set(words(text.as_py() or "")) if FUZZY <= len(w) <= 40 and w + "$" not in lexicon and trie.exact(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled rows outside the held-out fifth, at most ``rows`` of them."""
     spark = docs.sparkSession
@@ -252,7 +273,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     frequent = counted("toxic > 0", None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
     ones = {r["term"]: r["n"] for r in frequent.collect()}
     zeros = {r["term"]: r["n"] for r in counted("toxic <= 0", frozenset(ones)).collect()}
-    model = Model(choose(ones, zeros, n1, n0))
+    lexicon = choose(ones, zeros, n1, n0)
+    spoken = sample.where("toxic > 0").select("text").mapInArrow(lambda b: _inflected(b, lexicon), "word string, n long")
+    spoken = spoken.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MAX_INFLECTED)
+    trie = Trie(lexicon)
+    model = Model(lexicon, (), {r["word"]: trie.exact(r["word"]) for r in spoken.collect()})
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array([int(y > 0) for y in batch.column(1).to_pylist()], pa.int32())], ["x", "y"])
 
     got = sample.select("text", "toxic").mapInArrow(featured, "x array<double>, y int").toPandas()
-    return Model(model.lexicon, fit(np.array(got["x"].tolist()), got["y"].to_numpy(float)))
+    return Model(model.lexicon, fit(np.array(got["x"].tolist()), got["y"].to_numpy(float)), model.inflected)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -273,6 +273,29 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scores(docs, toxicity.train(docs, lab.limit(0))).agg(F.max("score")).first()[0] == 0
 
 
+def test_misspelt_inflected_terms(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for k in range(600):
+        words = prose(5000 + k, 40).split()
+        if k % 4 == 0:
+            words[10] = r.choice(["dummkopf", "dummkopfs", "dummköpfe", "zzwicht", "zzwichte", "zzwichten", "blödian"])
+        rows.append((k, " ".join(words), "de", "s", 0))
+        labels.append((k, 1, int(k % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "zzwichte$" not in model.lexicon and any(t[-1] == "*" and "zzwichte".startswith(t[:-1]) for t in model.lexicon)
+    ends = " " + prose(9, 20)
+    wrong = ["zzwlcht", "zwichte", "zzvichten", "dumnkopf", "dumkopfs", "dumm0köpfe", "blodian", "_zzwichte_", "__dummkopf"]
+    asked = spark.createDataFrame([(k, w + ends, "de", "s", 0) for k, w in enumerate([*wrong, ends])], DOCS)
+    got = {x["doc_id"]: x["score"] for x in toxicity.scores(asked, model).collect()}
+    assert all(got[k] > 0.5 > got[len(wrong)] for k in range(len(wrong))), got
+
+
+def test_every_term_of_the_lexicon_may_be_misspelt():
+    t = toxicity.Trie({"wretch$": 2.6, "blockh*": 3.0}, {"blockhead": 3.0})
+    assert t.near("wretsch") == 2.6 and t.near("blokhead") == 3.0 and t.near("blockhaed") == 0 and t.exact("blockhead") == 3.0 and t.near("wr") == 0
+
+
 # 6
 
 
