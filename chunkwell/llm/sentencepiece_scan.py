@@ -222,22 +222,23 @@ class Vocabulary:
         last = next(k for k in range(hi - 1, first - 1, -1) if boundary(text, k))
         return first, last
 
-    def path(self, text: str, entry: State, exit_: State | None) -> list[tuple[int, int]]:
+    def path(self, text: str, entry: State, exit_: State | None, before: str = "") -> list[tuple[int, int]]:
         """(length, id) of the best path through a whole text that begins after ``entry``'s end and ends with ``exit_`` (any, if none).
+        ``before`` is the text of the entry's piece.
 
         The path is searched longest piece first; for a byte-pair model the first one found is the only one.
         """
         if self.kind == UNIGRAM:
             return self.best(text)[0]
-        ends, found = self.trace(text, entry)
+        ends, found = self.trace(text, entry, before)
         return [(b - a, i) for a, b, i in zip([0, *ends], ends, found, strict=False)]
 
-    def trace(self, text: str, entry: State) -> tuple[list[int], list[int]]:
-        """Ends and ids of the merge result that goes on from ``entry``."""
+    def trace(self, text: str, entry: State, before: str = "") -> tuple[list[int], list[int]]:
+        """Ends and ids of the merge result that goes on from ``entry``, a piece spelled ``before``."""
         n, ids, joints, unknown = len(text), self.ids, self.joints, self.unknown
         trail: list[tuple[int, int, str, Iterator[int]]] = []
         dead: set[tuple[int, int]] = set()
-        place, last, before = 0, entry[2], ""
+        place, last = 0, entry[2]
         reach, lengths = self.reach.get, self.lengths
         options = iter(lengths(text, 0)) if n else iter(())
         while place < n:
@@ -501,16 +502,7 @@ def after(v: Vocabulary, body: str, begin: int, stop: int, entry: State, left: i
     """The path from a place to another, given the piece before the first."""
     if v.kind == UNIGRAM or entry[2] < 0 or boundary(body, begin):
         return v.path(body[begin:stop], START, None)
-    n, i = entry[1], entry[2]
-    before = body[begin - n : begin]
-    options = [(size, j) for size, j in v.starting(body[begin:stop], 0) if v.step(i, before, j, body[begin : begin + size]) > NEVER]
-    for size, j in options:
-        try:
-            rest = after(v, body, begin + size, stop, (0, size, j), left) if begin + size < stop else []
-        except ValueError:
-            continue
-        return [(size, j), *rest]
-    raise ValueError("no segmentation goes on from the cut")
+    return v.path(body[begin:stop], entry, None, body[begin - entry[1] : begin])
 
 
 def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUNK, summed: bool = False) -> DataFrame:

@@ -84,6 +84,16 @@ def test_cuts_anywhere_give_the_same_path(size):
         assert v.decode(np.array(out, np.int32)) == t
 
 
+def test_unspaced_texts_above_the_production_chunk(spark):
+    r = random.Random(12)
+    lib = sp.vocabulary(PIECES).model
+    texts = ["x" * 200_000, "".join(r.choice("日本語テスト中文字漢") for _ in range(200_000)), "".join(r.choice("ABCDefgh0123+/") for _ in range(200_000)), "a b " + "yz" * 80_000 + " c"]
+    got = sp.encode(spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS), PIECES, summed=True).collect()
+    for k, text in enumerate(texts):
+        parts = sorted((x for x in got if x["doc_id"] == k), key=lambda x: x["chunk"])
+        assert len(parts) > 2 and [i for x in parts for i in x["ids"]] == lib.encode(text), k
+
+
 def test_scan_is_associative():
     r = np.random.default_rng(0)
     ms = [r.random((3, 3)) for _ in range(7)]
