@@ -519,6 +519,20 @@ def test_encoder_equals_tokenizers():
         assert t.encode(s, add_special_tokens=False).ids == enc(s)
 
 
+def test_added_tokens_are_found_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    t, enc, r = Tokenizer.from_file(BPE), packing.added_encoder(BPE), random.Random(4)
+    assert enc("a <|endoftext|> b") == [64, 220, 50256, 275]
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " word", "'s", "12", "é", "日本", "<|", "<|EndOfText|>"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(500)]
+    assert all(enc(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
+    got = {x["doc_id"]: x for x in packing.pack(spark.createDataFrame([(k, x, "", "", 0) for k, x in enumerate(texts[:20])], DOCS).coalesce(1), BPE).where("start = 0").collect()}
+    for k, x in enumerate(texts[:20]):
+        want = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
+        assert got[k]["doc_tokens"] == len(want) and got[k]["ids_crc32"] == zlib.crc32(want[: got[k]["length"]].tobytes())
+
+
 def test_fill_balances_cost():
     r = random.Random(1)
     pieces = [(k, 0, r.randrange(1, 2048)) for k in range(200)]
