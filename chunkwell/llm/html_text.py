@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|!--|[!?][^>]*(?:>|\Z))")
-RAW = frozenset("script style title textarea noscript template iframe svg math object head select option canvas audio video".split()) - {"head"}
+RAW = frozenset("script style title textarea noscript template iframe svg object head select canvas audio video".split()) - {"head"}
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+OPTIONS = frozenset(("datalist", "optgroup", "option"))  # lists of choices, whose end tags may be left out
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-BOILER = frozenset("nav aside footer header form menu button dialog fieldset label head".split())
+BOILER = frozenset("nav aside footer header form menu button dialog fieldset label head".split()) | OPTIONS
 #: Words of class, id and role that name boilerplate, after splitting at anything but letters.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments reply replies respond disqus cookie cookies consent notice alert popup modal overlay "
@@ -41,6 +42,8 @@ BOILER_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article content main post entry story body".split())
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: In a tag: a value's opening quote, a value without quotes, or the end.
+VALUE = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)|>""")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -61,6 +64,21 @@ def _named(attributes: str) -> str:
     return zone
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the > stands that ends a tag, whose attributes begin at ``at``; one inside a quoted value does not, if the quote is ever closed."""
+    while m := VALUE.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[1]:
+            close = page.find(m[1], at)
+            if close < 0:
+                end = page.find(">", at)
+                return len(page) if end < 0 else end
+            at = close + 1
+    return len(page)
+
+
 class Block:
     __slots__ = ("text", "words", "linked", "zone")
 
@@ -75,6 +93,7 @@ def blocks(page: str) -> list[Block]:
     kept: list[str] = []
     linked: list[str] = []
     link = 0
+    endless: set[str] = set()  # elements of RAW without an end tag in the rest of the page
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(kept)).split())
@@ -105,16 +124,11 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         name, rest = m[2].lower(), m[3]
-        while (rest.count('"') % 2 or rest.count("'") % 2) and len(rest) < 4096 and '="' in rest + "=\"":  # a > inside a quoted value
-            if rest.count('"') % 2 == 0:
-                break
-            close = page.find('"', at)
-            end = page.find(">", close) if close >= 0 else -1
-            if end < 0:
-                break
-            rest, at = page[m.start(3) : end], end + 1
+        if '"' in rest or "'" in rest:  # there may be a > inside a quoted value
+            end = _tag_end(page, m.start(3))
+            rest, at = page[m.start(3) : end], min(end + 1, len(page))
         if m[1]:
-            if name in BLOCKS:
+            if name in BLOCKS or name in OPTIONS:
                 flush()
             elif name == "a":
                 link = max(0, link - 1)
@@ -126,17 +140,26 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            end = re.compile(rf"(?i)</{re.escape(name)}\b[^>]*(?:>|\Z)").search(page, at)
             if name in BLOCKS:
                 flush()
-            at = len(page) if end is None else end.end()
+            if name == "svg" and rest.endswith("/") or name in endless:
+                continue
+            end = re.compile(rf"(?i)</{re.escape(name)}\b[^>]*(?:>|\Z)").search(page, at)
+            if end is not None:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name == "br":
             said(" ")
             continue
-        if name in BLOCKS:
+        if name in BLOCKS or name in OPTIONS:
             flush()
-            if stack and stack[-1][0] == "p":
+            while stack and (stack[-1][0] == "option" or stack[-1][0] in OPTIONS and name in BLOCKS or stack[-1][0] == name == "optgroup"):
+                stack.pop()
+            if name in BLOCKS and stack and stack[-1][0] == "p":
                 stack.pop()
         if name == "a":
             link = 1

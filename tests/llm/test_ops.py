@@ -226,6 +226,21 @@ def test_html():
     assert html_text.main_text(plain).count("\n") == 2
 
 
+def test_html_goes_on_behind_elements_without_an_end():
+    article = "<article><p>The article of this page stands here.</p><p>And it ends here.</p></article>"
+    want = "The article of this page stands here.\nAnd it ends here."
+    assert html_text.main_text(article) == want
+    for head in (
+        "<input list=x><datalist id=x><option value=a><option value=b></datalist>", "<datalist><option>One<option>Two</datalist>", "<div><option>One<option>Two</div>",
+        "<datalist><optgroup label=x><option>One<optgroup label=y><option>Two", "<select><option>One<option>Two</select>", "<option>One", '<svg class="x" />', "<svg/>", "<math/>", "<canvas>", "<iframe src=x>", "<video src=x>" * 3,
+        f'<div data-x="a > b {"y" * 5000} > c"></div>', f"<div data-x='a > b {'y' * 5000} > c'></div>", "<a title='x > y' href=/></a>", "<div title=it's></div>", "<svg><path d='x'></svg>",
+    ):
+        assert html_text.main_text(f"<body>{head}{article}</body>") == want, head
+    inside = "<article><p>Energy is <math display='block'><mi>E</mi><mo>=</mo><mi>m</mi></math> as one knows.</p><p>It <svg width='1'/>goes on.</p></article>"
+    assert html_text.main_text(inside) == "Energy is E=m as one knows.\nIt goes on."
+    assert html_text.main_text("<p>" + "word " * 60 + "</p><style>p { color: red") == ("word " * 60).strip()
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>x</p></article>"), (1, None, None), (None, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("", 0), ("x", 1)]
