@@ -4,10 +4,10 @@ A document's ids are cut at multiples of the sequence length; full pieces are se
 of their own. The rest of each document waits in a pool. A pool of a few dozen
 sequences is filled at once: its pieces, in descending order of estimated cost
 (``a * length + b * length^2``), each go to the sequence of lowest cost that still has
-room for them; a piece that fits nowhere is cut to fill the largest gap. Each pool opens
+room for them; a piece that fits nowhere is cut to fill the largest gap, then the next one. Each pool opens
 only as many sequences as it can fill, what is left over goes to the next pool, and the
 last tokens of a partition become sequences whose lengths are powers of two, which
-need no padding. So no token of padding is spent.
+need no padding, filled by the same rule. So no token of padding is spent.
 
 One pass over the documents, without a shuffle: a task holds one pool besides its batch.
 Sequence ids carry the partition's number, so they are unique without coordination, and
@@ -89,39 +89,35 @@ def cost(length: float, a: float = 1.0, b: float = 1.0 / LENGTH) -> float:
     return a * length + b * length * length
 
 
-def fill(pieces: list[tuple[int, int, int]], n: int, length: int = LENGTH) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Assign (document, start, length) pieces to ``n`` sequences, all filled to the end; what is left over comes second.
+def fill(pieces: list[tuple[int, int, int]], rooms: list[int]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Assign (document, start, length) pieces to sequences of the given rooms, all filled to the end; what is left over comes second.
 
-    The pieces must hold ``n * length`` tokens or more.
+    The pieces must hold ``sum(rooms)`` tokens or more. Costs are compared by the token of a sequence's room.
     """
-    room, work = [length] * n, [0.0] * n
-    seqs: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    room, work = list(rooms), [0.0] * len(rooms)
+    seqs: list[list[tuple[int, int, int]]] = [[] for _ in rooms]
 
     def put(k: int, piece: tuple[int, int, int]) -> None:
         seqs[k].append(piece)
         room[k] -= piece[2]
-        work[k] += cost(piece[2])
+        work[k] += cost(piece[2]) / rooms[k]
 
     late = []
     for p in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
-        k = min((k for k in range(n) if room[k] >= p[2]), key=lambda k: (work[k], k), default=None)
+        k = min((k for k, free in enumerate(room) if free >= p[2]), key=lambda k: (work[k], k), default=None)
         if k is None:
             late.append(p)
         else:
             put(k, p)
-    left, k = [], 0
+    left = []
     for doc, start, size in late:
-        while size:
-            while k < n and not room[k]:
-                k += 1
-            if k == n:
-                left.append((doc, start, size))
-                break
+        while size and any(room):
+            k = max(range(len(room)), key=lambda k: (room[k], -k))
             part = min(room[k], size)
             put(k, (doc, start, part))
             start, size = start + part, size - part
-    for k in range(n):  # gaps that no late piece filled: take from the shortest pieces of the sequences behind
-        assert not room[k] or not left
+        if size:
+            left.append((doc, start, size))
     return seqs, left
 
 
@@ -145,24 +141,14 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, length: int, pool: int
         """Pack what waits: all of it if ``full``, else as many sequences as it fills."""
         nonlocal waiting, held
         if n := held // length:
-            seqs, waiting = fill(waiting, n, length)
+            seqs, waiting = fill(waiting, [length] * n)
             for pieces in seqs:
                 emit(pieces)
             held -= n * length
-        if full:
-            for bit in reversed(range(held.bit_length())):
-                if not held >> bit & 1:
-                    continue
-                need, pieces = 1 << bit, []
-                while need:
-                    key, start, size = waiting.pop()
-                    part = min(need, size)
-                    pieces.append((key, start, part))
-                    need -= part
-                    if size > part:
-                        waiting.append((key, start + part, size - part))
+        if full and held:
+            for pieces in fill(waiting, [1 << bit for bit in reversed(range(held.bit_length())) if held >> bit & 1])[0]:
                 emit(pieces)
-            held = 0
+            waiting, held = [], 0
         alive = {p[0] for p in waiting}
         for key in [k for k in docs if k not in alive]:
             del docs[key]
