@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import gc
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
+#: Lets Spark remove the shuffle files of a query when the query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: White space of the word and normalisation rules, as a Java character class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -25,28 +32,55 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local run gets a temporary one; a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="chunkwell-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends at files that outlive any executor."""
+def save(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back; the shuffle files that it took go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this job now, not at some later collection
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # older versions do not know it
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends at files that outlive any executor."""
+    return save(df, f"{shared_dir(df.sparkSession)}/chunkwell/{name}-{uuid.uuid4().hex}")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more. A folder that cannot be reached from here is left to whoever cleans the shared one."""
+    for df in tables:
+        folder = df.inputFiles()
+        if not folder:
+            continue
+        path = folder[0].rpartition("/")[0]
+        if "/chunkwell/" not in path:
+            raise ValueError(f"not a table of ours: {path}")
+        try:
+            store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
+            store.delete_dir(inner)
+        except (OSError, ValueError) as ex:
+            log.info("%s stays: %s", path, ex)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; where it has none, the bytes of its strings, counted, and 8 for each other value."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -69,7 +103,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of each node of ``edges`` (a, b): the smallest node of its connected component.
 
     Minimum labels spread over the edges, then each label takes the label of its own node (pointer jumping), until none
-    changes; one count a round comes to the driver. Aggregates are partial and the joins can be split, so hubs do no harm.
+    changes; one count a round comes to the driver. Aggregates are partial and the joins can be split, so hubs do no harm. A
+    round's tables are deleted once the next has been written.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
@@ -78,6 +113,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         nearer = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
         nearer = written(nearer, f"{name}-near")
         own = nearer.select(F.col("node").alias("via"), F.col("label").alias("to"))
-        labels = written(nearer.join(own, nearer["label"] == own["via"]).select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")), f"{name}-labels")
+        after = written(nearer.join(own, nearer["label"] == own["via"]).select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")), f"{name}-labels")
+        discard(nearer, labels)
+        labels = after
         if not labels.agg(F.coalesce(F.max("moved"), F.lit(False))).first()[0]:
+            discard(both)
             return labels.select("node", "label")
