@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FINGERPRINTS
+from ..config import FINGERPRINTS, SAMPLERS
 from ..schemas import BLOCK_SHIFT, EMPTY_FP
 
 FINGERPRINTS.add("sha1", F.sha1)
@@ -39,6 +39,10 @@ def is_anchor(fp: Column, factor: int) -> Column:
     return F.conv(tail, 16, 10).cast("long").bitwiseAND(F.lit(sample_mask(factor)).cast("long")) == sample_mask(factor)
 
 
+SAMPLERS.add("sampling", is_anchor)
+SAMPLERS.add("full", lambda fp, factor=1: F.lit(True))
+
+
 def block_id(volume: Column, offset: Column, block_size: int) -> Column:
     return F.shiftleft(volume.cast("long"), BLOCK_SHIFT).bitwiseOR(F.floor(offset / block_size).cast("long"))
 

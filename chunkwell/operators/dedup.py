@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FILTERS
-from ..functions.fingerprints import is_anchor
-from ..schemas import EMPTY_FP
+from ..config import FILTERS, SAMPLERS
+from ..functions import fingerprints as _fingerprints  # noqa: F401  registers the samplers
+from ..schemas import EMPTY_ADDRESS, EMPTY_FP
 
-EXISTING, STRONG, WEAK, NEW = 4, 3, 2, 1
+EXISTING, STRONG, WEAK, NEW, ERROR = 4, 3, 2, 1, 0
 
 
 def chunk_index(chunks: DataFrame) -> DataFrame:
@@ -43,8 +43,10 @@ def zero_filter(chunks: DataFrame, **_) -> tuple[DataFrame, Column, Column | Non
     return chunks, F.when(F.col("fp") == EMPTY_FP, EXISTING).otherwise(WEAK), F.when(F.col("fp") == EMPTY_FP, F.lit(-2).cast("long"))
 
 
-def sampling_filter(chunks: DataFrame, factor: int = 32, **_) -> tuple[DataFrame, Column, Column | None]:
-    return chunks.withColumn("indexed", is_anchor(F.col("fp"), factor)), F.lit(WEAK), None
+def sampling_filter(chunks: DataFrame, factor: int | None = 32, **_) -> tuple[DataFrame, Column, Column | None]:
+    """Marks anchors; without a factor every chunk is one."""
+    anchor = SAMPLERS.get("full")(F.col("fp")) if factor is None else SAMPLERS.get("sampling")(F.col("fp"), factor)
+    return chunks.withColumn("indexed", anchor), F.lit(WEAK), None
 
 
 def block_filter(chunks: DataFrame, previous: DataFrame, **_) -> tuple[DataFrame, Column, Column | None]:
@@ -53,11 +55,12 @@ def block_filter(chunks: DataFrame, previous: DataFrame, **_) -> tuple[DataFrame
     return out, F.when(F.col("block_address").isNotNull(), STRONG).otherwise(WEAK), F.col("block_address")
 
 
-def index_filter(chunks: DataFrame, index: DataFrame, **_) -> tuple[DataFrame, Column, Column | None]:
-    """index: (fp, index_address). Chunks that sampling left out are not looked up."""
+def index_filter(chunks: DataFrame, index: DataFrame, accepting: bool = True, **_) -> tuple[DataFrame, Column, Column | None]:
+    """index: (fp, index_address). Chunks that sampling left out are not looked up; one that a full index lacks is an error."""
     out = chunks.join(index, "fp", "left")
     looked = F.col("indexed") if "indexed" in chunks.columns else F.lit(True)
-    return out, F.when(~looked, WEAK).when(F.col("index_address").isNotNull(), STRONG).otherwise(NEW), F.when(looked, F.col("index_address"))
+    verdict = F.when(~looked, WEAK).when(F.col("index_address").isNotNull(), STRONG).otherwise(NEW if accepting else ERROR)
+    return out, verdict, F.when(looked, F.col("index_address"))
 
 
 def bloom_filter(chunks: DataFrame, index: DataFrame, **_) -> tuple[DataFrame, Column, Column | None]:
@@ -67,20 +70,42 @@ def bloom_filter(chunks: DataFrame, index: DataFrame, **_) -> tuple[DataFrame, C
 
 
 def bytes_filter(chunks: DataFrame, stored: DataFrame, **_) -> tuple[DataFrame, Column, Column | None]:
-    """stored: (fp, stored_chunk). Equal bytes exist; different ones are an error (0), not a new chunk."""
-    out = chunks.join(stored, "fp", "left")
-    return out, F.when(F.col("stored_chunk").isNull(), NEW).when(F.col("stored_chunk") == F.col("chunk"), EXISTING).otherwise(0), None
+    """stored: (fp, stored_address, stored_chunk). A chunk with an address is compared with what is stored there: equal bytes exist; others, shorter ones or
+    none at all are an error, never a new chunk. Without an address it is new; the empty address always exists; a row without bytes stays open.
+    """
+    held = stored.select("fp", F.col("stored_address").alias("address"), "stored_chunk")
+    out = chunks.join(held, ["fp", "address"], "left")
+    verdict = (
+        F.when(F.col("chunk").isNull(), WEAK).when(F.col("address").isNull(), NEW).when(F.col("address") == EMPTY_ADDRESS, EXISTING)
+        .when(F.col("stored_chunk") == F.col("chunk"), EXISTING).otherwise(ERROR)
+    )
+    return out, verdict, None
+
+
+def locality_filter(chunks: DataFrame, locality: DataFrame, **_) -> tuple[DataFrame, Column, Column | None]:
+    """locality: (block_id, fp, cached_address), what the locality cache held when the block was written."""
+    out = chunks.join(locality, ["block_id", "fp"], "left")
+    return out, F.when(F.col("cached_address").isNotNull(), STRONG).otherwise(WEAK), F.col("cached_address")
+
+
+_FILTERS = (
+    ("zerochunk-filter", zero_filter), ("sampling-filter", sampling_filter), ("block-index-filter", block_filter), ("block-locality-filter", locality_filter),
+    ("chunk-index-filter", index_filter), ("bloom-filter", bloom_filter), ("bytecompare-filter", bytes_filter),
+)
+for _name, _filter in _FILTERS:
+    FILTERS.add(_name, _filter)
 
 
-for _name, _filter in (("zerochunk-filter", zero_filter), ("sampling-filter", sampling_filter), ("block-index-filter", block_filter), ("chunk-index-filter", index_filter), ("bloom-filter", bloom_filter), ("bytecompare-filter", bytes_filter)):
-    FILTERS.add(_name, _filter)
+def said_by(name: str) -> str:
+    return "said_" + name.replace("-", "_")
 
 
 def chain(chunks: DataFrame, names: Sequence[str] = ("block-index-filter", "chunk-index-filter"), **sources) -> DataFrame:
-    """Chunks with ``decision`` and ``address`` after a chain of filters.
+    """Chunks with ``decision`` and ``address`` after a chain of filters, and what each filter said (null: not asked).
 
     A filter is asked while the decision is weak; where it is strong, only one that can say EXISTING is; EXISTING, NEW and errors are final.
-    An address once found stays, and a chunk is known where there is one.
+    An address once found stays, and a chunk is known where there is one. An error aborts the chunk: it has no address and is not known, whatever
+    an earlier filter found; ``errors`` lists such rows.
     """
     if len(set(names)) < len(names):
         raise ValueError("a filter occurs twice")
@@ -90,10 +115,27 @@ def chain(chunks: DataFrame, names: Sequence[str] = ("block-index-filter", "chun
         asked = F.col("decision") == WEAK
         if name in ("zerochunk-filter", "bytecompare-filter"):
             asked = asked | (F.col("decision") == STRONG)
+        out = out.withColumn(said_by(name), F.when(asked, verdict))
         if address is not None:
             out = out.withColumn("address", F.coalesce("address", F.when(asked, address)))
-        out = out.withColumn("decision", F.when(asked, verdict).otherwise(F.col("decision")))
-    return out.withColumn("known", F.col("address").isNotNull())
+        out = out.withColumn("decision", F.coalesce(said_by(name), "decision"))
+    failed = F.col("decision") == ERROR
+    return out.withColumn("address", F.when(~failed, F.col("address"))).withColumn("known", F.col("address").isNotNull())
+
+
+def errors(decided: DataFrame) -> DataFrame:
+    """The rows that a filter refused, for whoever must look at them; nothing is stored for them."""
+    return decided.where(F.col("decision") == ERROR)
+
+
+def counters(decided: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per filter of a chain: how many chunks it was asked for, and what it said."""
+    said = F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), F.col(said_by(n)).alias("said")) for n in names]))
+    rows = decided.select(said.alias("x")).select("x.*").where("said is not null")
+    count = lambda k: F.count(F.when(F.col("said") == k, 1))
+    return rows.groupBy("filter").agg(
+        F.count(F.lit(1)).alias("reads"), count(EXISTING).alias("existing"), count(STRONG).alias("strong_hits"), count(WEAK).alias("weak_hits"), count(NEW).alias("misses"), count(ERROR).alias("failures")
+    )
 
 
 def filters_for(names: Sequence[str] | None, default: Sequence[str] = ("block-index-filter", "chunk-index-filter")) -> tuple[str, ...]:
@@ -104,17 +146,25 @@ def filters_for(names: Sequence[str] | None, default: Sequence[str] = ("block-in
 
 
 def learn(index: DataFrame, decided: DataFrame) -> DataFrame:
-    """The index (fp, index_address) after a chain's update phase: new, indexed chunks enter at their first request; known ones leave it as it is."""
-    fresh = decided.where(~F.col("known"))
+    """The index (fp, index_address) after a chain's update phase: new, indexed chunks enter at their first request; known ones leave it as it is, and what
+    an error aborted leaves no trace.
+    """
+    fresh = decided.where(~F.col("known") & (F.col("decision") != ERROR))
     if "indexed" in decided.columns:
         fresh = fresh.where("indexed")
     fresh = fresh.groupBy("fp").agg(F.min("write_seq").alias("index_address")).join(index, "fp", "left_anti")
     return index.select("fp", "index_address").unionByName(fresh)
 
 
+def update_known(index: DataFrame, decided: DataFrame) -> DataFrame:
+    """The index (fp, index_address, block_hint) after known chunks told it the block that used them last."""
+    last = decided.where("known").groupBy("fp").agg(F.max_by("block_id", F.struct("write_seq", "chunk_no")).alias("_hint"))
+    return index.join(last, "fp", "left").withColumn("block_hint", F.coalesce("_hint", "block_hint")).drop("_hint")
+
+
 def accepts_new(index: DataFrame, capacity: int, share: float = 0.9) -> DataFrame:
     """One row: how many items the index has, and whether new chunks may still enter."""
-    return index.agg(F.count(F.lit(1)).alias("items")).select("items", (F.col("items") < share * capacity).alias("accepting"))
+    return index.agg(F.count(F.lit(1)).alias("items")).select("items", F.lit(capacity).cast("long").alias("capacity"), (F.col("items") < share * capacity).alias("accepting"))
 
 
 # Keyed tables
@@ -144,3 +194,19 @@ def compare_and_swap(table: DataFrame, changes: DataFrame, key: str, value: str)
     both = table.join(changes.withColumnRenamed(value, "_new"), key, "left")
     hit = F.col("expected").eqNullSafe(F.col(value)) & F.col("_new").isNotNull()
     return both.select(key, F.when(hit, F.col("_new")).otherwise(F.col(value)).alias(value), F.coalesce(hit, F.lit(False)).alias("swapped"))
+
+
+def persist_dirty(main: DataFrame, aux: DataFrame, pinned: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tiers after dirty rows were written through: auxiliary rows go to the main tier and leave the auxiliary one, but for pinned keys, which stay where they are."""
+    loose = aux.join(pinned.select(key), key, "left_anti")
+    return two_tier(main, loose, key), aux.join(pinned.select(key), key, "left_semi")
+
+
+def cursor(table: DataFrame, key: str, at=None) -> dict[str, DataFrame]:
+    """What an ordered cursor reaches from a key: the first and the last row, the first at or behind it, and the one after that. Each is one row at most, found by a top-k, not a sort."""
+    ahead = table.where(F.col(key) >= F.lit(at)) if at is not None else table
+    here = ahead.orderBy(key).limit(1)
+    return {
+        "first": table.orderBy(key).limit(1), "last": table.orderBy(F.desc(key)).limit(1), "jump": here,
+        "next": ahead.join(F.broadcast(here.select(key)), key, "left_anti").orderBy(key).limit(1),  # one row
+    }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +21,113 @@ def block_items(chunks: DataFrame, block_size: int) -> DataFrame:
     return cut.select("write_seq", "chunk_no", block_id(F.col("volume_id"), F.col("block") * block_size, block_size).alias("block_id"), "fp", (lo - F.col("block") * block_size).alias("item_start"), (lo - F.col("begin")).alias("chunk_offset"), (hi - lo).alias("item_size"))
 
 
+OVERLAID = "block_id long, seq long, fp string, item_start long, chunk_offset long, item_size long"
+
+
 def overlay(items: DataFrame) -> DataFrame:
     """What later writes leave of earlier ones: (block_id, seq, fp, item_start, chunk_offset, item_size), last writer wins.
 
-    A block is cut at all item borders; each elementary interval goes to the item of highest seq that covers it, and neighbours of
-    one item are joined again. All of it stays within a block.
+    Items are sorted once by block and beginning, and swept as a stream: n log n steps, however often a block's bytes were overwritten. Of two items of one seq
+    the one that begins later is on top.
     """
-    ends = items.select("block_id", F.explode(F.array(F.col("item_start"), F.col("item_start") + F.col("item_size"))).alias("lo")).distinct()
-    cells = ends.withColumn("hi", F.lead("lo").over(Window.partitionBy("block_id").orderBy("lo"))).where("hi is not null")
-    i, c = items.alias("i"), cells.alias("c")
-    over = (F.col("i.block_id") == F.col("c.block_id")) & (F.col("i.item_start") < F.col("c.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("c.lo"))
-    top = i.join(c, over).groupBy("c.block_id", "c.lo", "c.hi").agg(F.max_by(F.struct("i.seq", "i.fp", "i.item_start", "i.chunk_offset"), "i.seq").alias("t"))
-    runs = top.select("block_id", "lo", "hi", "t.*").withColumn("shift", F.col("chunk_offset") + F.col("lo") - F.col("item_start"))
-    order = Window.partitionBy("block_id").orderBy("lo")
-    new = (F.lag("hi").over(order).eqNullSafe(F.col("lo")) & F.lag("seq").over(order).eqNullSafe(F.col("seq")) & F.lag("item_start").over(order).eqNullSafe(F.col("item_start"))) == F.lit(False)
-    grouped = runs.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    return grouped.groupBy("block_id", "run", "seq", "fp").agg(F.min("lo").alias("item_start"), F.min("shift").alias("chunk_offset"), (F.max("hi") - F.min("lo")).alias("item_size")).drop("run")
-
-
-def mapping_check(items: DataFrame, most: int = 65536) -> DataFrame:
-    """Blocks whose items overlap, leave gaps behind each other, or have a bad size."""
-    order = Window.partitionBy("block_id").orderBy("item_start")
-    tiled = items.withColumn("before", F.lag(F.col("item_start") + F.col("item_size")).over(order))
-    return tiled.groupBy("block_id").agg(F.sum("item_size").alias("bytes"), F.count(F.lit(1)).alias("items"), F.coalesce(F.bool_and((F.col("item_size") > 0) & (F.col("item_size") <= most) & (F.col("before").isNull() | (F.col("before") <= F.col("item_start")))), F.lit(True)).alias("ok"))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    rows = items.where("item_size > 0").select(whole("block_id"), whole("seq"), "fp", whole("item_start"), whole("chunk_offset"), whole("item_size"))
+    return rows.repartition("block_id").sortWithinPartitions("block_id", "item_start", "seq").mapInArrow(_swept, OVERLAID)
+
+
+class _Stairs:
+    """The items of one block that are open at a place and may still be seen: the higher the seq, the sooner the end. So there are never more than the block has bytes."""
+
+    def __init__(self, block: int):
+        self.block, self.at = block, 0
+        self.open: list[tuple[int, int, int, tuple]] = []  # (seq, start, end, row), by seq
+        self.runs: list[list] = []  # [row, begin, end]
+
+    def move(self, to: float) -> None:
+        """Goes on to a place; what is on top on the way is seen."""
+        while self.open and self.at < to:
+            _, _, end, row = self.open[-1]
+            if end <= self.at:
+                self.open.pop()
+                continue
+            stop = min(end, to)
+            if self.runs and self.runs[-1][0] is row and self.runs[-1][2] == self.at:
+                self.runs[-1][2] = stop
+            else:
+                self.runs.append([row, self.at, stop])
+            self.at = stop
+        self.at = to
+
+    def add(self, seq: int, start: int, end: int, row: tuple) -> None:
+        k = bisect(self.open, (seq, start, end))
+        if k < len(self.open) and self.open[k][2] >= end:
+            return  # hidden for as long as it lasts
+        while k and self.open[k - 1][2] <= end:
+            k -= 1
+            del self.open[k]
+        self.open.insert(k, (seq, start, end, row))
+
+    def seen(self) -> list[tuple]:
+        self.move(float("inf"))
+        return [(self.block, row[0], row[1], lo, row[3] + lo - row[2], hi - lo) for row, lo, hi in self.runs]
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow on items in order of block and beginning: the runs that are seen."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in OVERLAID.split(", ")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
+    stairs = None
+    for batch in batches:
+        out: list[tuple] = []
+        for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if stairs is None or stairs.block != block:
+                out += stairs.seen() if stairs else []
+                stairs = _Stairs(block)
+            seq, _, start, _, size = row
+            stairs.move(start)
+            stairs.add(seq, start, start + size, tuple(row))
+        yield table(out)
+    if stairs:
+        yield table(stairs.seen())
+
+
+def mapping_check(items: DataFrame, block_size: int, most: int = MAX_CHUNK) -> DataFrame:
+    """Per block: bytes, items, and whether it is sound: sizes add up to the block's, no item is empty or larger than a chunk, none begins further into
+    its chunk than a chunk may be long. (Items follow each other in a stored mapping, so a gap shows as a sum that is too small.)
+    """
+    good = (F.col("item_size") > 0) & (F.col("item_size") <= most) & (F.col("chunk_offset") <= most)
+    per = items.groupBy("block_id").agg(F.sum("item_size").alias("bytes"), F.count(F.lit(1)).alias("items"), F.bool_and(good).alias("good"))
+    return per.select("block_id", "bytes", "items", (F.col("good") & (F.col("bytes") == block_size)).alias("ok"))
 
 
 def usage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per block and fingerprint: occurrences after minus before; zeros and the empty fingerprint are left out."""
-    signed = before.select("block_id", "fp", F.lit(-1).alias("s")).unionAll(after.select("block_id", "fp", F.lit(1).alias("s")))
-    return signed.where(F.col("fp") != EMPTY_FP).groupBy("block_id", "fp").agg(F.sum("s").alias("delta")).where("delta <> 0")
+    """Per block and fingerprint: occurrences after minus before; zeros and the empty fingerprint are left out. If both have a data_address, so has the
+    result: the new version's where it has the fingerprint.
+    """
+    placed = "data_address" in before.columns and "data_address" in after.columns
+    more = ["data_address"] if placed else []
+    signed = before.select("block_id", "fp", *more, F.lit(-1).alias("s")).unionAll(after.select("block_id", "fp", *more, F.lit(1).alias("s")))
+    address = [F.max_by("data_address", F.struct("s", "data_address")).alias("data_address")] if placed else []
+    return signed.where(F.col("fp") != EMPTY_FP).groupBy("block_id", "fp").agg(F.sum("s").alias("delta"), *address).where("delta <> 0")
 
 
 def read_range(items: DataFrame, stored: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (block_id, lo, hi) -> (block_id, lo, hi, data): item slices in order. stored: (fp, chunk).
+    """ranges (block_id, lo, hi) -> (block_id, lo, hi, data): item slices in order. stored: (fp, chunk), or (fp, data_address, chunk) if items have an address too.
 
-    Empty items read as zeros; a range with an item that nothing stores is null, not short.
+    Empty items read as zeros; a range with an item that nothing stores is null, not short. Only chunks that the ranges need are moved: they are
+    picked by name before any join touches their bytes.
     """
     r, i = ranges.alias("r"), items.alias("i")
-    hit = r.join(i, (F.col("r.block_id") == F.col("i.block_id")) & (F.col("i.item_start") < F.col("r.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("r.lo"))).join(stored.alias("s"), F.col("s.fp") == F.col("i.fp"), "left")
+    key = ["fp", "data_address"] if "data_address" in items.columns and "data_address" in stored.columns else ["fp"]
+    hit = r.join(i, (F.col("r.block_id") == F.col("i.block_id")) & (F.col("i.item_start") < F.col("r.hi")) & (F.col("i.item_start") + F.col("i.item_size") > F.col("r.lo")))
     begin = F.greatest("r.lo", "i.item_start")
     size = F.least(F.col("r.hi"), F.col("i.item_start") + F.col("i.item_size")) - begin
-    held = F.hex(F.substring("s.chunk", (F.col("i.chunk_offset") + begin - F.col("i.item_start") + 1).cast("int"), size.cast("int")))
-    piece = F.when(F.col("i.fp") == EMPTY_FP, F.repeat(F.lit("00"), size.cast("int"))).otherwise(held)
-    parts = hit.select("r.block_id", "r.lo", "r.hi", begin.alias("begin"), piece.alias("piece")).groupBy("block_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("begin", "piece"))).alias("p"))
+    hit = hit.select("r.block_id", "r.lo", "r.hi", *[F.col(f"i.{k}") for k in key], begin.alias("begin"), size.cast("int").alias("size"), (F.col("i.chunk_offset") + begin - F.col("i.item_start")).cast("int").alias("from"))
+    held = stored.join(hit.select(*key).distinct(), key, "left_semi").select(*key, "chunk")
+    got = hit.join(held, key, "left")
+    piece = F.when(F.col("fp") == EMPTY_FP, F.repeat(F.lit("00"), F.col("size"))).otherwise(F.hex(F.substring("chunk", F.col("from") + 1, F.col("size"))))
+    parts = got.select("block_id", "lo", "hi", "begin", piece.alias("piece")).groupBy("block_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("begin", "piece"))).alias("p"))
     return parts.select("block_id", "lo", "hi", F.when(~F.exists("p", lambda x: x["piece"].isNull()), F.lower(F.array_join(F.transform("p", lambda x: x["piece"]), ""))).alias("data"))
 
 

@@ -8,41 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CONTAINER_META, CONTAINER_SIZE, ITEM_META
-
-LANES = 64
-SEGMENT = 65536  # requests after which all lanes begin new containers, so that a lane's share of a segment stays of one size
-SEGMENT_IDS = 1 << 32
-
-
-def _placed(index: DataFrame, lanes: int) -> DataFrame:
-    return index.withColumn("lane", F.pmod("first_seq", F.lit(lanes))).withColumn("segment", F.floor(F.col("first_seq") / SEGMENT))
-
-
-def fill(index: DataFrame, capacity: int, lanes: int = LANES) -> DataFrame:
-    """Approximate packing by running sums: new chunks in order of arrival, dealt to lanes, a new container every ``capacity`` bytes and in every segment."""
-    before = F.sum("size").over(Window.partitionBy("segment", "lane").orderBy("first_seq", "first_no").rowsBetween(Window.unboundedPreceding, -1))
-    number = F.col("lane") + lanes * F.floor(F.coalesce(before, F.lit(0)) / capacity) + 1
-    return _placed(index, lanes).withColumn("container_id", F.col("segment") * SEGMENT_IDS + number).select("fp", "size", "lane", "container_id")
-
-
-def pack(index: DataFrame, capacity: int = CONTAINER_SIZE, lanes: int = LANES) -> DataFrame:
-    """Next-fit packing: a container is closed when an item no longer fits, or its metadata is full. Each lane of each segment is packed alone."""
-    room = capacity - CONTAINER_META if capacity > CONTAINER_META else capacity
-
-    def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("first_seq", "ascending"), ("first_no", "ascending")])
-        ids, used, items, number = [], 0, 0, 0
-        first = group.column("segment")[0].as_py() * SEGMENT_IDS + group.column("lane")[0].as_py() + 1
-        for size in group.column("size").to_pylist():
-            if items and (used + size + ITEM_META >= room or (items + 1) * ITEM_META >= CONTAINER_META):
-                number, used, items = number + 1, 0, 0
-            used, items = used + size, items + 1
-            ids.append(first + number * lanes)
-        return pa.table({"fp": group.column("fp"), "size": group.column("size"), "container_id": pa.array(ids, pa.int64())})
-
-    rows = _placed(index, lanes).select("fp", F.col("size").cast("long").alias("size"), "segment", "lane", "first_seq", "first_no")
-    return rows.groupBy("segment", "lane").applyInArrow(packed, "fp string, size long, container_id long")
+from ..config import COLLECTORS, CONTAINER_COLLECTORS
+from ..functions.fingerprints import fingerprint
+from ..schemas import CONTAINER_META, ITEM_META
+from ..sources.shared import kept
+from .containers import room_of
 
 
 def delete_items(items: DataFrame, gone: DataFrame) -> DataFrame:
@@ -52,30 +22,56 @@ def delete_items(items: DataFrame, gone: DataFrame) -> DataFrame:
     return live.groupBy("container_id").agg(count(F.lit(1).cast("long")).alias("active_items"), count(F.col("size")).alias("active_bytes"), F.count(F.lit(1)).alias("all_items"))
 
 
-def merge_candidates(fill_state: DataFrame, capacity: int, share: float = 0.4, bucket: int = 4096) -> DataFrame:
-    """Containers with few live bytes and items, by size bucket. Two of them never have too many items for one."""
+def merge_candidates(fill_state: DataFrame, capacity: int, share: float = 0.4, bucket: int = 4096, touched: DataFrame | None = None) -> DataFrame:
+    """Containers with few live bytes and items, by size bucket; ones that were changed a moment ago (``touched``, container_id) wait. Two of them never have too many items for one."""
     most = share * (CONTAINER_META // ITEM_META)
-    few = fill_state.where((F.col("active_bytes") <= share * capacity) & (F.col("active_items") <= most)).withColumn("bucket", F.floor(F.col("active_bytes") / bucket))
+    few = fill_state.where((F.col("active_bytes") <= share * room_of(capacity)) & (F.col("active_items") <= most)).withColumn("bucket", F.floor(F.col("active_bytes") / bucket))
+    if touched is not None:
+        few = few.join(touched.select("container_id"), "container_id", "left_anti")
     return few.select("container_id", "active_bytes", "active_items", "bucket")
 
 
-def merge_pairs(candidates: DataFrame, capacity: int, shards: int = 256) -> DataFrame:
-    """Greedy pairs: the emptiest container with the fullest partner that still fits, within shards of containers so that no task gets all of them."""
+PAIR_SHARD = 200_000  # candidates that one task pairs; two numbers each
+
+
+def merge_pairs(candidates: DataFrame, capacity: int) -> DataFrame:
+    """Greedy pairs: the emptiest container with the fullest partner that still fits (strictly); an empty container is deleted without one (secondary_id null).
+
+    Candidates of all buckets are paired in one task as long as there are no more than PAIR_SHARD of them. Beyond that they are dealt into shards, and what
+    the shards leave over is paired with itself in one more pass; a shard leaves at most one container that could still have fitted another.
+    """
+    most, room = CONTAINER_META // ITEM_META, room_of(capacity)
 
     def paired(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("active_bytes").to_pylist(), group.column("container_id").to_pylist(), strict=True))
-        out, hi = [], len(rows) - 1
-        lo = 0
+        rows = sorted(zip(*(group.column(n).to_pylist() for n in ("active_bytes", "container_id", "active_items")), strict=True))
+        out, left = [], []
+        empty = [r for r in rows if not r[0] and not r[2]]
+        out += [(r[1], None, 0, 0) for r in empty]
+        rows = [r for r in rows if r[0] or r[2]]
+        lo, hi = 0, len(rows) - 1
         while lo < hi:
-            if rows[lo][0] + rows[hi][0] < capacity:
-                out.append((min(rows[lo][1], rows[hi][1]), max(rows[lo][1], rows[hi][1]), rows[lo][0] + rows[hi][0]))
+            a, b = rows[lo], rows[hi]
+            if a[0] + b[0] < room and a[2] + b[2] < most:
+                out.append((min(a[1], b[1]), max(a[1], b[1]), a[0] + b[0], a[2] + b[2]))
                 lo += 1
+            else:
+                left.append(b)
             hi -= 1
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("primary_id", "secondary_id", "bytes"), columns, strict=True)})
-
-    dealt = candidates.select(F.col("active_bytes").cast("long"), F.col("container_id").cast("long"), F.expr(f"pmod(xxhash64(container_id), {shards})").alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(paired, "primary_id long, secondary_id long, bytes long")
+        left += rows[lo : hi + 1]
+        out += [(None, r[1], r[0], r[2]) for r in left]  # not paired
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("primary_id", "secondary_id", "bytes", "items"), columns, strict=True)})
+
+    schema = "primary_id long, secondary_id long, bytes long, items long"
+    rows = kept(candidates.select(*[F.col(c).cast("long").alias(c) for c in ("active_bytes", "container_id", "active_items")]), "candidates")
+    shards = -(-rows.count() // PAIR_SHARD) or 1
+    first = rows.groupBy(F.expr(f"pmod(xxhash64(container_id), {shards})").alias("shard")).applyInArrow(paired, schema)
+    if shards > 1:
+        first = kept(first, "pairs")
+        over = first.where("primary_id is null").select(F.col("bytes").alias("active_bytes"), F.col("secondary_id").alias("container_id"), F.col("items").alias("active_items"))
+        again = over.groupBy(F.lit(0).alias("shard")).applyInArrow(paired, schema)  # containers that find no partner among PAIR_SHARD others: few
+        first = first.where("primary_id is not null").unionByName(again)
+    return first.where("primary_id is not null").select("primary_id", "secondary_id", "bytes")
 
 
 # Garbage collection
@@ -100,6 +96,34 @@ def revert_failed(counts: DataFrame, failed: DataFrame) -> DataFrame:
     return counts.join(undone, "fp", "left").select("fp", (F.col("usage_count") + F.coalesce("undo", F.lit(0))).alias("usage_count"))
 
 
+def direct_replay(index: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """index (fp, usage_count, change_log_id, block_hint), events (log_id, block_id, fp, delta) -> the index after the events were applied directly, and those
+    refused (log_id, fp): an event whose id is not above the row's change id has been applied before. Fingerprints that the index lacks are passed over.
+    """
+    once = events.where("delta <> 0").dropDuplicates(["log_id", "fp"])
+    judged = once.join(index.select("fp", F.col("change_log_id").alias("_seen")), "fp").withColumn("_old", F.col("log_id") <= F.coalesce("_seen", F.lit(0)))
+    fresh = judged.where(~F.col("_old")).groupBy("fp").agg(F.sum("delta").alias("_delta"), F.max("log_id").alias("_log"), F.max_by("block_id", "log_id").alias("_hint"))
+    after = index.join(fresh, "fp", "left").select(
+        "fp", (F.col("usage_count") + F.coalesce("_delta", F.lit(0))).alias("usage_count"), F.coalesce("_log", "change_log_id").alias("change_log_id"), F.coalesce("_hint", "block_hint").alias("block_hint")
+    )
+    return after, judged.where("_old").select("log_id", "fp")
+
+
+def background_candidates(index: DataFrame, events: DataFrame) -> DataFrame:
+    """(log_id, fp) of candidates that a background replay of events (log_id, fp) finds: unused, and no later event changed the row, which then would find it itself.
+
+    index (fp, usage_count, change_log_id, failed_log_id).
+    """
+    later = F.greatest(F.coalesce("change_log_id", F.lit(0)), F.coalesce("failed_log_id", F.lit(0)))
+    return events.join(index, "fp").where((F.col("usage_count") <= 0) & (later <= F.col("log_id"))).select("log_id", "fp").distinct()
+
+
+def is_candidate(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """asked (container_id, fp) -> whether each is a candidate of its container."""
+    hit = candidates.select("container_id", "fp", F.lit(True).alias("_hit")).distinct()
+    return asked.join(hit, ["container_id", "fp"], "left").select("container_id", "fp", F.coalesce("_hit", F.lit(False)).alias("candidate"))
+
+
 def in_combat(log: DataFrame, position: int) -> DataFrame:
     """Fingerprints that events behind the replay position touch."""
     return log.where(F.col("log_id") > position).select("fp").distinct()
@@ -167,27 +191,56 @@ def import_ready(main: DataFrame, aux: DataFrame, ready: DataFrame, key: str) ->
 # Checks
 
 
-def violations(items: DataFrame, index: DataFrame, stored: DataFrame) -> DataFrame:
+def violations(items: DataFrame, index: DataFrame, stored: DataFrame, listed: DataFrame, fingerprint_kind: str = "sha1") -> DataFrame:
     """(kind, key, detail) of everything that does not fit together.
 
-    items (fp, address), index (fp, address, usage_count), stored (fp, address, real_fp).
+    items (fp, address), index (fp, address, usage_count), stored (fp, address, chunk, deleted), listed (fp): candidates of the collection. Stored bytes are
+    hashed again; the index is looked up from the block items, from the stored items and the other way round; an unused index row must be a candidate.
     """
     used = items.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("address").alias("address"))
-    left, right = used.alias("u"), index.alias("x")
-    both = left.join(right, F.col("u.fp") == F.col("x.fp"), "full")
+    live = stored.where("not deleted").select("fp", "address", (fingerprint(F.col("chunk"), fingerprint_kind)).alias("real_fp"))
+    u, x = used.alias("u"), index.alias("x")
+    both = u.join(x, F.col("u.fp") == F.col("x.fp"), "full").join(listed.select("fp", F.lit(True).alias("listed")).distinct().alias("c"), F.col("x.fp") == F.col("c.fp"), "left")
     row = lambda kind, key, detail: F.struct(F.lit(kind).alias("kind"), key.alias("key"), detail.cast("string").alias("detail"))
-    found = both.select(
+    counted = F.coalesce("u.n", F.lit(0).cast("long"))
+    by_block = both.select(
         F.array_compact(
             F.array(
                 F.when(F.col("x.fp").isNull(), row("missing_index", F.col("u.fp"), F.col("u.n"))),
                 F.when(F.col("u.address") != F.col("x.address"), row("wrong_address", F.col("u.fp"), F.col("x.address"))),
-                F.when(F.col("x.fp").isNotNull() & (F.coalesce("u.n", F.lit(0)) != F.col("x.usage_count")), row("usage_count", F.col("x.fp"), F.coalesce("u.n", F.lit(0)) - F.col("x.usage_count"))),
+                F.when(F.col("x.fp").isNotNull() & (counted != F.col("x.usage_count")), row("usage_count", F.col("x.fp"), counted - F.col("x.usage_count"))),
+                F.when((F.col("x.usage_count") <= 0) & F.col("c.listed").isNull(), row("no_candidate", F.col("x.fp"), F.col("x.usage_count"))),
             )
         ).alias("v")
     ).select(F.inline("v"))
-    bad = stored.where("real_fp <> fp").select(F.lit("rehash").alias("kind"), F.col("fp").alias("key"), F.col("real_fp").alias("detail"))
-    lost = index.join(stored, ["fp", "address"], "left_anti").select(F.lit("missing_item").alias("kind"), F.col("fp").alias("key"), F.col("address").cast("string").alias("detail"))
-    return found.unionByName(bad).unionByName(lost)
+    s, i = live.alias("s"), index.select("fp", "address").alias("i")
+    held = s.join(i, F.col("s.fp") == F.col("i.fp"), "left")
+    by_container = held.select(
+        F.array_compact(
+            F.array(
+                F.when(F.col("i.fp").isNull(), row("item_not_indexed", F.col("s.fp"), F.col("s.address"))),
+                F.when(F.col("i.address") != F.col("s.address"), row("item_address", F.col("s.fp"), F.col("i.address"))),
+                F.when(~F.col("s.real_fp").eqNullSafe(F.col("s.fp")), row("rehash", F.col("s.fp"), F.coalesce("s.real_fp", F.lit("lost")))),
+            )
+        ).alias("v")
+    ).select(F.inline("v"))
+    lost = index.join(live.select("fp", "address"), ["fp", "address"], "left_anti").select(F.lit("missing_item").alias("kind"), F.col("fp").alias("key"), F.col("address").cast("string").alias("detail"))
+    return by_block.unionByName(by_container).unionByName(lost)
+
+
+def redirect_violations(addresses: DataFrame, items: DataFrame) -> DataFrame:
+    """addresses (container_id, primary_id, file_id, file_offset), items (container_id, original_id) -> faults of the address table: a redirect that leads to another
+    redirect or nowhere, two containers at one place, an id that redirects to a container without any item of it.
+    """
+    a, b = addresses.alias("a"), addresses.alias("b")
+    moved = a.where("primary_id is not null").join(b, F.col("a.primary_id") == F.col("b.container_id"), "left")
+    kind = F.when(F.col("b.container_id").isNull(), "redirect_lost").when(F.col("b.primary_id").isNotNull(), "redirect_chain")
+    chained = moved.select(kind.alias("kind"), F.col("a.container_id").alias("key"), F.col("a.primary_id").alias("detail")).where("kind is not null")
+    placed = addresses.where("primary_id is null").groupBy("file_id", "file_offset").agg(F.count(F.lit(1)).alias("n"), F.min("container_id").alias("key")).where("n > 1")
+    same = placed.select(F.lit("same_place").alias("kind"), "key", F.col("n").alias("detail"))
+    told = addresses.where("primary_id is not null").select(F.col("primary_id").alias("container_id"), F.col("container_id").alias("original_id"))
+    bare = told.join(items.select("container_id", "original_id"), ["container_id", "original_id"], "left_anti")
+    return chained.unionByName(same).unionByName(bare.select(F.lit("redirect_unused").alias("kind"), F.col("original_id").alias("key"), F.col("container_id").alias("detail")))
 
 
 def restore_index(container_items: DataFrame, block_items: DataFrame) -> DataFrame:
@@ -225,30 +278,37 @@ def _unpack_bytes(codec: str, stored: bytes, size: int) -> bytes:
 PYARROW_CODECS = {"snappy": "snappy", "lz4": "lz4_raw"}
 CODECS = ("deflate", "bz2", *PYARROW_CODECS)
 LEAST_COMPRESSED = 128  # smaller items stay as they are
-SEALED = "fp string, codec string, raw_size long, stored binary, adler32 long"
+SEALED = "fp string, asked string, codec string, raw_size long, stored binary, adler32 long"
+UNSEALED = "fp string, asked string, chunk binary, ok boolean"
 
 
-def seal(codec: str):
-    """For mapInArrow on (fp, chunk): items as containers hold them, compressed where that is smaller (``codec`` is null elsewhere), with a checksum of the stored bytes."""
+def seal(*codecs: str):
+    """For mapInArrow on (fp, chunk): items as containers hold them, once for each codec (``asked``), compressed where that is smaller (``codec`` is null
+    elsewhere), with a checksum of the stored bytes.
+    """
     import zlib
 
-    if codec not in CODECS:
-        raise ValueError(f"no codec {codec}; there are {CODECS}")
+    if odd := [c for c in codecs if c not in CODECS]:
+        raise ValueError(f"no codec {odd[0]}; there are {CODECS}")
 
     def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [x.as_py() for x in batch.column(1)]
-            small = [_pack_bytes(codec, x) if len(x) >= LEAST_COMPRESSED else x for x in raw]
-            used = [len(y) < len(x) for x, y in zip(raw, small, strict=True)]
-            stored = [y if u else x for x, y, u in zip(raw, small, used, strict=True)]
-            columns = [batch.column(0), pa.array([codec if u else None for u in used], pa.string()), pa.array([len(x) for x in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array([zlib.adler32(x) for x in stored], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["fp", "codec", "raw_size", "stored", "adler32"])
+            for codec in codecs:
+                small = [_pack_bytes(codec, x) if len(x) >= LEAST_COMPRESSED else x for x in raw]
+                used = [len(y) < len(x) for x, y in zip(raw, small, strict=True)]
+                stored = [y if u else x for x, y, u in zip(raw, small, used, strict=True)]
+                columns = [
+                    batch.column(0), pa.array([codec] * len(raw), pa.string()), pa.array([codec if u else None for u in used], pa.string()), pa.array([len(x) for x in raw], pa.int64()),
+                    pa.array(stored, pa.binary()), pa.array([zlib.adler32(x) for x in stored], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "asked", "codec", "raw_size", "stored", "adler32"])
 
     return sealed
 
 
 def unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow on sealed items: (fp, chunk, ok); a checksum that does not match gives no bytes."""
+    """For mapInArrow on sealed items: (fp, asked, chunk, ok); a checksum that does not match gives no bytes."""
     import zlib
 
     for batch in batches:
@@ -256,7 +316,8 @@ def unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codec, size, stored, check in zip(*(batch.column(n).to_pylist() for n in ("codec", "raw_size", "stored", "adler32")), strict=True):
             ok = zlib.adler32(stored) == check
             out.append((_unpack_bytes(codec, stored, size) if codec else stored) if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("fp")), pa.array(out, pa.binary()), pa.array([x is not None for x in out])], ["fp", "chunk", "ok"])
+        names = [batch.column(batch.schema.get_field_index(n)) for n in ("fp", "asked")]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(out, pa.binary()), pa.array([x is not None for x in out])], ["fp", "asked", "chunk", "ok"])
 
 
 def commit_state(addresses: DataFrame, committed: DataFrame, known_at_start: int) -> DataFrame:
@@ -321,3 +382,8 @@ def repair_index(index: DataFrame, items: DataFrame, stored: DataFrame) -> DataF
     both = place.join(used, "fp", "left").join(index, "fp", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     same = F.col("address").eqNullSafe(F.col("place")) & F.col("usage_count").eqNullSafe(F.col("n"))
     return both.select("fp", F.col("place").alias("address"), F.col("n").alias("usage_count"), (~same).alias("repaired"))
+
+
+COLLECTORS.add("usage-count", usage_counts)
+COLLECTORS.add("none", anchor_hints)
+CONTAINER_COLLECTORS.add("greedy", lambda state, capacity: merge_pairs(merge_candidates(state, capacity), capacity))

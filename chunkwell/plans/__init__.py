@@ -1 +1 @@
-from . import queries, states  # noqa: F401  states adds its queries to those of queries
+from . import lifecycle, queries, states  # noqa: F401  the others add their queries to those of queries

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import block_id
-from ..functions.hashing import murmur3_batches, rot13
+from ..functions.hashing import rot13
 from ..operators import chunking, dedup, locality, mapping, storage
 from ..sources import tables
+from ..sources.shared import folder, kept
 from ..streaming import ingest
-from .queries import BLOCK, CHUNK, _chunks, _halves, _index, _items, _packed, _planted, query
+from .queries import BLOCK, CHUNK, _chunks, _halves, _index, _items, _packed, _planted, _stored, query
 
 # Functions
 
@@ -22,18 +23,6 @@ def codecs(spark, d):
     return c.select(F.col("c_custkey").alias("k"), F.lower(F.hex(raw)).alias("as_hex"), code.alias("as_base64"), rot13(F.col("c_name")).alias("as_rot13"), F.decode(F.unbase64(code), "UTF-8").alias("back"))
 
 
-@query()
-def crc32(spark, d):
-    return _chunks(spark, d).select("write_seq", "chunk_no", F.crc32("chunk").alias("crc32"))
-
-
-@query()
-def murmur3_shards(spark, d):
-    """The shard of 16 that each chunk's fingerprint belongs to."""
-    keys = _index(spark, d).select("fp", F.unhex("fp").alias("raw")).mapInArrow(murmur3_batches, "fp string, murmur3 long")
-    return keys.select("fp", F.col("murmur3").alias("hash"), (F.col("murmur3") % 16).alias("shard"))
-
-
 # Volumes with their own chunker and filters
 
 
@@ -71,9 +60,14 @@ def chain_update(spark, d):
     return dedup.learn(index, dedup.chain(new, ["chunk-index-filter"], index=index))
 
 
-@query(", x AS (SELECT 1) SELECT count(*) AS items, count(*) < 0.9 * 1000000000 AS accepting FROM idx")
+@query(", x AS (SELECT 1) SELECT count(*) AS items, capacity, count(*) < 0.9 * capacity AS accepting FROM idx, (SELECT unnest([100, 4000, 5000, 6000, 1000000000])::BIGINT AS capacity) GROUP BY capacity")
 def index_admission(spark, d):
-    return dedup.accepts_new(_index(spark, d), 1_000_000_000)
+    """Whether an index with these items takes new chunks, for limits on either side of their number."""
+    index, out = _index(spark, d), None
+    for capacity in (100, 4000, 5000, 6000, 1_000_000_000):
+        row = dedup.accepts_new(index, capacity)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FROM orders GROUP BY o_custkey")
@@ -83,12 +77,28 @@ def two_tier_read(spark, d):
     return dedup.two_tier(main, aux, "k")
 
 
+def _near(spark, d):
+    """Items of texts that were written twice, the second time some blocks further on: what a locality cache is for."""
+    i = _items(spark, d).select("write_seq", "block_id", "fp")
+    again = i.where("write_seq % 4 = 0").select((F.col("write_seq") + 1000).alias("write_seq"), (F.col("block_id") + 4096 * 1000).alias("block_id"), "fp")
+    return i.unionByName(again)
+
+
 @query()
 def block_locality_cache(spark, d):
-    """What the locality cache finds, by segment, with every request's blocks one extent after the last one's."""
-    i = _items(spark, d)
-    near = i.withColumn("block_id", F.col("write_seq") * 64 + F.pmod("block_id", F.lit(64)))
-    return locality.replay_locality(near)
+    """Which chunks the locality cache finds, and in which block."""
+    return locality.replay_locality(_near(spark, d))
+
+
+@query()
+def locality_filter(spark, d):
+    """The chain with the cache in it: a chunk that it finds is known before the index is asked."""
+    near = _near(spark, d)
+    found = locality.replay_locality(near).groupBy("block_id", "fp").agg(F.max("cached_block").alias("cached_address"))
+    chunks = near.groupBy("write_seq", "block_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    index = near.groupBy("fp").agg(F.min("block_id").alias("index_address")).where("fp < '8'")
+    names = ("block-locality-filter", "chunk-index-filter")
+    return dedup.counters(dedup.chain(chunks, names, locality=found, index=index), names)
 
 
 # Mapping algebra
@@ -115,7 +125,7 @@ def read_zero_filled(spark, d):
     c, w = _chunks(spark, d), tables.writes(spark, d).where("size > 0")
     ranges = w.select(block_id(F.col("volume_id"), F.col("offset"), BLOCK).alias("block_id"), F.lit(900).alias("lo"), F.lit(1100).alias("hi"))
     items = mapping.fill_empty(ranges, mapping.block_items(c, BLOCK), BLOCK)
-    return mapping.read_range(items, c.groupBy("fp").agg(F.min("chunk").alias("chunk")), ranges)
+    return mapping.read_range(items, _stored(c), ranges)
 
 
 @query(""", j0 AS (SELECT block_id AS src, block_id + 1 AS dst, greatest(min(item_start), 500) AS c0, least(max(item_start + item_size), 2700) AS c1 FROM items WHERE block_id % 2 = 0 GROUP BY block_id),
@@ -240,10 +250,11 @@ def mapping_import(spark, d):
 
 
 def _indexed_items(spark, d):
-    return _packed(spark, d).select("fp", "container_id", F.col("container_id").alias("original_id"), (F.col("fp") >= "e").alias("deleted"), (F.col("fp") < "c").alias("indexed"))
+    moved = F.when(F.substring("fp", 2, 1) == "0", F.col("container_id") + 1).otherwise(F.col("container_id"))
+    return _packed(spark, d).select("fp", "container_id", moved.alias("original_id"), (F.col("fp") >= "e").alias("deleted"), (F.col("fp") < "c").alias("indexed"))
 
 
-@query(", x AS (SELECT 1) SELECT fp, CASE WHEN fp < '5' THEN 0 ELSE container_id END AS address, CASE WHEN fp < '5' THEN 7 ELSE 0 END AS usage_count FROM packed WHERE fp < 'c'")
+@query(", x AS (SELECT 1) SELECT fp, CASE WHEN fp < '5' THEN 0 ELSE container_id END AS address, CASE WHEN fp < '5' THEN 7 ELSE 0 END AS usage_count FROM packed WHERE fp < '5' OR (fp < 'c' AND substr(fp, 2, 1) <> '0')")
 def container_load(spark, d):
     """After a crash the index knows the fingerprints below 5; containers bring the rest of the live, indexed ones."""
     index = _packed(spark, d).where("fp < '5'").select("fp", F.lit(0).cast("long").alias("address"), F.lit(7).cast("long").alias("usage_count"))
@@ -274,43 +285,46 @@ def container_timeouts(spark, d):
 @query(", p AS (SELECT fp, min(hex(piece)) AS h FROM chunks GROUP BY fp) SELECT fp, CASE WHEN fp >= '4' THEN lower(substr(h, 201, 400)) END AS data FROM p")
 def container_read_items(spark, d):
     """Bytes 100 to 300 of every stored chunk; those below 4 are deleted."""
-    chunks = _chunks(spark, d).groupBy("fp").agg(F.min("chunk").alias("chunk"))
+    chunks = _stored(_chunks(spark, d))
     stored = chunks.select("fp", F.lit(1).alias("address"), "chunk", (F.col("fp") < "4").alias("deleted"))
     return storage.read_items(_index(spark, d).select("fp", F.lit(1).alias("address"), F.lit(100).alias("lo"), F.lit(200).alias("n")), stored)
 
 
-@query(""", u AS (SELECT items.fp, min(container_id) AS address, count(*) AS n FROM items JOIN packed USING (fp) GROUP BY items.fp) SELECT fp, address, n AS usage_count, substr(fp, 1, 2) IN ('00', '11', '22') AS repaired FROM u""")
+@query(""", u AS (SELECT items.fp, min(container_id) AS address, count(*) AS n FROM items JOIN packed USING (fp) GROUP BY items.fp)
+       SELECT fp, address, CASE WHEN substr(fp, 1, 2) = '44' THEN 0 ELSE n END AS usage_count, substr(fp, 1, 2) IN ('00', '11', '22') AS repaired FROM u""")
 def check_repairs(spark, d):
     """The index with planted faults, repaired from containers and block items."""
-    items, index, stored = _planted(spark, d)
+    items, index, stored, _ = _planted(spark, d)
     return storage.repair_index(index, items, stored)
 
 
-@query(", c AS (SELECT unnest(['deflate', 'bz2', 'snappy', 'lz4']) AS codec) SELECT codec, (SELECT count(*) FROM idx) AS items, 0::BIGINT AS damaged, 0::BIGINT AS different FROM c")
+@query(""", k AS (SELECT unnest(['deflate', 'bz2', 'snappy', 'lz4']) AS codec) SELECT codec, count(*) AS items, count(*) FILTER (fp < '1') AS damaged, count(*) FILTER (fp >= 'f') AS different FROM k, idx GROUP BY codec""")
 def container_codecs(spark, d):
-    """All stored chunks sealed by each codec and read back, checked by checksum and fingerprint."""
-    stored = _chunks(spark, d).groupBy("fp").agg(F.min("chunk").alias("chunk"))
-    out = None
-    for codec in storage.CODECS:
-        back = stored.select("fp", "chunk").mapInArrow(storage.seal(codec), storage.SEALED).mapInArrow(storage.unseal, "fp string, chunk binary, ok boolean")
-        wrong = F.col("ok") & (F.sha1("chunk") != F.col("fp"))
-        row = back.agg(F.count(F.lit(1)).alias("items"), F.sum((~F.col("ok")).cast("long")).alias("damaged"), F.sum(wrong.cast("long")).alias("different")).select(F.lit(codec).alias("codec"), "items", "damaged", "different")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All stored chunks sealed by each codec in one pass and read back: some with a checksum that was damaged (below 1), some of other bytes (from f on)."""
+    more = F.when(F.col("fp") >= "f", F.concat("chunk", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("chunk"))
+    sealed = _stored(_chunks(spark, d)).select("fp", more.alias("chunk")).mapInArrow(storage.seal(*storage.CODECS), storage.SEALED)
+    sealed = sealed.withColumn("adler32", F.when(F.col("fp") < "1", F.col("adler32") + 1).otherwise(F.col("adler32")))
+    back = sealed.mapInArrow(storage.unseal, storage.UNSEALED)
+    wrong = F.col("ok") & (F.sha1("chunk") != F.col("fp"))
+    return back.groupBy(F.col("asked").alias("codec")).agg(F.count(F.lit(1)).alias("items"), F.sum((~F.col("ok")).cast("long")).alias("damaged"), F.sum(wrong.cast("long")).alias("different"))
 
 
 # Inspection and log
 
 
-@query(", x AS (SELECT 1) SELECT fp, first_seq, first_no, size, usage_count FROM idx WHERE first_seq = 3")
+@query(", x AS (SELECT 1) SELECT fp, first_seq, first_no, size, usage_count FROM idx")
 def inspect_chunks(spark, d):
-    """Index rows of the chunks that request 3 brought."""
-    return _index(spark, d).where("first_seq = 3").select("fp", "first_seq", "first_no", "size", "usage_count")
+    """Index rows of all chunks, by the request that brought them."""
+    return _index(spark, d).select("fp", "first_seq", "first_no", "size", "usage_count")
 
 
-@query(", x AS (SELECT 1) SELECT container_id, fp, size FROM packed WHERE container_id = 4")
+@query(", x AS (SELECT 1) SELECT container_id, CASE WHEN container_id % 3 = 0 THEN 'committed' WHEN container_id <= 20 THEN 'never' ELSE 'open' END AS state, fp, size FROM packed")
 def inspect_container(spark, d):
-    return _packed(spark, d).where("container_id = 4").select("container_id", "fp", "size")
+    """All containers' items, with the commit state of each."""
+    packed = kept(_packed(spark, d), "inspected")
+    ids = packed.select(F.col("container_id").alias("address")).distinct()
+    state = storage.commit_state(ids, ids.select(F.col("address").alias("container_id")).where("container_id % 3 = 0"), 20)
+    return packed.join(state.withColumnRenamed("address", "container_id"), "container_id").select("container_id", "state", "fp", "size")
 
 
 @query(", x AS (SELECT 1) SELECT log_id, event_type, fp, delta FROM logt WHERE log_id >= 900")
@@ -329,26 +343,19 @@ def stats_table(spark, d):
 # Streams
 
 
-def _folder(spark, name):
-    import tempfile
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='chunkwell-')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(", x AS (SELECT 1) SELECT fp, size FROM idx")
 def stream_ingest(spark, d):
     """The index that writes leave when they arrive in micro-batches."""
-    folder = _folder(spark, "ingest")
-    index, _ = ingest.ingest(ingest.staged(tables.writes(spark, d), folder, "write_seq"), folder, CHUNK, BLOCK)
+    where = folder(spark, "ingest")
+    index, _ = ingest.ingest(ingest.staged(tables.writes(spark, d), where, "write_seq"), where, CHUNK, BLOCK)
     return index.select("fp", "size")
 
 
 @query(", x AS (SELECT 1) SELECT event_type, count(*) AS events, max(log_id) AS last_id FROM logt GROUP BY event_type")
 def stream_publish(spark, d):
     """One of two consumers of the log counts its events; partial counts of batches are summed."""
-    folder = _folder(spark, "publish")
+    where = folder(spark, "publish")
     count = lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.max("log_id").alias("last_id"))
     consumers = {"counts": count, "hints": lambda b: b.select("log_id", "fp", "block_id")}
-    found = ingest.publish(ingest.staged(tables.log(spark, d), folder, "log_id"), folder, consumers)["counts"]
+    found = ingest.publish(ingest.staged(tables.log(spark, d), where, "log_id"), where, consumers)["counts"]
     return found.groupBy("event_type").agg(F.sum("events").alias("events"), F.max("last_id").alias("last_id"))

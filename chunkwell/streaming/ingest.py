@@ -6,25 +6,18 @@ import logging
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunking, dedup, mapping
+from .replay import nothing_there, table
 
 log = logging.getLogger(__name__)
 
 INDEX = "fp string, first_seq long, first_no long, size long, usage_count long"
 
 
-def _parts(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
-    """What batches below ``before`` wrote; a batch that runs again does not see itself."""
-    try:
-        spark.read.parquet(folder)
-    except Exception as ex:  # noqa: BLE001  nothing was written yet
-        if "PATH_NOT_FOUND" not in str(ex) and "UNABLE_TO_INFER_SCHEMA" not in str(ex):
-            raise
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch long").parquet(folder).where(F.col("batch") < before).drop("batch")
+PREFIX = 1  # hex digits of a fingerprint that name a part of the index
 
 
 def ingest(writes: DataFrame, folder: str, chunk_size: int, block_size: int) -> tuple[DataFrame, DataFrame]:
@@ -32,44 +25,49 @@ def ingest(writes: DataFrame, folder: str, chunk_size: int, block_size: int) ->
 
     Each batch chunks its requests, adds the fingerprints that the index of earlier batches lacks, and its block items. All outputs
     of a batch lie under its number and replace themselves, so a batch repeated after a lost driver changes nothing; ``folder`` holds
-    the position. The index is looked up by a shuffled anti join on the fingerprint, after the batch's own repeats are gone.
+    the position. The index lies in parts by the first digits of the fingerprint, and a batch reads the parts that it touches only.
     """
     spark = writes.sparkSession
+    prefix = F.substring("fp", 1, PREFIX)
 
     def apply(batch: DataFrame, number: int) -> None:
         chunks = chunking.static_chunks(batch, chunk_size)
-        known = _parts(spark, f"{folder}/index", INDEX, number)
-        fresh = dedup.chunk_index(chunks).join(known.select("fp"), "fp", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/index/batch={number}")
+        own = dedup.chunk_index(chunks).withColumn("prefix", prefix)
+        known = table(spark, f"{folder}/index", f"{INDEX}, batch long, prefix string").where(F.col("batch") < number)
+        if number:
+            touched = [r[0] for r in own.select("prefix").distinct().collect()]  # 16 ** PREFIX strings at most
+            known = known.where(F.col("prefix").isin(*touched))
+        fresh = own.join(known.select("fp"), "fp", "left_anti")
+        fresh.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/index/batch={number}")
         mapping.block_items(chunks, block_size).write.mode("overwrite").parquet(f"{folder}/items/batch={number}")
 
     query = writes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/index").drop("batch"), spark.read.parquet(f"{folder}/items").drop("batch")
+    index = table(spark, f"{folder}/index", f"{INDEX}, batch long, prefix string")
+    return index.drop("batch", "prefix"), spark.read.parquet(f"{folder}/items").drop("batch")
 
 
 def publish(events: DataFrame, folder: str, consumers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
-    """Hands each batch of a stream of events to every consumer, and returns what each has made of all batches.
+    """Hands each batch of a stream of events to every consumer, and returns what each has made of the batches so far.
 
-    A consumer that fails is named in the log and does not keep the batch from the others; it has no rows for that batch.
+    Every consumer is a query with a position of its own. One that fails is named in the log, keeps its position and does not keep events from
+    the others; the next call begins with the batch that it failed on, so it misses none.
     """
-    spark = events.sparkSession
+    spark, found = events.sparkSession, {}
+    for name, consumer in consumers.items():
 
-    def apply(batch: DataFrame, number: int) -> None:
-        for name, consumer in consumers.items():
-            try:
-                consumer(batch).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-            except Exception:  # noqa: BLE001  the consumers are independent
-                log.exception("consumer %s failed on batch %d", name, number)
+        def apply(batch: DataFrame, number: int, name: str = name, consumer: Callable = consumer) -> None:
+            consumer(batch).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-    query = events.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = {}
-    for name in consumers:
+        query = events.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/position-{name}").trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except Exception:  # noqa: BLE001  the consumers are independent
+            log.exception("consumer %s stopped", name)
         try:
             found[name] = spark.read.parquet(f"{folder}/{name}")
-        except Exception as ex:  # noqa: BLE001  failed on every batch
-            if "PATH_NOT_FOUND" not in str(ex) and "UNABLE_TO_INFER_SCHEMA" not in str(ex):
+        except Exception as ex:  # noqa: BLE001  failed on its first batch
+            if not nothing_there(ex):
                 raise
     return found
 

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from chunkwell.config import RabinOptions, load, storage_unit
+from chunkwell.config import RabinOptions, irreducible, load, storage_unit, system
 from chunkwell.functions import rabin
 from chunkwell.functions.fingerprints import bloom_size, is_anchor, sample_mask
 from chunkwell.operators import chunking, dedup, mapping, storage
@@ -119,15 +120,6 @@ def test_sampling_reads_the_last_four_bytes_least_first(spark):
     assert bloom_size(1000, 0.01)[1] % 32 == 0
 
 
-def test_next_fit_packing(spark):
-    index = spark.createDataFrame([(f"f{k}", 64 * k, 0, 40) for k in range(5)], "fp string, first_seq long, first_no long, size long")
-    got = storage.pack(index, 300).collect()
-    sizes = {}
-    for r in got:
-        sizes[r["container_id"]] = sizes.get(r["container_id"], 0) + r["size"]
-    assert sum(sizes.values()) == 200 and max(sizes.values()) + storage.ITEM_META <= 300 + 84
-
-
 def test_replay_in_batches_equals_one_batch(spark, tmp_path):
     from chunkwell.streaming.replay import replay_counts
 
@@ -137,18 +129,65 @@ def test_replay_in_batches_equals_one_batch(spark, tmp_path):
     want = {}
     for _, f, x in events:
         want[f] = want.get(f, 0) + x
-    for _ in range(2):  # a second run finds the position and applies nothing again
-        got = {r["fp"]: r["usage_count"] for r in replay_counts(spark, log, str(tmp_path), "t").collect()}
-        assert got == want
+    batches = lambda: {p.name for p in (tmp_path / "replay-t" / "batches").glob("batch=*")}
+    files = lambda: {p.name for p in (tmp_path / "replay-t" / "log").glob("*.parquet")}
+    got = {r["fp"]: r["usage_count"] for r in replay_counts(spark, log, str(tmp_path), "t").collect()}
+    before, held = batches(), files()
+    assert got == want and len(before) > 1
+    got = {r["fp"]: r["usage_count"] for r in replay_counts(spark, log, str(tmp_path), "t").collect()}
+    assert got == want and batches() == before and files() == held  # the second call finds the position and reads nothing again
+    more = log.unionByName(spark.createDataFrame([(900, 3, 5)], log.schema))
+    got = {r["fp"]: r["usage_count"] for r in replay_counts(spark, more, str(tmp_path), "t").collect()}
+    assert got == want | {3: want[3] + 5} and files() > held
+
+
+def stored_rows(spark, rows):
+    """(fp, address, chunk, deleted) of chunks that their own digests name."""
+    import hashlib
+
+    return spark.createDataFrame([(hashlib.sha1(c).hexdigest(), a, bytearray(c), False) for a, c in rows], "fp string, address long, chunk binary, deleted boolean")
 
 
 def test_check_is_clean_or_names_the_fault(spark):
-    items = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "fp string, address long")
-    stored = spark.createDataFrame([("a", 1, "a"), ("b", 2, "b")], "fp string, address long, real_fp string")
+    stored = stored_rows(spark, [(1, b"a"), (2, b"b")])
+    a, b = [r["fp"] for r in stored.orderBy("address").collect()]
+    items = spark.createDataFrame([(a, 1), (a, 1), (b, 2)], "fp string, address long")
     index = lambda *r: spark.createDataFrame(list(r), "fp string, address long, usage_count long")
-    assert storage.violations(items, index(("a", 1, 2), ("b", 2, 1)), stored).count() == 0
-    bad = {tuple(r) for r in storage.violations(items, index(("a", 1, 3)), stored).collect()}
-    assert bad == {("usage_count", "a", "-1"), ("missing_index", "b", "1")}
+    listed = spark.createDataFrame([("z",)], "fp string")
+    found = lambda *x: {tuple(r) for r in storage.violations(*x).collect()}
+    assert found(items, index((a, 1, 2), (b, 2, 1)), stored, listed) == set()
+    assert found(items, index((a, 1, 3)), stored, listed) == {("usage_count", a, "-1"), ("missing_index", b, "1"), ("item_not_indexed", b, "2")}
+    good = index((a, 1, 2), (b, 2, 1))
+    worse = stored.withColumn("chunk", F.when(F.col("address") == 1, F.encode(F.lit("A"), "UTF-8")).otherwise(F.col("chunk")))
+    assert {k for k, *_ in found(items, good, worse, listed)} == {"rehash"}
+    assert {k for k, *_ in found(items, index((a, 1, 2), (b, 7, 1)), stored, listed)} == {"wrong_address", "item_address", "missing_item"}
+    assert found(items, index((a, 1, 2), (b, 2, 1), ("z", 0, 0), ("y", 0, 0)), stored, listed) == {("no_candidate", "y", "0"), ("missing_item", "z", "0"), ("missing_item", "y", "0")}
+    gone = stored.withColumn("deleted", F.col("address") == 2)
+    assert {k for k, *_ in found(items, good, gone, listed)} == {"missing_item"}
+
+
+@pytest.mark.parametrize(("sizes", "offset", "ok"), [([60, 40], 0, True), ([60], 0, False), ([60, 0, 40], 0, False), ([60, 40], 65537, False), ([60, 41], 0, False), ([50, 60], 0, False)])
+def test_mapping_check(spark, sizes, offset, ok):
+    rows = [(1, k * 10, offset, n) for k, n in enumerate(sizes)]
+    got = mapping.mapping_check(spark.createDataFrame(rows, "block_id long, item_start long, chunk_offset long, item_size long"), 100).collect()
+    assert [(r["bytes"], r["ok"]) for r in got] == [(sum(sizes), ok)]
+    large = spark.createDataFrame([(1, 0, 0, 70000)], "block_id long, item_start long, chunk_offset long, item_size long")
+    assert not mapping.mapping_check(large, 70000).first()["ok"]
+
+
+def test_byte_comparison_ladder(spark):
+    """A chunk that cannot be read back equal is an error, whatever the fingerprint says."""
+    chunks = [("same", b"xy"), ("other", b"xy"), ("short", b"xy"), ("lost", b"xy"), ("empty", b"xy"), ("new", b"xy"), ("elsewhere", b"xy"), ("none", None)]
+    rows = spark.createDataFrame([(1, k, f, None if c is None else bytearray(c)) for k, (f, c) in enumerate(chunks)], "write_seq long, chunk_no long, fp string, chunk binary")
+    index = spark.createDataFrame([(f, -2 if f == "empty" else 5) for f, _ in chunks if f != "new"], "fp string, index_address long")
+    stored = spark.createDataFrame([("same", 5, bytearray(b"xy")), ("other", 5, bytearray(b"xz")), ("short", 5, bytearray(b"x")), ("elsewhere", 6, bytearray(b"xy"))], "fp string, stored_address long, stored_chunk binary")
+    out = dedup.chain(rows, ("chunk-index-filter", "bytecompare-filter"), index=index, stored=stored)
+    got = {r["fp"]: (r["decision"], r["address"], r["known"]) for r in out.collect()}
+    bad = (0, None, False)
+    assert got == {"same": (4, 5, True), "other": bad, "short": bad, "lost": bad, "elsewhere": bad, "empty": (4, -2, True), "new": (1, None, False), "none": (2, 5, True)}
+    assert {r["fp"] for r in dedup.errors(out).collect()} == {"other", "short", "lost", "elsewhere"}
+    after = {r["fp"] for r in dedup.learn(index.limit(0), out).collect()}
+    assert after == {"new"}
 
 
 def test_config():
@@ -156,6 +195,14 @@ def test_config():
     assert load(["a=1 # x", "", "a = 2"]) == [("a", "1"), ("a", "2")]
     with pytest.raises(ValueError):
         RabinOptions(average=1000)
+    with pytest.raises(ValueError, match="factors"):
+        RabinOptions(polynomial=0xBFE6B8A5BF378D82)  # x divides it
+    assert [p for p in range(2, 32) if irreducible(p)] == [2, 3, 7, 11, 13, 19, 25, 31]
+    chunker, filters = system(load(["chunking=static", "chunking.size=4", "filter=bloom-filter", "filter=chunk-index-filter"]))
+    assert filters == ("bloom-filter", "chunk-index-filter") and callable(chunker)
+    for bad in ("colour=red", "filter=nothing", "chunking=nothing", "fingerprinting=nothing"):
+        with pytest.raises((ValueError, KeyError)):
+            system(load([bad]))
 
 
 def test_entry_and_names(spark):
