@@ -4,6 +4,9 @@
 2. MinHash values of a text (128) are banded by four. Texts that share a band are linked to the band's
    smallest row: a star, not all pairs. Two texts of similarity 0.8 share no band
    with probability 5e-8, and less the more alike they are. Stars join into components; everything similar is in one component.
+   Texts that share much boilerplate can meet in a large component without being similar. Components that are larger than a block are taken apart by an exact
+   rule: of two texts at the threshold, the rarest fifth of one's n-grams and of the other's have one in common. Stars over these rare n-grams join
+   into finer components; boilerplate is frequent and joins nothing.
 3. Within a component, MinHash values of pairs are compared sixteen at a time. Under a uniform prior the
    posterior probability that the similarity reaches the threshold, given the matches so far, is a
    binomial tail; pairs for which it falls below 1e-9 are dropped. The rest are verified exactly on their n-gram sets.
@@ -39,6 +42,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-9
 HASHES, BAND, STEP = 128, 4, 16
 BLOCK_TEXTS, BLOCK_GRAMS = 512, 500_000
+RARITY_BITS = 18  # n-grams are counted in 2 ** 18 places, whatever the corpus: 2 MB
 U64 = np.uint64
 
 
@@ -198,7 +202,7 @@ UNIT = pa.schema([("rid", pa.int64()), ("to", pa.int64()), ("n_links", pa.int64(
 
 
 def _verify(unit: pa.Table, threshold: float, tolerance: float) -> pa.Table:
-    """Of the texts of a unit: links, and the smallest row that verified links reach."""
+    """Of the texts of a unit: links, and the smallest row that verified links reach. All texts of a component's two blocks are here."""
     got: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
     want = (unit.column("block_a")[0].as_py(), unit.column("block_b")[0].as_py()) if len(unit) else (0, 0)
     for comp, rid, block, code, text in zip(*(unit.column(c) for c in ("comp", "rid", "block", "digest", "text")), strict=True):
@@ -227,6 +231,71 @@ def _sha(text):
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
+def _star_edges(keyed: DataFrame) -> DataFrame:
+    """keyed (rid, key) -> edges (a, b) between rows that share a key, by way of each key's smallest row."""
+    stars = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A text meets many hubs. It is linked to the smallest, and so are the other hubs, which many texts share: the same components from fewer edges.
+    hubs = keyed.join(stars, "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    return hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
+
+
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (rid, doc_id, sha, ...) with their ``text``. Rows of one id and text are copies; one of them is enough."""
+    # Merged at every size: neither side has a bound, and shuffles then grow as the input does.
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("_id"), _sha(F.col("text")).alias("_sha"), "text")
+    got = rows.hint("merge").join(texts_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha")
+    return got.dropDuplicates(["rid"])
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, comp, digest, text) -> (rid, comp, grams)."""
+    for batch in batches:
+        sets = [grams(split_words(t.as_py())).tobytes() for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rid", "comp", "grams"])
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n): how many texts of a task have an n-gram in each place."""
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for raw in batch.column(0):
+            total += np.bincount((np.frombuffer(raw.as_py(), U64) >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+
+def rare_first(g: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """So many of a set's n-grams, the rarest first, that two sets at the threshold have one of theirs in common (any one order of all n-grams will do)."""
+    order = np.lexsort((g, counts[(g >> U64(64 - RARITY_BITS)).astype(np.int64)]))
+    return g[order[: len(g) - int(np.ceil(threshold * len(g) - 1e-9)) + 1]]
+
+
+def _finer(large: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """large (rid, comp, doc_id, sha, digest) -> (rid, comp) by stars over rare n-grams, within the components as they are; texts that share none drop out."""
+    sets = written(_with_text(large, docs).select("rid", "comp", "digest", "text").mapInArrow(_gram_rows, "rid long, comp long, grams binary"), "grams")
+    counted = sets.select("grams").mapInArrow(_rarity, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # 2 ** RARITY_BITS rows at most
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[counted["place"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for comp, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = _mix(np.array([comp], np.int64).view(U64) + U64(1))
+                keys.append(_mix(rare_first(np.frombuffer(raw.as_py(), U64), counts, threshold) ^ own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["rid", "keys"])
+
+    edges = _star_edges(sets.mapInArrow(keyed, "rid long, keys array<long>").select("rid", F.explode("keys").alias("key")))
+    return components(edges, "fine").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members (rid, comp, n_grams, ...) with ``blocks``, the number of blocks that their component is cut into."""
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
+    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("long").alias("blocks"))
+    return members.join(sizes, "comp")
+
+
 def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, digest); texts (digest, copy_id, n_copies, n_links, label); classes (label, first), where ``first``
     has the doc_id and sha of the class's row of smallest id, rows without an id last.
@@ -238,22 +307,20 @@ def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
         sketches.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "sha", "n_grams")).alias("s"), first, F.count(F.lit(1)).alias("n_copies")).select("digest", "s.*", "first", "n_copies"), "texts"
     )
     bands = sketches.join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
-    stars = bands.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # A text meets up to 32 hubs. It is linked to the smallest, and so are the other hubs, which many texts share: the same components from fewer edges.
-    hubs = bands.join(stars, "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
-    edges = hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
-    members = components(edges, "near").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
-
-    members = members.join(texts.select("rid", "doc_id", "sha", "digest", "n_grams"), "rid")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("long"))
-    placed = written(members.join(sizes.select("comp", "blocks"), "comp").withColumn("block", F.expr("pmod(xxhash64(rid), blocks)")), "placed")
+    members = components(_star_edges(bands), "near").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
+
+    known_texts = texts.select("rid", "doc_id", "sha", "digest", "n_grams")
+    placed = written(_sized(members.join(known_texts, "rid")), "members")
+    if not placed.where("blocks > 1").isEmpty():
+        finer = _finer(placed.where("blocks > 1"), docs, threshold)
+        finer = finer.join(known_texts, "rid").select("rid", "comp", "doc_id", "sha", "digest", "n_grams")
+        whole = placed.where("blocks = 1").select("rid", "comp", "doc_id", "sha", "digest", "n_grams")
+        placed = written(_sized(whole.unionByName(finer)), "finer-members")
+    placed = placed.withColumn("block", F.expr("pmod(xxhash64(rid), blocks)"))
     units = max(1, int((placed.agg(F.sum("n_grams")).first()[0] or 0) / BLOCK_GRAMS) + 1)
     # A block meets every block of its component, itself included; a small component has one block and shares its unit with others.
     other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    # Merged at every size: neither side has a bound, and shuffles then grow as the input does.
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("_id"), _sha(F.col("text")).alias("_sha"), "text")
-    with_text = placed.hint("merge").join(texts_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    with_text = _with_text(placed, docs)
     spread = with_text.select("comp", "rid", "digest", "text", "block", "blocks", other.alias("other")).select(
         "comp", "rid", "digest", "text", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
         F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(comp), {units}L)")).otherwise(F.col("comp")).alias("unit"), (F.col("blocks") == 1).alias("small"),
