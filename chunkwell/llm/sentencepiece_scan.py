@@ -9,8 +9,9 @@ a stretch of text is a max-plus matrix from the states at its front to those at
 Texts up to ``chunk`` characters are one stretch. Longer ones are cut at any character. Each chunk, with a halo of one piece's length,
 gives its transfer matrix between the pieces that can lie across its two cuts;
 products of these matrices, combined pairwise in any grouping, say which piece lies across each cut on
-the best path; then every chunk is traced back alone between its two pieces. Only matrices and cut states are gathered
-by document (some dozen states squared per chunk); chunks of text go to tasks on their own.
+the best path; then every chunk is traced back alone between its two pieces. Matrices (some dozen states squared per chunk) are multiplied by a
+tree over the cluster: FAN neighbours give one matrix, FAN of these the next, up to the document's, and the states at
+the cuts come down the same way. So no task ever has more than FAN matrices of a document; chunks of text go to tasks on their own.
 
 Between words all states collapse into one: no piece of the vocabulary goes on into a new word. Stretches inside a word are the
 only ones with matrices of more than one entry, and the words themselves are kept with their ids.
@@ -25,7 +26,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHUNK = 1 << 16
+FAN = 32
 KEPT_WORDS = 500_000
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -106,7 +109,9 @@ class Vocabulary:
         return re.compile(f"{SPACE}*{inner}+|[{apart}]{inner}*|{SPACE}+" + (f"|{line}" if line else ""))
 
     def merged(self, text: str) -> list[str]:
-        """Greedy merging of the best pair, leftmost first; for the short texts that joints are made of."""
+        """Greedy merging of the best pair, leftmost first: for the short texts that joints are made of, and runs of spaces of any length."""
+        if len(text) > 48:
+            return self.merged_by_heap(text)
         parts, ids, score = list(text), self.ids, self.score
         ranks = [NEVER if (i := ids.get(x + y)) is None else score[i] for x, y in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -122,6 +127,31 @@ class Vocabulary:
                 ranks[k - 1] = NEVER if (i := ids.get(parts[k - 1] + parts[k])) is None else score[i]
         return parts
 
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The same in n log n steps: pairs wait in a heap by score and place, and one whose parts have changed since is passed over."""
+        n, ids, score = len(text), self.ids, self.score
+        part: list[str | None] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n and (i := ids.get(part[k] + part[after[k]])) is not None:
+                heappush(heap, (-score[i], k, part[k], part[after[k]]))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, x, y = heappop(heap)
+            j = after[k]
+            if part[k] != x or j >= n or part[j] != y:
+                continue
+            part[k], part[j], after[k] = x + y, None, after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(k)
+            offer(before[k])
+        return [p for p in part if p is not None]
+
     def step(self, a: int, a_text: str, b: int, b_text: str) -> float:
         """Weight of piece b after piece a (-1: nothing before)."""
         if self.kind == UNIGRAM:
@@ -455,12 +485,52 @@ def _matrices(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], ["row", "chunk", "n", "m", "matrix"])
 
 
-def _cuts(group: pa.Table) -> pa.Table:
-    """Of a document's matrices: the state at the front and at the back of each chunk."""
+MATRIX, STATES = "row string, chunk long, n long, m long, matrix binary", "row string, chunk long, entry long, exit long"
+
+
+def _loaded(group: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """A document's neighbouring nodes in order, with their matrices."""
     rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-    inner = cut_states([np.frombuffer(r["matrix"]).reshape(r["n"], r["m"]) for r in rows])
-    last = int(scan([np.frombuffer(r["matrix"]).reshape(r["n"], r["m"]) for r in rows])[-1].max(0).argmax())
-    return pa.table({"row": [r["row"] for r in rows], "chunk": [r["chunk"] for r in rows], "entry": pa.array([0, *inner], pa.int64()), "exit": pa.array([*inner, last], pa.int64())})
+    return [(r["chunk"], np.frombuffer(r["matrix"]).reshape(r["n"], r["m"])) for r in rows]
+
+
+def _product(group: pa.Table, fan: int) -> pa.Table:
+    """One node of the next level: the product of its children."""
+    nodes = _loaded(group)
+    m = reduce(times, [x for _, x in nodes])
+    return pa.table({"row": [group.column("row")[0].as_py()], "chunk": [nodes[0][0] // fan], "n": [m.shape[0]], "m": [m.shape[1]], "matrix": [m.tobytes()]})
+
+
+def _states(row: str, nodes: list[tuple[int, np.ndarray]], entry: int, exit_: int) -> pa.Table:
+    """States at the front and at the back of neighbouring nodes, given those at the front of the first and at the back of the last."""
+    ms = [m for _, m in nodes]
+    ms[0] = ms[0][entry : entry + 1]
+    ms[-1] = ms[-1][:, exit_ : exit_ + 1]
+    inner = cut_states(ms) if len(ms) > 1 else []
+    return pa.table({"row": [row] * len(ms), "chunk": [k for k, _ in nodes], "entry": pa.array([entry, *inner], pa.int64()), "exit": pa.array([*inner, exit_], pa.int64())})
+
+
+def _top(group: pa.Table) -> pa.Table:
+    nodes = _loaded(group)
+    last = int(reduce(times, [m for _, m in nodes])[0].argmax())
+    return _states(group.column("row")[0].as_py(), nodes, 0, last)
+
+
+def _below(nodes: pa.Table, parent: pa.Table) -> pa.Table:
+    return _states(parent.column("row")[0].as_py(), _loaded(nodes), parent.column("entry")[0].as_py(), parent.column("exit")[0].as_py())
+
+
+def cut_tree(matrices: DataFrame, longest: int, fan: int) -> DataFrame:
+    """The states at both ends of every chunk, by products up a tree and choices down it. ``longest`` is the number of chunks of the longest document."""
+    up, levels = F.floor(F.col("chunk") / fan).alias("up"), [matrices]
+    while longest > fan:
+        levels.append(written(levels[-1].groupBy("row", up).applyInArrow(lambda t: _product(t, fan), MATRIX), "matrices"))
+        longest = -(-longest // fan)
+    states = levels.pop().groupBy("row").applyInArrow(_top, STATES)
+    while levels:
+        parents = states.withColumnRenamed("chunk", "up")
+        states = levels.pop().groupBy("row", up).cogroup(parents.groupBy("row", "up")).applyInArrow(_below, STATES)
+    return states
 
 
 def _traced(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterator[pa.RecordBatch]:
@@ -505,7 +575,7 @@ def after(v: Vocabulary, body: str, begin: int, stop: int, entry: State, left: i
     return v.path(body[begin:stop], entry, None, body[begin - entry[1] : begin])
 
 
-def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUNK, summed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUNK, summed: bool = False, fan: int = FAN) -> DataFrame:
     """Per chunk of each row: doc_id, chunk, n_chunks, ids of the pieces that begin in it (in order).
 
     ``summed`` adds, in the same pass, n_ids, ids_crc32, and of the decoded text n_chars and text_crc32.
@@ -516,9 +586,11 @@ def encode(docs: DataFrame, model: str, kind: str = BYTE_PAIR, chunk: int = CHUN
     whole = rows.where(~long_).mapInArrow(lambda b: _whole(b, model, kind, summed), own)
     schema = "row string, doc_id long, chunk long, n_chunks long, left long, size long, body string"
     giant = written(rows.where(long_).mapInArrow(lambda b: _chunks(b, model, kind, chunk), schema), "chunks")
-    spread = giant.repartition("row", "chunk")
-    matrices = spread.mapInArrow(lambda b: _matrices(b, model, kind), "row string, chunk long, n long, m long, matrix binary")
-    states = matrices.groupBy("row").applyInArrow(_cuts, "row string, chunk long, entry long, exit long")
+    longest = giant.agg(F.max("n_chunks")).first()[0]
+    if not longest:
+        return whole
+    matrices = written(giant.repartition("row", "chunk").mapInArrow(lambda b: _matrices(b, model, kind), MATRIX), "matrices")
+    states = cut_tree(matrices, longest, fan)
     back = giant.join(states, ["row", "chunk"]).select("doc_id", "chunk", "n_chunks", "left", "size", "body", "entry", "exit")
     traced_ = back.mapInArrow(lambda b: _traced(b, model, kind), "doc_id long, chunk long, n_chunks long, ids array<int>")
     return whole.unionByName(digests(traced_, model, kind) if summed else traced_)

@@ -94,6 +94,30 @@ def test_unspaced_texts_above_the_production_chunk(spark):
         assert len(parts) > 2 and [i for x in parts for i in x["ids"]] == lib.encode(text), k
 
 
+@pytest.mark.parametrize(("chunk", "fan"), [(700, 2), (400, 3), (90, 8)])
+def test_matrices_combine_by_a_tree(spark, chunk, fan):
+    """Documents of one chunk up to several levels of a tree, in one table."""
+    v = sp.vocabulary(PIECES)
+    texts = [prose(k, n) for k, n in ((1, 5), (2, 300), (3, 700))] + ["\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059" * 300, "-" * 2500, "a" + " " * 1500 + "b", "QUJD" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in sp.encode(df, PIECES, chunk=chunk, fan=fan).collect():
+        got[r["doc_id"]].append((r["chunk"], r["ids"]))
+    for k, t in enumerate(texts):
+        assert [i for _, ids in sorted(got[k]) for i in ids] == v.model.encode(t), k
+
+
+def test_long_runs_of_spaces():
+    v = sp.vocabulary(PIECES)
+    r = random.Random(1)
+    for _ in range(100):
+        t = "".join(r.choice(["\u2581", "\u2581" * 5, "a", "the", "ing", "-"]) for _ in range(40))
+        assert v.merged_by_heap(t) == v.merged(t[:48]) if len(t) <= 48 else "".join(v.merged_by_heap(t)) == t
+    for n in (15, 49, 1000, 50_001):
+        for t in (" " * n, "x" + " " * n + "y", " " * n + "the end"):
+            assert v.encode(v.model.normalize(t)).tolist() == v.model.encode(t)
+
+
 def test_scan_is_associative():
     r = np.random.default_rng(0)
     ms = [r.random((3, 3)) for _ in range(7)]
