@@ -4,24 +4,26 @@ Suffixes of a whole corpus cannot be sorted in one place, so the windows (100-by
 dealt by a key that only their content decides: the least hash among the 61 40-grams of a window. Equal windows
 have equal keys. Neighbouring windows mostly share their key, so what travels are runs of windows, not windows.
 
-1. Documents are dealt into batches of some MB, once; later steps read the same exchange.
+1. Documents are dealt into batches of some MB, by id and text; later steps read the same exchange. Texts below 100 bytes have no window and go nowhere.
 2. A batch lists the keys of its windows (once each, twice if it has the key in several runs). Buckets of keys find those
    that occur more than once; only runs with such a key go on. Each batch is told its own.
    A key of very many runs is hot: of its windows, batches also list the hashes of all 100 bytes, and buckets of these
    find the ones that occur more than once. Its runs are cut down to those windows.
 3. A batch sends each distinct run (its bytes, document and start) to the bucket of its key. A run whose bytes the batch
-   has sent already is a repeat: only its place goes along.
+   has sent already is marked at once: the earlier one is in the same batch. Its mark goes to a bucket that the batch's number names, not the key.
 4. A bucket sorts the suffixes of its runs in two stages: those smaller than their successor are sorted directly,
    on eight bytes at a time; the larger ones are induced by a scan over the buckets of first bytes. Adjacent common prefixes
-   of 100 bytes join equal windows; all but the earliest are marked.
+   of 100 bytes join equal windows; all but the earliest are marked. Runs of hot keys go by way of groups of GROUP batches: each group marks all but its own
+   earliest windows and passes on only these, so that a key's bucket gets one run for each group, not for each batch.
 5. Marks return to their batch, where covered bytes are counted and the rest is hashed.
 
-A window's content is sent once per batch at most, however often it occurs, so a passage in a third of all documents loads a bucket
-with one run for each batch. Without the cut, the windows over its ends, or over a frequent phrase below 100 bytes, would
-send another run for each document, as each has other bytes beside it. Batches and buckets grow in number, not in size.
+A window's content is sent once per batch at most, however often it occurs, so a passage in a third of all documents loads no task.
+Without the cut, the windows over its ends, or over a frequent phrase below 100 bytes, would
+send another run for each document, as each has other bytes beside it. Batches and buckets grow in number, not in size; a long
+text is gone through in slices of CHUNK windows.
 
-Nulls and edge cases: a null text is empty; a null id sorts first; rows that repeat an id follow each other in the
-order of their texts, so a repeated row is removed whole if it has 100 bytes; texts below 100 bytes lose nothing; an
+Nulls and edge cases: a null text is empty; a null id sorts first; rows that share an id (or have none) count as following each other in the
+order of a hash of their texts, so a repeated row is removed whole if it has 100 bytes, and rows without an id load no task; texts below 100 bytes lose nothing; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -32,16 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, written
 
 LENGTH = 100
 GRAM = 40
 CHUNK = 1 << 18
 BATCH_MB = 8
 HOT = 4096  # runs that one key may send to its bucket unexamined: about 1 MB
+GROUP = 4096  # batches whose runs of a hot key are compared with each other before the rest
 U64 = np.uint64
 NO_ID = -(2**63)
 
@@ -111,20 +115,32 @@ def _own_repeats(h: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     return h[at[1:][twice]]
 
 
-def runs(texts: list[bytes], length: int = LENGTH, own: list[np.ndarray] | None = None) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows that share a key, some texts at a time.
-
-    Yields (first text, bytes of these texts, where each begins there, run starts there, run lengths in windows, keys).
-    ``own`` gets the keys of runs that may repeat a window themselves.
-    """
+def _slices(texts: list[bytes], length: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(first text, bytes, where each text begins in them, where each ends): several texts at a time, or CHUNK windows of a long one, which then begins before the slice."""
     at = 0
     while at < len(texts):
+        if len(texts[at]) > CHUNK:
+            for lo in range(0, len(texts[at]) - length + 1, CHUNK):
+                piece = texts[at][lo : lo + CHUNK + length - 1]
+                yield at, piece, np.array([-lo]), np.array([len(piece)])
+            at += 1
+            continue
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
             size += len(texts[end])
             end += 1
-        joined = b"".join(texts[at:end])
-        ends = np.cumsum([len(t) for t in texts[at:end]])
+        sizes = np.array([len(t) for t in texts[at:end]])
+        yield at, b"".join(texts[at:end]), np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        at = end
+
+
+def runs(texts: list[bytes], length: int = LENGTH, own: list[np.ndarray] | None = None) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows that share a key, some texts at a time.
+
+    Yields (first text, bytes of these texts, where each begins there, run starts there, run lengths in windows, keys).
+    ``own`` gets the keys of runs that may repeat a window themselves.
+    """
+    for at, joined, begins, ends in _slices(texts, length):
         if len(joined) >= length:
             h = _gram_hashes(np.frombuffer(joined, np.uint8))
             low = _sliding_min(h, length - GRAM + 1)
@@ -143,8 +159,7 @@ def runs(texts: list[bytes], length: int = LENGTH, own: list[np.ndarray] | None
             first = edges[:-1]
             keep = valid[first]
             first, count = first[keep], np.diff(edges)[keep]
-            yield at, joined, ends - np.array([len(t) for t in texts[at:end]]), first, count, low[first]
-        at = end
+            yield at, joined, begins, first, count, low[first]
 
 
 # Two-stage suffix sorting
@@ -278,18 +293,21 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, rank: np.ndarray,
 
 
 class Batch:
-    """The documents of a batch, in order: ids, numbers of rows that repeat an id, texts as bytes."""
+    """The documents of a batch in order: names (id, hash of the text, number among equal rows) and texts as bytes. Rows of one id and text are always in one batch."""
 
     def __init__(self, table: pa.Table):
         ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
         texts = [t.encode() for t in table.column("text").to_pylist()]
-        rows = sorted(zip(ids, texts, strict=True))
-        self.ids = [i for i, _ in rows]
-        self.texts = [t for _, t in rows]
-        self.nth = [0] * len(rows)
-        for k in range(1, len(rows)):
-            if self.ids[k] == self.ids[k - 1]:
-                self.nth[k] = self.nth[k - 1] + 1
+        rows = sorted(zip(ids, [xxhash.xxh64_intdigest(t) - 2**63 for t in texts], texts, strict=True))
+        self.texts = [t for *_, t in rows]
+        self.names: list[tuple[int, int, int]] = []
+        for k, (i, h, t) in enumerate(rows):
+            same = k and rows[k - 1] == (i, h, t)
+            self.names.append((i, h, self.names[-1][2] + 1 if same else 0))
+
+
+#: Numbers of a place: a document's name, where a run begins in it, and its windows.
+PLACE = 5
 
 
 LISTED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -370,51 +388,66 @@ def _cut_down(joined: bytes, first: np.ndarray, count: np.ndarray, keys: np.ndar
     return first[by], count[by], keys[by]
 
 
-PIECES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("places", pa.binary()), ("repeats", pa.binary()), ("bytes", pa.binary())])
+PIECES = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("batch", pa.int64()), ("places", pa.binary()), ("repeats", pa.binary()), ("bytes", pa.binary())])
+SENT = "bucket long, part long, batch long, places binary, repeats binary, bytes binary"
+WHOLE = -1  # the part of runs that go to their key's bucket at once
+
 
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-def _pieces(docs: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
-    """Runs with a repeated key, by bucket: places (id, nth, start, windows) and bytes of the distinct ones, places of the others."""
+
+def _packed(numbers) -> bytes:
+    return np.array(numbers, np.int64).tobytes()
+
+
+def _pieces(docs: pa.Table, known: pa.Table, buckets: int, group: int) -> pa.Table:
+    """Runs with a repeated key, by bucket and part: places and bytes of the distinct ones; and the places of the others, which are marks already."""
     if not len(docs) or not len(known):
         return PIECES.empty_table()
-    batch = Batch(docs)
+    batch, number = Batch(docs), docs.column("batch")[0].as_py()
     repeated, hot, again = np.sort(_joined(known, "keys")), _hot_keys(known), np.sort(_joined(known, "windows"))
     sent: set[bytes] = set()
-    out: dict[int, tuple[list, list, list]] = {}
+    out: dict[tuple[int, int], tuple[list, list]] = {}
+    repeats: list[int] = []
     for at, joined, begins, first, count, keys in runs(batch.texts):
         hit = _within(keys, repeated)
         first, count, keys = _cut_down(joined, first[hit], count[hit], keys[hit], hot, again)
         bucket = (keys % U64(buckets)).astype(np.int64)
+        part = np.where(_within(keys, hot), number // group, WHOLE)
         doc = np.searchsorted(begins, first, side="right") - 1
-        rows = zip(first.tolist(), count.tolist(), bucket.tolist(), (doc + at).tolist(), (first - begins[doc]).tolist(), strict=True)
-        for x, n, b, d, start in rows:
+        rows = zip(first.tolist(), count.tolist(), bucket.tolist(), part.tolist(), (doc + at).tolist(), (first - begins[doc]).tolist(), strict=True)
+        for x, n, b, p, d, start in rows:
             piece = joined[x : x + n + LENGTH - 1]
-            places, repeats, bodies = out.setdefault(b, ([], [], []))
             if piece in sent:
-                repeats += (batch.ids[d], batch.nth[d], start, n)
+                repeats += (*batch.names[d], start, n)
             else:
                 sent.add(piece)
-                places += (batch.ids[d], batch.nth[d], start, n)
+                places, bodies = out.setdefault((b, p), ([], []))
+                places += (*batch.names[d], start, n)
                 bodies.append(piece)
-    number = docs.column("batch")[0].as_py()
-    pack = lambda x: np.array(x, np.int64).tobytes()
-    rows = [(b, number, pack(p), pack(r), b"".join(t)) for b, (p, r, t) in out.items()]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, PIECES, strict=True)], schema=PIECES)
+    rows = [(b, p, number, _packed(places), b"", b"".join(bodies)) for (b, p), (places, bodies) in out.items()]
+    if repeats:
+        rows.append((number % buckets, WHOLE, number, b"", _packed(repeats), b""))
+    return _table(rows, PIECES)
 
 
-MARKS = pa.schema([("batch", pa.int64()), ("marks", pa.binary())])
+FOUND = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("marks", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
 
 
-def _marks(table: pa.Table) -> pa.Table:
-    """(batch, marks): places (id, nth, start, windows) of windows that also start earlier."""
+def _found(table: pa.Table, last: bool) -> pa.Table:
+    """Of the runs of a bucket, or of a part of one: marks (places of windows that also start earlier) by batch, and, unless this is the ``last`` word, the
+    runs of windows that are the earliest here.
+    """
+    bucket, passed = table.column("bucket")[0].as_py(), not last and table.column("part")[0].as_py() != WHOLE
     marks: dict[int, list[int]] = {}
-    first: dict[bytes, tuple[tuple[int, int, int, int], int]] = {}
+    first: dict[bytes, tuple[tuple[int, ...], int]] = {}
     for batch, places, repeats, body in zip(*(table.column(c) for c in ("batch", "places", "repeats", "bytes")), strict=True):
         batch, body, at = batch.as_py(), body.as_py(), 0
         mine = marks.setdefault(batch, [])
         mine += np.frombuffer(repeats.as_py(), np.int64).tolist()
-        for place in map(tuple, np.frombuffer(places.as_py(), np.int64).reshape(-1, 4).tolist()):
-            end = at + place[3] + LENGTH - 1
+        for place in map(tuple, np.frombuffer(places.as_py(), np.int64).reshape(-1, PLACE).tolist()):
+            end = at + place[-1] + LENGTH - 1
             piece = body[at:end]
             at = end
             held = first.get(piece)
@@ -425,20 +458,29 @@ def _marks(table: pa.Table) -> pa.Table:
                 marks.setdefault(held[1], []).extend(held[0])
             else:
                 mine += place
+    on: dict[int, tuple[list[int], list[bytes]]] = {}
     if first:
         pieces = list(first)
         where = [first[p][0] for p in pieces]
         rank = np.empty(len(pieces), np.int64)
         rank[sorted(range(len(pieces)), key=where.__getitem__)] = np.arange(len(pieces))
-        found = repeated_windows(pieces, np.array([p[3] for p in where]), rank)
-        for piece, (doc, nth, start, _), hit in zip(pieces, where, found, strict=True):
-            if hit.any():
-                edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2)
-                mine = marks.setdefault(first[piece][1], [])
-                for x, y in edges.tolist():
-                    mine += (doc, nth, start + x, y - x)
-    rows = [(b, np.array(m, np.int64).tobytes()) for b, m in marks.items() if m]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 2, MARKS, strict=True)], schema=MARKS)
+        found = repeated_windows(pieces, np.array([p[-1] for p in where]), rank)
+        for piece, place, hit in zip(pieces, where, found, strict=True):
+            *name, start, _ = place
+            batch = first[piece][1]
+            for x, y in _stretches(hit):
+                marks.setdefault(batch, []).extend((*name, start + x, y - x))
+            if passed:
+                places, bodies = on.setdefault(batch, ([], []))
+                for x, y in _stretches(~hit):
+                    places += (*name, start + x, y - x)
+                    bodies.append(piece[x : y + LENGTH - 1])
+    rows = [(bucket, b, _packed(m), b"", b"") for b, m in marks.items() if m]
+    return _table(rows + [(bucket, b, b"", _packed(p), b"".join(t)) for b, (p, t) in on.items() if p], FOUND)
+
+
+def _stretches(hit: np.ndarray) -> list[list[int]]:
+    return np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2).tolist() if hit.any() else []
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -446,14 +488,14 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def _removed(docs: pa.Table, marked: pa.Table, with_text: bool) -> pa.Table:
     """Per document what is left once the bytes under marked windows are gone."""
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    spans: dict[tuple[int, ...], list[tuple[int, int]]] = {}
     for blob in marked.column("marks"):
-        for doc, nth, start, n in np.frombuffer(blob.as_py(), np.int64).reshape(-1, 4).tolist():
-            spans.setdefault((doc, nth), []).append((start, start + n + LENGTH - 1))
+        for *name, start, n in np.frombuffer(blob.as_py(), np.int64).reshape(-1, PLACE).tolist():
+            spans.setdefault(tuple(name), []).append((start, start + n + LENGTH - 1))
     batch, rows = Batch(docs), []
-    for doc, nth, text in zip(batch.ids, batch.nth, batch.texts, strict=True):
+    for name, text in zip(batch.names, batch.texts, strict=True):
         kept, at, removed, n = [], 0, 0, 0
-        for a, b in sorted(spans.get((doc, nth), ())):
+        for a, b in sorted(spans.get(name, ())):
             if not n or a > at:
                 n += 1
                 kept.append(text[at:a])
@@ -464,24 +506,32 @@ def _removed(docs: pa.Table, marked: pa.Table, with_text: bool) -> pa.Table:
                 at = b
         kept.append(text[at:])
         left = b"".join(kept)
-        rows.append((None if doc == NO_ID else doc, len(text), removed, n, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
+        rows.append((None if name[0] == NO_ID else name[0], len(text), removed, n, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
     schema = RESULT.append(pa.field("kept", pa.binary())) if with_text else RESULT
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and ``kept``, the bytes that stay, if asked for. ``hot`` changes the way, not the result."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT, group: int = GROUP) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and ``kept``, the bytes that stay, if asked for. ``hot`` and ``group`` change the way, not the result."""
     batches = parts(docs, BATCH_MB)
     buckets = 4 * batches
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("batch", F.expr(f"pmod(xxhash64(doc_id), {batches}L)")).repartition(batches, "batch")
+    short = F.octet_length("text") < LENGTH
+    dealt = rows.where(~short).withColumn("batch", F.expr(f"pmod(xxhash64(doc_id, text), {batches}L)")).repartition(batches, "batch")
     listed, told = "bucket long, batch long, keys binary, counts binary", "batch long, keys binary, hot binary"
     keys = dealt.groupBy("batch").applyInArrow(lambda t: _keys(t, batches), listed)
     known = keys.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), told)
     windows = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda d, k: _hot_windows(d, k, batches), listed)
     again = windows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), told).select("batch", F.col("keys").alias("windows"))
     both = known.unionByName(again, allowMissingColumns=True)
-    pieces = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(lambda d, k: _pieces(d, k, buckets), "bucket long, batch long, places binary, repeats binary, bytes binary")
-    marks = pieces.groupBy("bucket").applyInArrow(_marks, "batch long, marks binary")
+    pieces = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(lambda d, k: _pieces(d, k, buckets, group), SENT)
+    found = "bucket long, batch long, marks binary, places binary, bytes binary"
+    by_part = written(pieces.groupBy("bucket", "part").applyInArrow(lambda t: _found(t, False), found), "found")
+    on = by_part.where("octet_length(places) > 0").select("bucket", F.lit(WHOLE).cast("long").alias("part"), "batch", "places", F.unhex(F.lit("")).alias("repeats"), "bytes")
+    last = on.groupBy("bucket").applyInArrow(lambda t: _found(t, True), found)
+    marks = by_part.unionByName(last).where("octet_length(marks) > 0").select("batch", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return dealt.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda d, m: _removed(d, m, with_text), schema)
+    cut = dealt.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda d, m: _removed(d, m, with_text), schema)
+    raw, none = F.encode("text", "UTF-8"), F.lit(0).cast("long")
+    whole = rows.where(short).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept")] if with_text else []))
+    return cut.unionByName(whole)

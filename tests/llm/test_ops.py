@@ -5,7 +5,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -185,13 +187,13 @@ def covered(texts):
     return out
 
 
-def removed(spark, rows, hot=suffix_dedup.HOT):
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("keys", F.lit(1)), hot=hot).collect()
+def removed(spark, rows, hot=suffix_dedup.HOT, group=suffix_dedup.GROUP):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("keys", F.lit(1)), hot=hot, group=group).collect()
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr)
 
 
 def wanted(rows):
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode())))
     out = []
     for (i, t), cov in zip(ordered, covered([(t or "").encode() for _, t in ordered]), strict=True):
         b = (t or "").encode()
@@ -209,6 +211,36 @@ def test_suffix_dedup_against_brute_force(spark, hot):
     assert removed(spark, [], hot) == []
 
 
+@pytest.mark.parametrize(("hot", "group"), [(0, 1), (2, 2)])
+def test_long_texts_in_slices_and_hot_keys_in_groups(spark, monkeypatch, hot, group):
+    """Texts of many slices, rows without an id, rows that share one, a passage in most rows that differ around it."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_MB", 0.002)
+    passage = prose(8, 80)
+    rows = [(k if k % 3 else None, f"{prose(500 + k, 20)} {passage} {prose(700 + k, 20)}") for k in range(40)]
+    rows += [(7, passage[5:] + "!"), (7, passage), (7, passage), (None, None), (None, ""), (None, rows[0][1])]
+    rows += [(90, " ".join(prose(30 + k % 5, 90) for k in range(12))), (91, "ab" * 900 + passage + "ab" * 900), (92, "z" * 3000)]
+    want = wanted(rows)
+    assert removed(spark, rows, hot, group) == want
+    local = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = suffix_dedup.Batch(pa.table({"doc_id": [r["doc_id"] for r in local.collect()], "text": [r["text"] or "" for r in local.collect()]}))
+    whole = {(n, k) for n, k in windows_of(batch)}
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 350)
+    assert {(n, k) for n, k in windows_of(batch)} == whole
+
+
+def windows_of(batch):
+    """(name, start) of every window that the runs of a batch hold, each once."""
+    out = []
+    for at, joined, begins, first, count, _ in suffix_dedup.runs(batch.texts):
+        doc = np.searchsorted(begins, first, side="right") - 1
+        for x, n, d in zip(first.tolist(), count.tolist(), doc.tolist(), strict=True):
+            for k in range(n):
+                out.append((batch.names[d + at], x - int(begins[d]) + k))
+                assert batch.texts[d + at][out[-1][1] :][:100] == joined[x + k : x + k + 100]
+    assert len(set(out)) == len(out)
+    return out
+
+
 def test_phrases_and_passages_among_other_words(spark):
     """A phrase below 100 bytes goes nowhere; a longer passage goes where it comes again, however its ends differ."""
     phrase, passage = prose(7, 30)[:80], prose(8, 60)[:300]
