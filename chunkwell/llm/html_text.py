@@ -1,10 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks. Each has its word count, its link density (words
-inside links), the same two of the blocks before and after it, and the zone that its
-enclosing elements name: the article, boilerplate (menus, adverts, forms, comments and the
-like), or neither. A decision tree, grown here on a small labelled table of such blocks,
-says which are main text.
+inside links), the same two of the blocks before and after it, and what its enclosing elements say of it: whether
+one is an article, whether one is an element for boilerplate (menus, footers, forms and the like), and whether one is named
+as such. A decision tree, grown here on small labelled pages, says which are main text. Most labelled pages are there a second time with
+no telling element or name left, so that the tree must tell blocks by their counts and their neighbours' where it has nothing else. Counts
+alone cannot give the right text: an advert, a notice or a reader's comment is prose like the article's, and a short paragraph is as short as a footer.
 
 Pages are worked on one by one in one pass, without a shuffle. The scanner is linear in
 the page and needs no well-formed markup.
@@ -17,9 +18,11 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,28 +43,28 @@ BOILER_WORDS = frozenset(
     "menu nav navbar navigation sidebar sidenav footer header masthead toolbar topbar login signup subscribe newsletter share sharing social promo promoted promotion sponsor sponsored "
     "related recommended recommendations widget widgets search pagination pager copyright legal disclaimer banner contentinfo complementary skip paywall".split()
 )
-MAIN_WORDS = frozenset("article content main post entry story body".split())
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: In a tag: a value's opening quote, a value without quotes, or the end.
 VALUE = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)|>""")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+ABSENT = re.compile(r"(?i)(?:no|has|with|without|hide|show|toggle)[-_]")  # names that speak of something elsewhere
+#: Elements that hold text rather than sections; their names count only as a whole.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary a b i em strong span small u code".split())
 
 
-@cache
-def _named(attributes: str) -> str:
-    """Zone that attributes name: 'boiler', 'main' or ''."""
-    zone = ""
+@lru_cache(maxsize=4096)
+def _named(attributes: str, textual: bool) -> str:
+    """What attributes say: 'hidden', 'boiler' or ''. A part of a section's name is enough; of a textual element it must be a whole name."""
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return "boiler"
+            return "hidden"
         if key in ("class", "id", "role", "itemprop"):
-            words = {w.lower() for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", value))}
+            names = [n for n in value.split() if not ABSENT.match(n)]
+            words = {n.lower() for n in names} if textual else {w.lower() for n in names for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", n))}
             if words & BOILER_WORDS:
                 return "boiler"
-            if words & MAIN_WORDS:
-                zone = "main"
-    return zone
+    return ""
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -79,17 +82,22 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
+#: What enclosing elements say, as bits: an article, an element for boilerplate, a name of boilerplate.
+ARTICLE, ELEMENT, NAME = 1, 2, 4
+
+
 class Block:
-    __slots__ = ("text", "words", "linked", "zone")
+    __slots__ = ("text", "words", "linked", "around")
 
-    def __init__(self, text: str, words: int, linked: int, zone: int):
-        self.text, self.words, self.linked, self.zone = text, words, linked, zone
+    def __init__(self, text: str, words: int, linked: int, around: int):
+        self.text, self.words, self.linked, self.around = text, words, linked, around
 
 
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks in page order; zone is 1 inside an article, -1 inside boilerplate, else 0."""
+    """Flat text blocks in page order, without those that are hidden."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()  # names on the stack
     kept: list[str] = []
     linked: list[str] = []
     link = 0
@@ -97,9 +105,10 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(kept)).split())
-        if text:
+        around = stack[-1][1] if stack else 0
+        if text and around >= 0:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, len(entities.unescape("".join(linked)).split())), stack[-1][1] if stack else 0))
+            out.append(Block(text, n, min(n, len(entities.unescape("".join(linked)).split())), around))
         kept.clear()
         linked.clear()
 
@@ -134,9 +143,10 @@ def blocks(page: str) -> list[Block]:
                 link = max(0, link - 1)
                 if linked:
                     linked.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while open_[name]:
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == name:
                     break
             continue
         if name in RAW:
@@ -158,47 +168,90 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS or name in OPTIONS:
             flush()
             while stack and (stack[-1][0] == "option" or stack[-1][0] in OPTIONS and name in BLOCKS or stack[-1][0] == name == "optgroup"):
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
             if name in BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
         if name == "a":
             link = 1
         if name in VOID or rest.endswith("/") and name not in BLOCKS and name != "a":
             continue
         if name in BLOCKS or name in BOILER or " " in rest or name in MAIN:
-            zone = stack[-1][1] if stack else 0
-            said_zone = _named(rest) if "=" in rest or "hidden" in rest else ""
-            if zone >= 0:
-                if said_zone == "boiler" and name not in MAIN and name not in ("body", "html") or name in BOILER and not (name == "header" and zone == 1):
+            around = stack[-1][1] if stack else 0
+            named = _named(rest, name in TEXTUAL) if "=" in rest or "hidden" in rest else ""
+            if named == "hidden" and name not in ("body", "html"):
+                flush()
+                around = -1
+            if around >= 0:
+                if name in BOILER and not (name == "header" and around == ARTICLE):
+                    flush()
+                    around |= ELEMENT
+                if named and name not in MAIN and name not in ("body", "html"):
                     flush()
-                    zone = -1
-                elif name in MAIN or said_zone == "main":
-                    zone = 1
-            stack.append((name, zone))
+                    around |= NAME
+                if name in MAIN and not around:
+                    around = ARTICLE
+            stack.append((name, around))
+            open_[name] += 1
     flush()
     return out
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """Of each block: words and link density of it, of the one before and of the one after; its zone."""
+    """Of each block: words and link density of it, of the one before and of the one after; what the elements around it say."""
     own = [(float(b.words), b.linked / b.words) for b in found]
     edge = (0.0, 0.0)
-    return [(*own[k], *(own[k - 1] if k else edge), *(own[k + 1] if k + 1 < len(own) else edge), float(b.zone)) for k, b in enumerate(found)]
+    bits = lambda x: (float(x & ARTICLE > 0), float(x & ELEMENT > 0), float(x & NAME > 0))
+    return [(*own[k], *(own[k - 1] if k else edge), *(own[k + 1] if k + 1 < len(own) else edge), *bits(b.around)) for k, b in enumerate(found)]
 
 
-#: The labelled table: pages as rows of (words, linked words, zone, main text?).
+#: Labelled pages. Numbers stand for so many words, +n-m of the main text, -n-m of anything else, and an a before them for words of a link.
 LABELLED = (
-    ((6, 6, -1, 0), (14, 0, -1, 0), (8, 0, 1, 1), (1, 0, 1, 1), (45, 2, 1, 1), (3, 0, 1, 1), (120, 0, 1, 1), (5, 5, 1, 1), (60, 0, 1, 1), (12, 0, -1, 0), (40, 0, -1, 0), (9, 1, -1, 0)),
-    ((1, 1, -1, 0), (1, 1, -1, 0), (2, 2, -1, 0), (30, 0, -1, 0), (90, 0, -1, 0), (7, 0, 1, 1), (25, 0, 1, 1), (18, 6, 1, 1), (2, 2, 1, 1), (22, 0, -1, 0), (4, 0, -1, 0)),
-    ((3, 3, 0, 0), (2, 2, 0, 0), (3, 3, 0, 0), (7, 0, 0, 1), (40, 1, 0, 1), (85, 2, 0, 1), (6, 0, 0, 1), (52, 0, 0, 1), (33, 3, 0, 1), (4, 4, 0, 0), (3, 3, 0, 0), (5, 0, 0, 0)),
-    ((1, 1, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0), (9, 0, 0, 1), (64, 0, 0, 1), (71, 4, 0, 1), (20, 0, 0, 1), (28, 0, 0, 1), (10, 9, 0, 0), (8, 8, 0, 0), (6, 1, 0, 0)),
-    ((4, 0, 0, 0), (5, 5, 0, 0), (6, 6, 0, 0), (11, 0, 0, 1), (130, 0, 0, 1), (16, 0, 0, 1), (95, 5, 0, 1), (3, 2, 0, 0), (12, 12, 0, 0), (14, 12, 0, 0)),
-    ((2, 2, 0, 0), (25, 24, 0, 0), (30, 28, 0, 0), (22, 20, 0, 0), (3, 3, 0, 0), (4, 0, 0, 0)),
-    ((4, 0, 1, 1), (5, 0, 1, 1), (4, 0, 1, 1), (2, 1, 1, 1), (5, 4, 1, 1), (6, 6, 1, 1), (10, 10, 1, 1), (3, 0, 1, 1), (4, 2, 1, 1), (1, 0, 1, 1), (4, 4, 1, 1), (12, 11, 1, 1), (5, 1, 1, 1), (8, 0, 1, 1)),
-    ((4, 0, -1, 0), (5, 0, -1, 0), (60, 1, -1, 0), (15, 2, -1, 0), (30, 10, -1, 0), (4, 4, 1, 1), (5, 0, 1, 1), (4, 0, 1, 1), (30, 29, 1, 1), (5, 5, -1, 0), (100, 0, -1, 0), (3, 0, -1, 0)),
-    ((2, 2, 0, 0), (3, 0, 0, 1), (40, 0, 0, 1), (3, 0, 0, 1), (50, 0, 0, 1), (1, 0, 0, 1), (60, 0, 0, 1), (4, 0, 0, 1), (35, 0, 0, 1), (2, 0, 0, 1), (70, 3, 0, 1), (5, 0, 0, 1), (48, 0, 0, 1), (3, 3, 0, 0), (5, 0, 0, 0)),
-    ((200, 0, 0, 1),), ((45, 0, 0, 1), (50, 0, 0, 1)), ((12, 0, 1, 1),), ((80, 0, -1, 0),), ((2, 0, 1, 1), (2, 0, -1, 0)),
+    "<nav><ul><li>{a1-2}<li>{a1-2}<li>{a1-3}<li>{a1-2}</ul></nav><div class=ad>{-3-16}</div><article><h1>{+4-14}</h1><p>{+20-120}<p>{+4-12}<p>{+30-160} {a1-4} {+5-20}<p>{+40-90}</article><footer>{-5-18}</footer>",
+    "<header><div>{a1-3}</div><div>{-3-9}</div></header><div class=cookie-notice><p>{-15-40}</p></div><main><h1>{+5-12}</h1><p>{+3-7}<p>{+50-140}<ul><li>{+4-20}<li>{+4-20}</ul><p>{+25-80}</main><aside><h3>{-2-3}</h3><p>{-15-60}</aside>"
+    "<section id=comments><h2>{-2-4}</h2><div class=comment><p>{-8-70}</div><div class=comment><p>{-8-90}</div></section><footer><p>{-4-9} {a1-2} {a1-2}</footer>",
+    "<div id=top><a href=/>{a1-3}</a></div><div id=menu><ul><li>{a1-2}<li>{a1-2}<li>{a1-2}</ul></div><div id=page><h2>{+4-11}</h2><div>{-2-5} {a1-2}</div><p>{+35-120}<p>{+45-150}<p>{+20-60} {a2-5} {+9-30}</div>"
+    "<div class=related-posts><h4>{-1-3}</h4><ul><li>{a4-9}<li>{a4-9}<li>{a4-9}</ul></div><div class=sidebar><p>{-10-40}</div><div id=footer>{-4-12}</div>",
+    "<table><tr><td>{a1-2}<td>{a1-2}<td>{a1-2}</table><table><tr><td><h1>{+4-9}</h1><p>{+60-180}<p>{+30-90}<p>{+5-14}<p>{+40-110}</table><p>{a1-2} {a1-2} {a1-2}<p>{-3-8}",
+    "<form action=/s><label>{-1-3}</label><input></form><article><header><h1>{+4-12}</h1></header><p>{+20-70}<blockquote>{+10-40}</blockquote><h2>{+2-6}</h2><p>{+30-100}<pre>{+5-30}</pre><p>{+6-13}"
+    "<div class=newsletter-signup><p>{-10-30}</p></div><p>{+25-90}</article><div class=share><a href=x>{a1-2}</a> <a href=y>{a1-2}</a></div><div class=respond><p>{-3-12}</p></div>",
+    "<p>{+40-160}<p>{+8-30}<p>{+50-140}", "<h1>{+3-9}</h1><p>{+20-60}<p>{+20-60}<p>{+2-5}<p>{+30-90}", "<div><a href=/>{a1-2}</a></div><h1>{+3-8}</h1><p>{+30-120}<p>{+2-5}<p>{+50-120}<p>{+15-40} {a2-4} {+15-40}<div>{-3-6}</div>",
+    "<ul><li>{a1-2}<li>{a1-2}<li>{a1-3}<li>{a2-4}</ul><div>{-4-9} {a1-3}</div><h1>{+5-10}</h1><p>{+45-120}<p>{+30-90}<p>{+60-140}<div>{a3-6}</div><div>{a4-8}</div><div>{a4-8}</div><p>{-4-9}",
+    "<ul><li>{a1-2}<li>{a1-2}</ul><p>{a8-20} {-1-3}<p>{a9-20} {-1-3}<p>{a8-18} {-1-3}<p>{a1-2}<p>{-3-5}",
+    "<nav>{a1-2} {a1-2}</nav><article><h1>{+3-8}</h1><ol><li>{a3-9}<li>{a2-9} {+1-4}<li>{a3-8}</ol><p>{+5-12}</article><div class=pagination>{a1-2} {a1-2}</div><footer>{a1-2} {-2-6}</footer>",
 )
+#: Pages that only names can tell apart: blocks of any length on either side.
+LABELLED_BY_NAME = (
+    "<div class=menu><p>{-1-4}<p>{-1-100}</div><article><p>{+1-160}<p>{+1-3}<p>{+1-160}<p>{+1-6}<p>{+1-160}<h2>{+1-8}</h2><p>{+1-90}<p>{+1-160}<p>{a1-3}<p>{+1-160}</article><div class=comments><p>{-1-6}<p>{-1-160}</div><footer><p>{-1-160}</footer>",
+    "<p>{-2-7}<main><p>{+1-3}<p>{+1-160}<p>{+1-12}<aside><p>{-1-160}</aside><p>{+1-3}<p>{+1-160}<p>{a1-9}<p>{+1-3}<p>{+1-160}</main><p>{-2-7}",
+    "<nav>{a1-2}</nav><aside>{-20-90}</aside><div class=comments><p>{-30-120}<p>{-5-60}</div><footer>{-10-60}</footer>",
+)
+SAMPLES = 30
+MARK = "\u2021"  # begins words of the main text in the labelled pages
+SLOT = re.compile(r"\{([+a-])(\d+)-(\d+)\}")
+
+
+def labelled_page(template: str, seed: int, bare: bool) -> str:
+    """A page of a template, its numbers drawn; a ``bare`` one has no telling element or name left, as nothing but blocks and links is."""
+    r = random.Random(seed)
+
+    def drawn(m: re.Match) -> str:
+        words = " ".join("w" * r.randrange(2, 9) for _ in range(r.randrange(int(m[2]), int(m[3]) + 1)))
+        return f"<a href=/>{words}</a>" if m[1] == "a" else MARK + words if m[1] == "+" else words
+
+    if bare:
+        template = re.sub(r"<(/?)(?:%s)\b[^>]*>" % "|".join(sorted(BOILER | MAIN | {"section", "div"}, key=len, reverse=True)), r"<\1div>", template)
+    return SLOT.sub(drawn, template)
+
+
+def labelled_blocks() -> list[tuple[tuple[float, ...], int]]:
+    """The blocks of the labelled pages, in both forms; a list of links in an article is part of it."""
+    rows = []
+    for k, template in enumerate(LABELLED + LABELLED_BY_NAME):
+        for n in range(SAMPLES):
+            for bare in (False, True)[: 1 + (template in LABELLED)]:
+                found = blocks(labelled_page(template, 1000 * k + n, bare))
+                rows += [(x, int(MARK in b.text or b.around == ARTICLE)) for x, b in zip(features(found), found, strict=True)]
+    return rows
 
 
 def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 7, least: int = 1):
@@ -225,32 +278,29 @@ def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 7, least: int =
 
 @cache
 def tree():
-    rows = []
-    for page in LABELLED:
-        found = [Block("", w, a, z) for w, a, z, _ in page]
-        rows += [(x, y) for x, (*_, y) in zip(features(found), page, strict=True)]
-    return grow(rows)
+    return grow(labelled_blocks(), 12, 3)
 
 
-def is_main(x: tuple[float, ...]) -> bool:
-    node = tree()
+def is_main(x: tuple[float, ...], node) -> bool:
     while not isinstance(node, int):
         node = node[2] if x[node[0]] <= node[1] else node[3]
     return bool(node)
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, node=None) -> str:
+    node = tree() if node is None else node
     found = blocks(page or "")
-    return "\n".join(b.text for b, x in zip(found, features(found), strict=True) if is_main(x))
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    return "\n".join(b.text for b, x in zip(found, features(found), strict=True) if is_main(x, node))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text (main text, empty if none) and n_chars."""
+    node = tree()  # grown once, here
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [main_text(x.as_py(), node) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -282,6 +285,45 @@ def test_html():
     assert html_text.main_text(plain).count("\n") == 2
 
 
+def test_html_names_of_elements():
+    keep = lambda inner: html_text.main_text(f"<nav><a href=/>Home</a></nav><article><h1>Head of it</h1><p>{'word ' * 40}</p>{inner}<p>{'more ' * 40}</p></article>").split("\n")
+    for inner in ("<p class='story-search'>Stays here.</p>", "<p id=comment-policy>Stays here.</p>", "<div class=no-sidebar><p>Stays here.</p></div>", "<div class='with-comments wide'><p>Stays here.</p></div>"):
+        assert keep(inner)[2] == "Stays here.", inner
+    for inner in (
+        "<p class=advert>Goes away.</p>", "<div class='sidebar-left'><p>Goes away.</p></div>", "<section id=reader-comments><p>Goes away, however long it is, as nobody reads it.</p></section>", "<div hidden><p>Goes away.</p></div>",
+        "<p style='display: none'>Goes away.</p>", "<form><p>Goes away.</p></form>", "<div class=cookieNotice>Goes away.</div>", "<div role=navigation>Goes away.</div>", "<ul class=share><li>Goes away.</ul>",
+    ):
+        assert len(keep(inner)) == 3, inner
+    assert html_text._named.cache_info().maxsize
+
+
+def test_html_scanner_is_linear():
+    """Closing tags that match nothing, and ones that match far below, cost one step each."""
+    page = "<div>" * 30_000 + "</b>" * 30_000 + "</i></p>" * 30_000 + "text"
+    began = time.process_time()
+    assert [b.text for b in html_text.blocks(page)] == ["text"]
+    assert time.process_time() - began < 5
+
+
+def test_html_tree_on_held_out_pages():
+    """Pages of the tables, whose articles are known; and the same pages with every element that tells taken away."""
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    node = html_text.tree()
+    right = Counter()
+    for page in pq.read_table(path, columns=["html"]).column(0).to_pylist():
+        found = html_text.blocks(page or "")
+        truth = [b.around == html_text.ARTICLE for b in found]
+        right.update(("named", y, html_text.is_main(x, node)) for x, y in zip(html_text.features(found), truth, strict=True))
+        bare = html_text.blocks(re.sub(r"<(/?)(?:article|nav|footer|div)\b[^>]*>", r"<\1div>", page or ""))
+        if len(bare) == len(found):
+            right.update(("bare", y, html_text.is_main(x, node)) for x, y in zip(html_text.features(bare), truth, strict=True))
+    score = lambda k: (right[k, True, True] / (right[k, True, True] + right[k, False, True]), right[k, True, True] / (right[k, True, True] + right[k, True, False]))
+    print({k: score(k) for k in ("named", "bare")})
+    assert min(score("named")) > 0.999 and score("bare")[0] > 0.95 and score("bare")[1] > 0.8
+
+
 def test_html_goes_on_behind_elements_without_an_end():
     article = "<article><p>The article of this page stands here.</p><p>And it ends here.</p></article>"
     want = "The article of this page stands here.\nAnd it ends here."
