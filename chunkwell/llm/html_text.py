@@ -184,10 +184,10 @@ def blocks(page: str) -> list[Block]:
             if around >= 0:
                 if name in BOILER and not (name == "header" and around == ARTICLE):
                     flush()
-                    around |= ELEMENT
+                    around = around & ~ARTICLE | ELEMENT
                 if named and name not in MAIN and name not in ("body", "html"):
                     flush()
-                    around |= NAME
+                    around = around & ~ARTICLE | NAME
                 if name in MAIN and not around:
                     around = ARTICLE
             stack.append((name, around))
@@ -223,6 +223,10 @@ LABELLED = (
 LABELLED_BY_NAME = (
     "<div class=menu><p>{-1-4}<p>{-1-100}</div><article><p>{+1-160}<p>{+1-3}<p>{+1-160}<p>{+1-6}<p>{+1-160}<h2>{+1-8}</h2><p>{+1-90}<p>{+1-160}<p>{a1-3}<p>{+1-160}</article><div class=comments><p>{-1-6}<p>{-1-160}</div><footer><p>{-1-160}</footer>",
     "<p>{-2-7}<main><p>{+1-3}<p>{+1-160}<p>{+1-12}<aside><p>{-1-160}</aside><p>{+1-3}<p>{+1-160}<p>{a1-9}<p>{+1-3}<p>{+1-160}</main><p>{-2-7}",
+    "<aside>{-1-160}<p>{a1-20}<p>{-1-160} {a1-9}</aside><div class=menu><p>{-1-160} {a1-20}<p>{a1-60}<p>{-1-6}</div><footer>{-1-9} {a1-20}<p>{-1-160}<p>{-1-160}</footer>",
+    "<div class=comments><p>{-1-160}<p>{-1-160} {a1-5}<p>{a1-30}<p>{-1-160}</div><article><p>{a1-60}<p>{+1-160}<p>{+1-30} {a1-60}<div class=share><p>{-1-160}<p>{a1-30}</div><p>{+1-160}</article>",
+    "<nav><p>{-1-5}<p>{-1-30} {a1-20}<p>{a1-9}<p>{-1-6} {a1-6}<p>{a2-9}</nav><main><p>{+5-60}</main><div class=related><p>{-1-5}<p>{-1-30} {a1-20}<p>{a1-9}<p>{-1-6} {a1-6}<p>{a2-9}</div>",
+    "<article><p>{+1-30}<p>{+1-30}</article>", "<main>{+1-40}</main>", "<article><h1>{+1-9}</h1><p>{+1-160}<p>{+1-9}</article><div class=ad>{-1-160}</div>", "<div class=banner>{-1-160}</div><p>{+30-90}", "<article><p>{+1-60} {a1-9}<p>{a1-20}</article>",
     "<nav>{a1-2}</nav><aside>{-20-90}</aside><div class=comments><p>{-30-120}<p>{-5-60}</div><footer>{-10-60}</footer>",
 )
 SAMPLES = 30
