@@ -1,17 +1,18 @@
 """Toxicity by a learnt lexicon, matched through a trie with a Levenshtein automaton, and context windows.
 
 Training rows are labelled rows whose ``crc32(doc_id) mod 5`` is not 0, at most ``TRAIN_ROWS`` of them, by hash of the id: a
-documented bound. From these come the lexicon (whole words, and stems that stand for all their
-continuations, by log odds), and a logistic model over what the matches in a text add up to.
+documented bound, and the only one; copies of a text count once. From these come the lexicon (whole words, and stems that stand for all their
+continuations, by log odds that chance does not explain), and a logistic model over what the matches in a text add up to.
 
 A word matches the lexicon exactly, by a stem, or within one edit of a whole word of five letters or more: one of the
 lexicon, or one that toxic training rows hold and a stem of the lexicon speaks for, which then has the stem's weight. The
 automaton of a term's neighbours is run along the word and the trie at once, so all terms are tried
 together. A window of words around each match tells quotation (quotation marks, words of reporting) from
-abuse (second person near by): both have their own features.
+abuse (second person near by): both have their own features. As labelled corpora seldom hold quotations, the model also learns from
+a small labelled table of quoting and of abusive sentences, into which the lexicon's strongest words are put.
 
 Scores use the text only. Scoring is one pass over the documents without a shuffle; the model in the
-closure has at most ``MAX_TERMS`` terms, and at most ``MAX_INFLECTED`` words that stems speak for.
+closure is as large as what ``TRAIN_ROWS`` texts can teach, whatever the corpus.
 
 Nulls and edge cases: a null text is empty and gets the score of a text without matches, as an empty one does; labels without an
 id or a value are left out, and of several labels of an id the highest holds; without any labels the score is 0 throughout. Repeated rows each
@@ -34,11 +35,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 TRAIN_ROWS = 20_000
-MAX_CANDIDATES = 50_000
-MAX_TERMS = 2_000
-MAX_INFLECTED = 50_000
 LEAST_DOCS = 4
 LEAST_ODDS = 2.5
+SURE = 1.0  # standard errors by which a term's log odds must exceed LEAST_ODDS / 2
 STEMS = range(4, 9)
 FUZZY = 5
 EDITED = 0.6
@@ -60,7 +59,7 @@ def terms_of(found: set[str]) -> set[str]:
     """Whole words end in ``$``, stems in ``*``."""
     out = set()
     for w in found:
-        if len(w) >= 3 and len(w) <= 40:
+        if len(w) >= 3:
             out.add(w + "$")
             out.update(w[:k] + "*" for k in STEMS if len(w) >= k)
     return out
@@ -156,13 +155,15 @@ class Model:
         return got
 
     def features(self, text: str) -> list[float]:
-        """1, and of the matches (an edited word counts less): summed weights (log) outside quotations, and in them; outside: greatest weight, density, sum near a second person, how many words."""
+        """1, and of the matches (an edited word counts less): summed weights (log) outside quotations, and in them; outside: greatest weight, density, sum near a
+        second person, how many words; and in quotations the sum near a second person.
+        """
         found = words(text)
         seen, look = self.seen(), self.match
         hits = {w for w in set(found) if (seen[w] if w in seen else look(w))[0]}
         if not hits:
-            return [1.0] + [0.0] * 6
-        said = quoted = personal = most = 0.0
+            return [1.0] + [0.0] * 7
+        said = quoted = personal = aimed = most = 0.0
         distinct: set[str] = set()
         open_ = False
         n = 0
@@ -177,6 +178,7 @@ class Model:
             around = found[max(0, k - NEAR) : k + NEAR + 1]
             if (open_ and any(x in MARKS for x in around)) or any(x in REPORTED for x in around):
                 quoted += weight
+                aimed += weight * any(x in SECOND for x in around)
                 continue
             weight *= EDITED if edited else 1.0
             said += weight
@@ -184,7 +186,7 @@ class Model:
                 personal += weight
             distinct.add(w)
             most = max(most, weight)
-        return [1.0, math.log1p(said), math.log1p(quoted), most / 4, min(5.0, 10 * said / max(n, 10)), math.log1p(personal), math.log1p(len(distinct))]
+        return [1.0, math.log1p(said), math.log1p(quoted), most / 4, math.log1p(10 * said / max(n, 10)), math.log1p(personal), math.log1p(len(distinct)), math.log1p(aimed)]
 
     def score(self, text: str | None) -> float:
         if not self.coefficients:
@@ -197,7 +199,8 @@ def choose(ones: dict[str, int], zeros: dict[str, int], n1: int, n0: int) -> dic
     """The lexicon: terms by log odds. A longer term that keeps most of a shorter one's documents takes its place;
     where it keeps few, the stem speaks for all its continuations."""
     odds = {t: math.log((c + 0.5) / (n1 + 1)) - math.log((zeros.get(t, 0) + 0.5) / (n0 + 1)) for t, c in ones.items() if c >= LEAST_DOCS}
-    good = {t: o for t, o in odds.items() if o >= LEAST_ODDS}
+    error = lambda t: math.sqrt(1 / (ones[t] + 0.5) + 1 / (zeros.get(t, 0) + 0.5))
+    good = {t: o for t, o in odds.items() if o >= LEAST_ODDS and o - SURE * error(t) >= LEAST_ODDS / 2}
     covered: dict[str, int] = {}  # by stem: documents of its most frequent whole word
     for t in good:
         if t[-1] == "$":
@@ -212,17 +215,32 @@ def choose(ones: dict[str, int], zeros: dict[str, int], n1: int, n0: int) -> dic
         if any(s in good and good[s] >= o - 0.3 and ones[s] > 1.25 * ones[t] for s in shorter):
             continue  # a stem says as much of more documents
         kept[t] = o
-    best = sorted(kept.items(), key=lambda x: (-x[1] * math.log(ones[x[0]]), x[0]))[:MAX_TERMS]
-    return dict(best)
+    return dict(sorted(kept.items(), key=lambda x: (-x[1] * math.log(ones[x[0]]), x[0])))
+
+
+#: Sentences that quote a word (0) or abuse with it (1), in the languages at hand.
+SENTENCES = (
+    ("The word \"{}\" stands in the old letter that the museum shows.", 0), ("He said the term {} had no place in the report.", 0), ("In the trial the witness quoted him: \"{}\".", 0),
+    ("Le mot «{}» est dans la lettre du siècle passé.", 0), ("Sie sagte, das Wort „{}“ sei aus dem Brief gestrichen.", 0), ("La palabra «{}» aparece en el informe del museo.", 0),
+    ("You are a {} and a {}, and nobody likes you.", 1), ("What a {} you are, go away.", 1), ("Everybody calls you \"{}\", you {}, and you know it.", 1), ("You are such a \"{}\", you are.", 1),
+    ("Tu es un {}, toi, et un {}.", 1), ("Du bist ein {}, du {}.", 1), ("Eres un {}, tú, y un {}.", 1),
+)
+QUOTABLE, SENTENCES_WEIGH = 40, 0.02
+
+
+def sentences(lexicon: dict[str, float]) -> list[tuple[str, int]]:
+    """The labelled sentences with each of the lexicon's QUOTABLE foremost whole words in its place."""
+    foremost = [t[:-1] for t in lexicon if t[-1] == "$"][:QUOTABLE]
+    return [(text.replace("{}", w), y) for text, y in SENTENCES for w in foremost]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
-    """Logistic regression by Newton's method with a ridge."""
-    w = np.zeros(x.shape[1])
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, weight: np.ndarray | None = None) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton's method with a ridge."""
+    w, c = np.zeros(x.shape[1]), np.ones(len(x)) if weight is None else weight
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - ridge * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        grad = x.T @ (c * (y - p)) - ridge * w
+        hessian = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, grad)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -250,7 +268,7 @@ def _inflected(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) ->
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column(0):
-            counts.update(w for w in set(words(text.as_py() or "")) if FUZZY <= len(w) <= 40 and w + "$" not in lexicon and trie.exact(w))
+            counts.update(w for w in set(words(text.as_py() or "")) if FUZZY <= len(w) and w + "$" not in lexicon and trie.exact(w))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
@@ -260,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = labels.where("doc_id is not null and toxic is not null").where(_remainder(F.col("doc_id")) != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "toxic"))  # `rows` pairs of numbers at most
-    sample = written(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    sample = written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sum(n for y, n in sizes.items() if y > 0), sum(n for y, n in sizes.items() if y <= 0)
     if not n1 or not n0:
@@ -270,12 +289,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         got = sample.where(which).select("text").mapInArrow(lambda b: _counted(b, among), "term string, n long")
         return got.groupBy("term").agg(F.sum("n").alias("n"))
 
-    frequent = counted("toxic > 0", None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
-    ones = {r["term"]: r["n"] for r in frequent.collect()}
+    ones = {r["term"]: r["n"] for r in counted("toxic > 0", None).where(F.col("n") >= LEAST_DOCS).collect()}  # terms of TRAIN_ROWS texts
     zeros = {r["term"]: r["n"] for r in counted("toxic <= 0", frozenset(ones)).collect()}
     lexicon = choose(ones, zeros, n1, n0)
     spoken = sample.where("toxic > 0").select("text").mapInArrow(lambda b: _inflected(b, lexicon), "word string, n long")
-    spoken = spoken.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MAX_INFLECTED)
+    spoken = spoken.select("word").distinct()
     trie = Trie(lexicon)
     model = Model(lexicon, (), {r["word"]: trie.exact(r["word"]) for r in spoken.collect()})
 
@@ -285,7 +303,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array([int(y > 0) for y in batch.column(1).to_pylist()], pa.int32())], ["x", "y"])
 
     got = sample.select("text", "toxic").mapInArrow(featured, "x array<double>, y int").toPandas()
-    return Model(model.lexicon, fit(np.array(got["x"].tolist()), got["y"].to_numpy(float)), model.inflected)
+    said = [(model.features(t), y) for t, y in sentences(lexicon)]
+    x = np.array([*got["x"].tolist(), *[f for f, _ in said]])
+    y = np.array([*got["y"].tolist(), *[k for _, k in said]], float)
+    weight = np.r_[np.ones(len(got)), np.full(len(said), SENTENCES_WEIGH * len(got) / max(1, len(said)))]
+    return Model(model.lexicon, fit(x, y, weight=weight), model.inflected)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -392,6 +392,10 @@ def test_toxicity(spark, docs, empty):
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got)
     assert sum(x["predicted"] == (x["doc_id"] % 4 == 0) for x in held) / len(held) > 0.95
     assert model.score("you are a blokhead and wretched") > 0.5 > model.score('he said "blockhead" in a quote') and 0 <= model.score("") < 0.5
+    quoting = ("In his memoir he recalls that critics called the plan “{}”.", 'She reads the term "{}" aloud from the file.', "Il lit le mot «{}» dans le dossier.")
+    abusive = ("You {}, get lost, {}!", "Shut up, you are a {}", "Du {}, du {}, hau ab")
+    for w in ("fiendish", "blockhead", "wretched"):  # sentences that are not in the labelled table
+        assert max(model.score(t.replace("{}", w)) for t in quoting) < 0.5 < min(model.score(t.replace("{}", w)) for t in abusive)
     assert toxicity.scores(docs, model).count() == len(awkward()) and toxicity.scores(empty, model).count() == 0
     assert toxicity.scores(docs, toxicity.train(docs, lab.limit(0))).agg(F.max("score")).first()[0] == 0
 
