@@ -42,6 +42,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-9
 HASHES, BAND, STEP = 128, 4, 16
 BLOCK_TEXTS, BLOCK_GRAMS = 512, 500_000
+MAP_BITS, MAP_PART = 1 << 25, 32768  # Spark's bitmaps have parts of 32,768 bits
 RARITY_BITS = 18  # n-grams are counted in 2 ** 18 places, whatever the corpus: 2 MB
 U64 = np.uint64
 
@@ -240,10 +241,19 @@ def _star_edges(keyed: DataFrame) -> DataFrame:
 
 
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (rid, doc_id, sha, ...) with their ``text``. Rows of one id and text are copies; one of them is enough."""
+    """rows (rid, doc_id, sha, ...) with their ``text``. Rows of one id and text are copies; one of them is enough.
+
+    Texts are shuffled for the join, so those that no row asks for are left out before: by a bitmap of fixed size (MAP_BITS bits, 4 MB at most) over hashes of ids and
+    digests, which lets some others pass, and all of them once the rows are too many for it.
+    """
     # Merged at every size: neither side has a bound, and shuffles then grow as the input does.
+    place = lambda i, h: F.expr(f"pmod(xxhash64({i}, {h}), {MAP_BITS}L)")
+    asked = rows.select(place("doc_id", "sha").alias("p")).groupBy(F.floor(F.col("p") / MAP_PART).alias("_part")).agg(F.bitmap_construct_agg(F.col("p") % MAP_PART).alias("_map"))
     texts_of = docs.select(F.col("doc_id").cast("long").alias("_id"), _sha(F.col("text")).alias("_sha"), "text")
-    got = rows.hint("merge").join(texts_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha")
+    found = texts_of.withColumn("_p", place("_id", "_sha")).withColumn("_part", F.floor(F.col("_p") / MAP_PART)).join(F.broadcast(asked), "_part")
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_p") % MAP_PART / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    found = found.withColumn("_byte", byte).where("shiftright(_byte, cast(_p % 8 as int)) & 1 = 1")
+    got = rows.hint("merge").join(found.select("_id", "_sha", "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha")
     return got.dropDuplicates(["rid"])
 
 
