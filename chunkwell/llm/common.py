@@ -6,8 +6,11 @@ import logging
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,15 +85,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; where it has none, the bytes of its strings, counted, and 8 for each other value."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
-    widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
-    total = widths[0]
-    for w in widths[1:]:
-        total = total + w
-    return int(df.agg(F.sum(total.cast("long"))).first()[0] or 0)
+    """Bytes of the files that ``df`` reads; where it is not read from files, the bytes of its strings, counted, and 8 for each other value."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+        return int(files.agg(F.sum("size")).first()[0] or 0)
+    except AnalysisException:
+        widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
+        return int(df.agg(F.sum(reduce(add, widths).cast("long"))).first()[0] or 0)
 
 
 def parts(df: DataFrame, mb: float, least: int | None = None) -> int:

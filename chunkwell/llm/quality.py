@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACE_CLASS, bind
@@ -62,8 +62,8 @@ def _chars(text: Column, drop: str) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words in windows of five that occur twice or more, the first occurrence included.
 
-    Texts without a repeated window, nearly all, leave after a hash set over longs; the others
-    sort (hash, position), keep what equals a neighbour and add up the words each such window adds.
+    Texts without a repeated hash, nearly all, leave after a hash set over longs; the others
+    sort windows by hash and words, keep what equals a neighbour word by word and add up the words each such window adds.
     """
 
     def covered(starts: Column) -> Column:
@@ -71,11 +71,9 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def repeated(hashes: Column) -> Column:
-        marked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        same = lambda s: F.filter(
-            s,
-            lambda x, j: ((j > 0) & (F.get(s, j - 1)["h"] == x["h"])) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)),
-        )
+        marked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, WINDOW).alias("w"), i.alias("i"))))
+        equal = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
+        same = lambda s: F.filter(s, lambda x, j: ((j > 0) & equal(F.get(s, j - 1), x)) | equal(F.get(s, j + 1), x))
         starts = bind(marked, lambda s: F.array_sort(F.transform(same(s), lambda x: x["i"])))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(bind(starts, covered))
 
@@ -112,7 +110,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         measured.alias("_m"),
         (F.char_length(t) - _chars(t, SPACE_CHARS)).cast("long").alias("word_chars"),
         _chars(t, "#*$%&|<>").cast("long").alias("n_symbols"),
-        _chars(t, "�\x00").cast("long").alias("n_bad_chars"),
+        _chars(t, "�").cast("long").alias("n_bad_chars"),
     ).select("*", "_m.*")
     bits = [F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES]
     mask = bits[0]
@@ -146,13 +144,6 @@ def ablations(ledger_df: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def rule_overlap(ledger_df: DataFrame) -> DataFrame:
-    """How often each combination of failures occurs, with its share."""
-    total = F.sum("n_docs").over(Window.partitionBy())
-    masks = ledger_df.groupBy("failed_rules").agg(F.count(F.lit(1)).alias("n_docs"))  # at most 2^rules rows
-    return masks.withColumn("share", F.col("n_docs") / total)
-
-
 def verdicts(docs: DataFrame, policy: str = "web-1") -> DataFrame:
     """The contract's columns: measurements, the base verdict and the policy's."""
     got = apply_policy(ledger(docs), policy)
