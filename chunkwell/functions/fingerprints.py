@@ -47,10 +47,6 @@ def block_id(volume: Column, offset: Column, block_size: int) -> Column:
     return F.shiftleft(volume.cast("long"), BLOCK_SHIFT).bitwiseOR(F.floor(offset / block_size).cast("long"))
 
 
-def block_volume(block: Column) -> Column:
-    return F.shiftright(block, BLOCK_SHIFT).cast("int")
-
-
 def bloom_size(n: int, error: float) -> tuple[int, int]:
     """(hash functions, bits) of a membership set for n keys."""
     k = math.ceil(math.log2(1 / error))

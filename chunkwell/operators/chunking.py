@@ -44,9 +44,9 @@ def _piece(number, start, stop, **more):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input that came as fewer partitions than there are cores (a small file is one) is dealt out; larger inputs stay as they are."""
+    """Input that came as fewer files than there are cores (a small table is one) is dealt out; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def rabin_chunks(writes: DataFrame, options: RabinOptions = RabinOptions(), fp: str = "sha1") -> DataFrame:  # noqa: B008

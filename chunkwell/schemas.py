@@ -1,4 +1,4 @@
-"""Schemas (as DDL) and fixed numbers of the data model."""
+"""Fixed numbers of the data model."""
 
 from __future__ import annotations
 
@@ -13,9 +13,3 @@ EMPTY_ADDRESS, ILLEGAL_ADDRESS = -2, -1
 CONTAINER_SIZE = 4 * 1024 * 1024
 CONTAINER_META = 124 * 1024
 ITEM_META = 84
-
-WRITES = "write_seq long, volume_id int, offset long, data binary"
-BLOCK_ITEMS = "block_id long, version int, pos int, fp string, data_address long, chunk_offset int, size int"
-CHUNK_INDEX = "fp string, data_address long, usage_count long, change_log_id long, block_hint long"
-CONTAINER_ITEMS = "container_id long, original_id long, fp string, raw_size int, item_size int, deleted boolean, indexed boolean"
-LOG = "log_id long, event_type string, block_id long, version int, fp string, delta int"
