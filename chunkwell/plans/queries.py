@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RabinOptions
+from ..functions import rabin_sql
 from ..functions.fingerprints import block_id, fingerprint, is_anchor, zero_rewrite
 from ..operators import chunking, containers, dedup, events, mapping, storage
 from ..sources import tables
@@ -92,12 +93,15 @@ def fp_sha512(spark, d):
     return _chunks(spark, d).select("write_seq", "chunk_no", fingerprint(F.col("chunk"), "sha512").alias("sha512"))
 
 
-@query()
+_CUTS = "," + rabin_sql.cuts("w", RABIN)
+
+
+@query(_CUTS + " SELECT write_seq, chunk_no, start, fin - start AS size, sha1(unhex(substr(hx, (2 * start + 1)::BIGINT, (2 * (fin - start))::BIGINT))) AS fp, reason FROM cut JOIN w USING (write_seq)")
 def rabin_chunks(spark, d):
     return chunking.rabin_chunks(tables.writes(spark, d), RABIN).select("write_seq", "chunk_no", "start", "size", "fp", "reason")
 
 
-@query()
+@query(_CUTS + " SELECT reason, count(*) AS chunks, sum(fin - start)::BIGINT AS bytes FROM cut GROUP BY reason")
 def rabin_cut_reasons(spark, d):
     return chunking.rabin_chunks(tables.writes(spark, d), RABIN).groupBy("reason").agg(F.count(F.lit(1)).alias("chunks"), F.sum("size").alias("bytes"))
 
