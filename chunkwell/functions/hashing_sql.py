@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .hashing import C1, C2, C3, F1, F2
+from .hashing import C1, C2, C3, F1, F2, X_ADDED, X_MULTIPLIERS, X_STATE_TURNS, X_TURNS
 
 M32, M64 = 2**32, 2**64
 
@@ -64,6 +64,21 @@ def murmur128(source: str, key: str, keep: str, out: str) -> str:
     return steps(source, key, named, keep, out)
 
 
+def murmur128_words(source: str, key: str, keep: str, out: str) -> str:
+    """128-bit Murmur3 (32-bit form) of 20 bytes: one block and four bytes of tail."""
+    named = [(f"a{k}", _word("hx", 4 * k, 4)) for k in range(5)]
+    mixed = lambda a, k: f"{_turn(f'({a}) * {X_MULTIPLIERS[k]} % {M32}', X_TURNS[k], 32)} * {X_MULTIPLIERS[(k + 1) % 4]} % {M32}"
+    for k in range(4):
+        named.append((f"k{k}", mixed(f"a{k}", k)))
+        named.append((f"h{k}", f"(({_turn(f'k{k}', X_STATE_TURNS[k], 32)} + {'h0' if k == 3 else '0'}) * 5 + {X_ADDED[k]}) % {M32}"))
+    named += [("t", mixed("a4", 0)), ("g0", _xor(_xor("h0", "t"), "20")), *[(f"g{k}", _xor(f"h{k}", "20")) for k in (1, 2, 3)]]
+    named += [("i0", f"(g0 + g1 + g2 + g3) % {M32}"), *[(f"i{k}", f"(g{k} + i0) % {M32}") for k in (1, 2, 3)]]
+    for k in range(4):
+        named += [(f"f{k}", f"{_xor(f'i{k}', f'i{k} // {2**16}')} * {F1} % {M32}"), (f"e{k}", f"{_xor(f'f{k}', f'f{k} // {2**13}')} * {F2} % {M32}"), (f"d{k}", _xor(f"e{k}", f"e{k} // {2**16}"))]
+    named += [("w0", f"(d0 + d1 + d2 + d3) % {M32}"), *[(f"w{k}", f"(d{k} + w0) % {M32}") for k in (1, 2, 3)]]
+    return steps(source, key, named, keep, out)
+
+
 def xx64(source: str, key: str, keep: str, seed: int, out: str) -> str:
     """xxHash64 of 20 bytes: two words of eight and one of four."""
     mul = lambda x, c: f"({x}) * {c} % {M64}"

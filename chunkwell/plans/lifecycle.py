@@ -37,7 +37,7 @@ def murmur3_x64_128(spark, d):
     return _fps(spark, d).mapInArrow(murmur3_wide, wide).select("fp", "low", "high")
 
 
-@query()
+@query(X + hashing_sql.murmur128_words("idx", "fp", "fp", ", ".join(f"w{k}::BIGINT AS w{k}" for k in range(4))))
 def murmur3_x86_128(spark, d):
     wide = "fp string, low long, high long, w0 long, w1 long, w2 long, w3 long"
     return _fps(spark, d).mapInArrow(murmur3_wide, wide).select("fp", "w0", "w1", "w2", "w3")
