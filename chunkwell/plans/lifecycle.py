@@ -12,6 +12,7 @@ from ..operators import blocks, chunking, containers, dedup, events, mapping, me
 from ..schemas import BLOCK_SHIFT
 from ..sources import tables
 from ..sources.shared import folder, kept
+from ..streaming import ingest
 from ..streaming.replay import EventLog
 from .queries import BLOCK, CHUNK, CONTAINER, _chunks, _index, _items, _packed, _state, _stored, query
 
@@ -121,6 +122,17 @@ def block_read(spark, d):
     return blocks.read_blocks(i.select("block_id"), session, aux, main, BLOCK)
 
 
+@query(X + "SELECT block_id, CASE WHEN bool_or(fp >= 'fe') THEN NULL ELSE sum(item_size)::BIGINT END AS bytes FROM items GROUP BY block_id")
+def block_read_by_address(spark, d):
+    """Every block read from its items' addresses; chunks from fe on are stored at another one, so what holds them cannot be read."""
+    c = _chunks(spark, d)
+    place = F.pmod(F.crc32(F.col("fp").cast("binary")), F.lit(7))
+    items = mapping.block_items(c, BLOCK).withColumn("data_address", place)
+    stored = _stored(c).withColumn("data_address", place + (F.col("fp") >= "fe").cast("long"))
+    ranges = items.groupBy("block_id").agg(F.min("item_start").alias("lo"), F.max(F.col("item_start") + F.col("item_size")).alias("hi"))
+    return mapping.read_range(items, stored, ranges).select("block_id", F.floor(F.length("data") / 2).alias("bytes"))
+
+
 @query(_TIERS + """, asked AS (SELECT DISTINCT write_seq // 2 AS block_id FROM w), aux AS (SELECT block_id, fp FROM upd WHERE block_id % 3 = 0),
        held AS (SELECT * FROM aux UNION ALL SELECT block_id, fp FROM prev WHERE block_id NOT IN (SELECT block_id FROM aux)),
        s AS (SELECT block_id, CASE WHEN block_id % 7 = 0 THEN 'volatile' WHEN block_id IN (SELECT block_id FROM held) THEN 'deleted' ELSE 'not_found' END AS outcome FROM asked),
@@ -420,6 +432,20 @@ def volume_dump(spark, d):
     return out.select("volume_id", "offset", "size", F.sha1(F.unhex("data")).alias("digest"))
 
 
+@query(_REQUESTS + """, s AS (SELECT write_seq, off, total FROM q WHERE volume_id = 1 AND off + total <= 400 * 16777216::BIGINT)
+       SELECT 'taken' AS what, count(*) AS rows FROM chunks WHERE write_seq IN (SELECT write_seq FROM s) UNION ALL SELECT 'refused', count(*) FROM q WHERE NOT (volume_id = 1 AND off + total <= 400 * 16777216::BIGINT)""")
+def stream_ingest_checked(spark, d):
+    """Writes that arrive as a stream are checked against their volumes: what is out of range, or for a volume that takes nothing, is refused and leaves no item."""
+    both = tables.writes(spark, d).unionByName(tables.page_writes(spark, d))
+    both = both.withColumn("volume_id", F.when(F.col("write_seq") % 50 == 49, 3).otherwise(F.col("volume_id")))
+    where = folder(spark, "checked")
+    _, items = ingest.ingest(ingest.staged(both, where, "write_seq"), where, CHUNK, BLOCK, _volumes(spark))
+    taken = items.select("write_seq", "chunk_no").distinct()
+    refused = spark.read.parquet(f"{where}/refused")
+    count = lambda rows, what: rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(what).alias("what"), "rows")
+    return count(taken, "taken").unionByName(count(refused, "refused"))
+
+
 # Containers
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking, dedup, mapping
+from ..operators import chunking, dedup, mapping, volumes
 from .replay import nothing_there, table
 
 log = logging.getLogger(__name__)
@@ -20,8 +20,9 @@ INDEX = "fp string, first_seq long, first_no long, size long, usage_count long"
 PREFIX = 1  # hex digits of a fingerprint that name a part of the index
 
 
-def ingest(writes: DataFrame, folder: str, chunk_size: int, block_size: int) -> tuple[DataFrame, DataFrame]:
-    """Drains a stream of writes; returns the chunk index and the block items.
+def ingest(writes: DataFrame, folder: str, chunk_size: int, block_size: int, known_volumes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drains a stream of writes; returns the chunk index and the block items. With ``known_volumes`` (volume_id, logical_size, maintenance) only
+    requests that their volume takes are stored; the others go to ``folder``/refused with what they met.
 
     Each batch chunks its requests, adds the fingerprints that the index of earlier batches lacks, and its block items. All outputs
     of a batch lie under its number and replace themselves, so a batch repeated after a lost driver changes nothing; ``folder`` holds
@@ -31,6 +32,10 @@ def ingest(writes: DataFrame, folder: str, chunk_size: int, block_size: int) ->
     prefix = F.substring("fp", 1, PREFIX)
 
     def apply(batch: DataFrame, number: int) -> None:
+        if known_volumes is not None:
+            state = volumes.check_requests(batch, known_volumes)
+            state.where("state <> 'ok'").write.mode("overwrite").parquet(f"{folder}/refused/batch={number}")
+            batch = batch.join(state.where("state = 'ok'").select("volume_id", "write_seq"), ["volume_id", "write_seq"], "left_semi")
         chunks = chunking.static_chunks(batch, chunk_size)
         own = dedup.chunk_index(chunks).withColumn("prefix", prefix)
         known = table(spark, f"{folder}/index", f"{INDEX}, batch long, prefix string").where(F.col("batch") < number)
