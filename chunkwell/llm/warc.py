@@ -154,7 +154,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     draft, lines, at, n = f"{name}.{context.taskAttemptId()}", [], 0, 0
     out = zip_ = member = None
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(len(batch)):  # one row's page at a time, not a batch's
+            row = {field: column[k].as_py() for field, column in zip(batch.schema.names, batch.columns, strict=True)}
             if out is None:
                 out = system.open_output_stream(draft)
                 zip_ = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
