@@ -12,7 +12,7 @@ from operator import add
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -84,6 +84,15 @@ def discard(*tables: DataFrame) -> None:
             log.info("%s stays: %s", path, ex)
 
 
+def first_rows(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """One row, with all its columns as they are, for each (id, sha) of ``kept``: of the rows with that doc_id, null or not, and that ``digest`` of their text."""
+    # The row travels as one value, so that no column of it can clash with those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), digest.alias("digest"))
+    got = rows.join(kept, F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc", "digest").orderBy(F.lit(0)))  # rows that are equal in both
+    return got.withColumn("nth", nth).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df`` reads; where it is not read from files, the bytes of its strings, counted, and 8 for each other value."""
     try:

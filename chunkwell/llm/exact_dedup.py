@@ -19,10 +19,10 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, written
+from .common import SPACE_CLASS, first_rows, written
 
 BLOCK = 8192
 
@@ -120,8 +120,5 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of equal texts, with its columns."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    got = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("doc_id"))  # rows that repeat an id
-    return got.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    kept = groups(docs).where("kept").select(F.col("doc_id").cast("long").alias("id"), F.col("text_sha256").alias("sha"))
+    return first_rows(docs, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256), kept)

@@ -19,7 +19,8 @@ and a group of any size is spread over as many tasks as it needs.
 
 Nulls and edge cases: a null text is empty. Texts without words are copies of each other and link to
 nothing else; texts of one to four words have one n-gram, all their words. Rows may repeat ids or be equal, each gets a
-row in the result. An empty table gives an empty result. Further columns are ignored.
+row in the result. An empty table gives an empty result. Further columns are ignored. ``stage`` keeps one row of each class
+with all its columns: the one of the smallest id, rows without an id last; rows of one id, or none, are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, first_rows, written
 
 N = 5
 THRESHOLD = 0.8
@@ -357,8 +358,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, one with the smallest id, with its columns; rows without an id, or of one id, are told apart by their texts."""
-    kept = _classed(docs, THRESHOLD, TOLERANCE)[2].select(F.col("first.doc_id").alias("_id"), F.col("first.sha").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", _sha(F.col("text")))
-    got = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))  # equal rows
-    return got.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    kept = _classed(docs, THRESHOLD, TOLERANCE)[2].select(F.col("first.doc_id").alias("id"), F.col("first.sha").alias("sha"))
+    return first_rows(docs, _sha(F.col("text")), kept)

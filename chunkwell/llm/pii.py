@@ -323,11 +323,14 @@ def redact(text: str) -> str:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced in ``text``; ``n_chars`` follows. Other columns pass."""
 
+    names, at = docs.columns, docs.columns.index("text")
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t if t is None else redact(t) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else redact(t) for t in (x.as_py() for x in columns[at])], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(clean, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names with dots cannot be handed over
+    out = numbered.mapInArrow(clean, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -154,6 +154,6 @@ def verdicts(docs: DataFrame, policy: str = "web-1") -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps, with their columns; the ledger is computed beside the row, so there is no join."""
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col("doc_id"), F.col("text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("text"))
     kept = apply_policy(ledger(row, keep=("_row",)), "web-1").where("kept")
-    return kept.select(*[F.col("_row")[c].alias(c) for c in names])
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes what a stage returns as Parquet
 and reads it again as the next one's documents, so a lost executor never sends a later stage back further than its input. All stages but
 the last return the columns of ``documents``.
+
+Nulls and edge cases: a null text is empty and fails the quality rules; rows without an id, or that share one, are told apart by their texts, and none is
+lost for its id: of equal texts, and of each class of near copies, the row of the smallest id stays (rows without an id last, then by a digest of the text). An
+empty table gives an empty result; further columns, clashing names included, pass through to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwell.llm import exact_dedup, ngram_join, packing, pii, quality
-from chunkwell.llm.common import shared_dir
+from chunkwell.llm.common import save, shared_dir
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -30,7 +34,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/chunkwell/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = save(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
     return docs

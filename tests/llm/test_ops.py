@@ -813,6 +813,18 @@ def test_fill_balances_cost(rooms):
 # Pipeline
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.stage, ngram_join.stage, pii.stage, quality.stage])
+def test_stages_leave_other_columns_alone(spark, stage):
+    """Whatever the columns are called: none of them is read, written over or lost."""
+    names = ["id", "sha", "digest", "doc", "row", "nth", "rid", "_sha", "_id", "_row", "_m", "n_words", "kept", "failed_rules", "first", "comp", "batch", "a.b", "text_sha256"]
+    rows = [(k, prose(k, 40), *[f"{n}-{k}" for n in names]) for k in range(4)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted({tuple(r) for r in out.collect()}) == sorted(rows)
+    assert stage(spark, df.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Exactly the rows that the plain rules leave: with ids that are null, repeated and equal, and texts that are."""
     pipeline = pytest.importorskip("corpus_pipeline")
