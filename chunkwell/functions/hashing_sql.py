@@ -94,3 +94,52 @@ def xx64(source: str, key: str, keep: str, seed: int, out: str) -> str:
 def signed(x: str, bits: int = 64) -> str:
     """An unsigned number of a name as a signed one."""
     return f"(CASE WHEN {x} >= {2 ** (bits - 1)} THEN {x}::HUGEINT - {2**bits} ELSE {x}::HUGEINT END)::BIGINT"
+
+
+def _fraction_bits(n: int, root: int) -> int:
+    """The first 64 bits behind the point of a root of n."""
+    scaled = n << 64 * root
+    low, high = 0, 1 << 64 + n.bit_length()
+    while high - low > 1:  # the integer root
+        middle = (low + high) // 2
+        low, high = (middle, high) if middle**root <= scaled else (low, middle)
+    return low % M64
+
+
+def _primes(count: int) -> list[int]:
+    found: list[int] = []
+    n = 2
+    while len(found) < count:
+        if all(n % p for p in found):
+            found.append(n)
+        n += 1
+    return found
+
+
+def sha512(source: str, keep: str, data: str, size: str) -> str:
+    """CTEs that end in ``digest`` (keep, sha512): SHA-512 of the bytes that the hex string ``data`` spells, a round at a time for all rows at once."""
+    right = lambda x, n: f"(({x} >> {n}) | (({x} & {2**n - 1}::UBIGINT) << {64 - n}))"
+    xor3 = lambda a, b, c: f"xor(xor({a}, {b}), {c})"
+    big = lambda x: xor3(*(right(x[0], n) for n in x[1]))
+    small = lambda x, a, b, s: xor3(right(x, a), right(x, b), f"({x} >> {s})")
+    begin = [_fraction_bits(p, 2) for p in _primes(8)]
+    keys = "[" + ", ".join(f"{_fraction_bits(p, 3)}::UBIGINT" for p in _primes(80)) + "]"
+    names = "abcdefgh"
+    add = lambda *x: "((" + " + ".join(f"({y})::UHUGEINT" for y in x) + f") & {M64 - 1}::UHUGEINT)::UBIGINT"
+    choice = f"xor(e & f, xor(e, {M64 - 1}::UBIGINT) & g)"
+    most = "xor(xor(a & b, a & c), b & c)"
+    word = f"CASE WHEN t < 16 THEN m[blk * 16 + t + 1] ELSE {add(small('w[15]', 19, 61, 6), 'w[10]', small('w[2]', 1, 8, 7), 'w[1]')} END"
+    first = add("h", big(("e", (14, 18, 41))), choice, f"({keys})[t + 1]", "x")
+    second = add(big(("a", (28, 34, 39))), most)
+    new = {"a": add("t1", "t2"), "b": "a", "c": "b", "d": "c", "e": add("d", "t1"), "f": "e", "g": "f", "h": "g"}
+    last = {n: f"CASE WHEN t = 79 THEN {add(f'n{n}', f's[{k + 1}]')} ELSE n{n} END" for k, n in enumerate(names)}
+    sums = "[" + ", ".join(add(f"n{n}", f"s[{k + 1}]") for k, n in enumerate(names)) + "]"
+    begins = ", ".join(f"{v}::UBIGINT" for v in begin)
+    return f"""
+sha0 AS (SELECT {keep}, {data} || '80' || repeat('0', ((2 * (112 - ({size} + 1) % 128 + CASE WHEN ({size} + 1) % 128 > 112 THEN 128 ELSE 0 END)))::INT) || lpad(to_base({size} * 8, 16), 32, '0') AS hx FROM {source}),
+sha1_ AS (SELECT {keep}, list_transform(range(0, length(hx) // 16), lambda i: ('0x' || substr(hx, 16 * i + 1, 16))::UBIGINT) AS m FROM sha0),
+sha2 AS (SELECT {keep}, m, len(m) // 16 AS blocks, 0 AS blk, 0 AS t, []::UBIGINT[] AS w, [{begins}] AS s, {", ".join(f"{v}::UBIGINT AS {n}" for n, v in zip(names, begin, strict=True))} FROM sha1_
+         UNION ALL SELECT {keep}, m, blocks, CASE WHEN t = 79 THEN blk + 1 ELSE blk END, (t + 1) % 80, CASE WHEN t = 79 THEN [] WHEN t < 16 THEN list_append(w, x) ELSE list_append(w[2:], x) END,
+                CASE WHEN t = 79 THEN {sums} ELSE s END, {", ".join(f"{last[n]}" for n in names)}
+         FROM (SELECT *, {", ".join(f"{new[n]} AS n{n}" for n in names)} FROM (SELECT *, {first} AS t1, {second} AS t2 FROM (SELECT *, {word} AS x FROM sha2 WHERE blk < blocks)))),
+digest AS (SELECT {keep}, {" || ".join(f"lpad(lower(hex(s[{k + 1}])), 16, '0')" for k in range(8))} AS sha512 FROM sha2 WHERE blk = blocks)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RabinOptions
-from ..functions import rabin_sql
+from ..functions import hashing_sql, rabin_sql
 from ..functions.fingerprints import block_id, fingerprint, is_anchor, zero_rewrite
 from ..operators import chunking, containers, dedup, events, mapping, storage
 from ..sources import tables
@@ -88,7 +88,7 @@ def fingerprints(spark, d):
     return c.select("write_seq", "chunk_no", *[fingerprint(F.col("chunk"), k).alias(k) for k in ("md5", "sha1", "sha256")])
 
 
-@query()
+@query("," + hashing_sql.sha512("chunks", "write_seq, chunk_no", "hex(piece)", "size") + " SELECT write_seq, chunk_no, sha512 FROM digest")
 def fp_sha512(spark, d):
     return _chunks(spark, d).select("write_seq", "chunk_no", fingerprint(F.col("chunk"), "sha512").alias("sha512"))
 
