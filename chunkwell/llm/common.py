@@ -88,7 +88,7 @@ def first_rows(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
     """One row, with all its columns as they are, for each (id, sha) of ``kept``: of the rows with that doc_id, null or not, and that ``digest`` of their text."""
     # The row travels as one value, so that no column of it can clash with those used here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), digest.alias("digest"))
-    got = rows.join(kept, F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left_semi")
+    got = rows.join(kept.hint("merge"), F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc", "digest").orderBy(F.lit(0)))  # rows that are equal in both
     return got.withColumn("nth", nth).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
@@ -113,17 +113,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of each node of ``edges`` (a, b): the smallest node of its connected component.
 
     Minimum labels spread over the edges, then each label takes the label of its own node (pointer jumping), until none
-    changes; one count a round comes to the driver. Aggregates are partial and the joins can be split, so hubs do no harm. A
-    round's tables are deleted once the next has been written.
+    changes; one flag a round comes to the driver. Aggregates are partial and the joins can be split, so hubs do no harm; they are
+    merged at every size, so no table goes through the driver. A round's tables are deleted once the next has been written.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        nearer = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
+        seen = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
+        nearer = labels.join(seen.hint("merge"), labels["node"] == seen["a"]).select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
         nearer = written(nearer, f"{name}-near")
         own = nearer.select(F.col("node").alias("via"), F.col("label").alias("to"))
-        after = written(nearer.join(own, nearer["label"] == own["via"]).select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")), f"{name}-labels")
+        after = written(nearer.join(own.hint("merge"), nearer["label"] == own["via"]).select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")), f"{name}-labels")
         discard(nearer, labels)
         labels = after
         if not labels.agg(F.coalesce(F.max("moved"), F.lit(False))).first()[0]:

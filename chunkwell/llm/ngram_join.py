@@ -17,6 +17,9 @@ cut into blocks, and each pair of blocks is a unit of its own. A unit's pairs
 live in arrays of its worker; what it returns is one row a text. So no pair is ever a row,
 and a group of any size is spread over as many tasks as it needs.
 
+All joins but that with the bitmaps are merged, by hint: Spark sizes a table before it has run, takes a list of bands for a few bytes, and would send
+millions of them through the driver.
+
 Nulls and edge cases: a null text is empty. Texts without words are copies of each other and link to
 nothing else; texts of one to four words have one n-gram, all their words. Rows may repeat ids or be equal, each gets a
 row in the result. An empty table gives an empty result. Further columns are ignored. ``stage`` keeps one row of each class
@@ -237,7 +240,7 @@ def _star_edges(keyed: DataFrame) -> DataFrame:
     """keyed (rid, key) -> edges (a, b) between rows that share a key, by way of each key's smallest row."""
     stars = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A text meets many hubs. It is linked to the smallest, and so are the other hubs, which many texts share: the same components from fewer edges.
-    hubs = keyed.join(stars, "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    hubs = keyed.join(stars.hint("merge"), "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
     return hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
 
 
@@ -304,7 +307,7 @@ def _sized(members: DataFrame) -> DataFrame:
     """members (rid, comp, n_grams, ...) with ``blocks``, the number of blocks that their component is cut into."""
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
     sizes = sizes.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("long").alias("blocks"))
-    return members.join(sizes, "comp")
+    return members.join(sizes.hint("merge"), "comp")
 
 
 def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -317,14 +320,14 @@ def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     texts = written(
         sketches.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "sha", "n_grams")).alias("s"), first, F.count(F.lit(1)).alias("n_copies")).select("digest", "s.*", "first", "n_copies"), "texts"
     )
-    bands = sketches.join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
+    bands = sketches.join(texts.select("rid").hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
     members = components(_star_edges(bands), "near").select(F.col("node").alias("rid"), F.col("label").alias("comp"))
 
     known_texts = texts.select("rid", "doc_id", "sha", "digest", "n_grams")
-    placed = written(_sized(members.join(known_texts, "rid")), "members")
+    placed = written(_sized(members.hint("merge").join(known_texts, "rid")), "members")
     if not placed.where("blocks > 1").isEmpty():
         finer = _finer(placed.where("blocks > 1"), docs, threshold)
-        finer = finer.join(known_texts, "rid").select("rid", "comp", "doc_id", "sha", "digest", "n_grams")
+        finer = finer.hint("merge").join(known_texts, "rid").select("rid", "comp", "doc_id", "sha", "digest", "n_grams")
         whole = placed.where("blocks = 1").select("rid", "comp", "doc_id", "sha", "digest", "n_grams")
         placed = written(_sized(whole.unionByName(finer)), "finer-members")
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(rid), blocks)"))
@@ -341,7 +344,7 @@ def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     )
     links = verified.groupBy("rid").agg(F.sum("n_links").alias("n_links"))
     joined = components(verified.where("rid <> to").select(F.col("rid").alias("a"), F.col("to").alias("b")), "classes")
-    known = texts.join(links, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
+    known = texts.join(links.hint("merge"), "rid", "left").join(joined.withColumnRenamed("node", "rid").hint("merge"), "rid", "left")
     known = known.select("digest", "first", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "rid").alias("label"))
     lowest = known.groupBy("label").agg(F.min("first").alias("first"))
     return sketches, known.withColumn("copy_id", F.col("first.doc_id")).drop("first"), lowest
@@ -352,8 +355,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     above the threshold; copy_id, the smallest doc_id with the same words; n_copies, rows with the same words.
     """
     sketches, known, lowest = _classed(docs, threshold, tolerance)
-    classes = known.join(lowest.select("label", F.col("first.doc_id").alias("class_id")), "label").drop("label")
-    return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    classes = known.join(lowest.select("label", F.col("first.doc_id").alias("class_id")).hint("merge"), "label").drop("label")
+    return sketches.select("doc_id", "digest").join(classes.hint("merge"), "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

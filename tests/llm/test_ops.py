@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from chunkwell.llm import exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc  # noqa: E402
+from chunkwell.llm import common, exact_dedup, html_text, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc  # noqa: E402
 from chunkwell.llm import sentencepiece_scan as sp  # noqa: E402
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -558,6 +558,21 @@ def test_rare_first_shares_a_gram_at_the_threshold(seed):
             assert len(np.intersect1d(ngram_join.rare_first(a, counts, 0.8), ngram_join.rare_first(b, counts, 0.8)))
 
 
+def test_joins_of_the_near_stage_send_no_table_through_the_driver(spark, monkeypatch):
+    """Spark takes a list of 32 bands for a few bytes, so it broadcast millions of them; only the bitmaps of fixed size may go."""
+    plans, save = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, path))
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 8)
+    shared = prose(91, 60)
+    rows = [(k, f"{shared} {prose(1200 + k, 25 + k)}") for k in range(30)] + [(None, f"{prose(1300, 50)} {k % 2}") for k in range(6)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for out in (ngram_join.stage(spark, df, ""), ngram_join.near_classes(df)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for p in plans for line in p.split("\n") if re.search("BroadcastHashJoin|BroadcastNestedLoopJoin|ShuffledHashJoin|SortMergeJoin", line)]
+    sent = [line for line in joins if "SortMergeJoin" not in line]
+    assert len(joins) > 20 and sent and all("_part" in line for line in sent), sent
+
+
 def test_rows_without_an_id_meet_their_own_text_only(spark):
     """10,000 rows without an id: a join on the id alone would make 10^8 pairs of them."""
     texts = [f"w{k} a{k % 97} b{k % 89} c{k % 83} d{k % 79} e{k} f{k} g{k}" for k in range(9000)]
