@@ -17,6 +17,9 @@ have equal keys. Neighbouring windows mostly share their key, so what travels ar
    earliest windows and passes on only these, so that a key's bucket gets one run for each group, not for each batch.
 5. Marks return to their batch, where covered bytes are counted and the rest is hashed.
 
+All of it is one query, so the documents are shuffled once and all steps read that exchange; were it cut in two, each half would shuffle them, and the first one's shuffle files
+might be there still.
+
 A window's content is sent once per batch at most, however often it occurs, so a passage in a third of all documents loads no task.
 Without the cut, the windows over its ends, or over a frequent phrase below 100 bytes, would
 send another run for each document, as each has other bytes beside it. Batches and buckets grow in number, not in size; a long
@@ -34,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import parts
 
 LENGTH = 100
 GRAM = 40
@@ -435,9 +439,9 @@ def _pieces(docs: pa.Table, known: pa.Table, buckets: int, group: int) -> pa.Tab
 FOUND = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("marks", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
 
 
-def _found(table: pa.Table, last: bool) -> pa.Table:
-    """Of the runs of a bucket, or of a part of one: marks (places of windows that also start earlier) by batch, and, unless this is the ``last`` word, the
-    runs of windows that are the earliest here.
+def _found(table: pa.Table, buckets: int, last: bool = False) -> pa.Table:
+    """Of the runs of a bucket, or of a part of one: marks (places of windows that also start earlier) by batch, in a bucket that the batch's number names, and,
+    unless this is the ``last`` word, the runs of windows that are the earliest here.
     """
     bucket, passed = table.column("bucket")[0].as_py(), not last and table.column("part")[0].as_py() != WHOLE
     marks: dict[int, list[int]] = {}
@@ -475,10 +479,24 @@ def _found(table: pa.Table, last: bool) -> pa.Table:
                 for x, y in _stretches(~hit):
                     places += (*name, start + x, y - x)
                     bodies.append(piece[x : y + LENGTH - 1])
-    rows = [(bucket, b, _packed(m), b"", b"") for b, m in marks.items() if m]
+    rows = [(b % buckets, b, _packed(m), b"", b"") for b, m in marks.items() if m]
     return _table(rows + [(bucket, b, b"", _packed(p), b"".join(t)) for b, (p, t) in on.items() if p], FOUND)
 
 
+MARKS = pa.schema([("batch", pa.int64()), ("marks", pa.binary())])
+
+
+def _settled(table: pa.Table, buckets: int) -> pa.Table:
+    """All marks: those that are known, and those among the runs that the parts of a bucket have passed on."""
+    known = table.filter(pc.greater(pc.binary_length(table.column("marks")), 0)).select(MARKS.names).cast(MARKS)
+    on = table.filter(pc.greater(pc.binary_length(table.column("places")), 0))
+    if not len(on):
+        return known
+    none, whole = pa.array([b""] * len(on), pa.binary()), pa.array([WHOLE] * len(on), pa.int64())
+    sent = pa.Table.from_arrays([on.column("bucket"), whole, on.column("batch"), on.column("places"), none, on.column("bytes")], names=PIECES.names)
+    return pa.concat_tables([known, _found(sent, buckets, True).select(MARKS.names)])
+
+
 def _stretches(hit: np.ndarray) -> list[list[int]]:
     return np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2).tolist() if hit.any() else []
 
@@ -526,10 +544,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT, gro
     both = known.unionByName(again, allowMissingColumns=True)
     pieces = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(lambda d, k: _pieces(d, k, buckets, group), SENT)
     found = "bucket long, batch long, marks binary, places binary, bytes binary"
-    by_part = written(pieces.groupBy("bucket", "part").applyInArrow(lambda t: _found(t, False), found), "found")
-    on = by_part.where("octet_length(places) > 0").select("bucket", F.lit(WHOLE).cast("long").alias("part"), "batch", "places", F.unhex(F.lit("")).alias("repeats"), "bytes")
-    last = on.groupBy("bucket").applyInArrow(lambda t: _found(t, True), found)
-    marks = by_part.unionByName(last).where("octet_length(marks) > 0").select("batch", "marks")
+    by_part = pieces.groupBy("bucket", "part").applyInArrow(lambda t: _found(t, buckets), found)
+    marks = by_part.groupBy("bucket").applyInArrow(lambda t: _settled(t, buckets), "batch long, marks binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     cut = dealt.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda d, m: _removed(d, m, with_text), schema)
     raw, none = F.encode("text", "UTF-8"), F.lit(0).cast("long")

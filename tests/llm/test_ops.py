@@ -231,6 +231,19 @@ def test_long_texts_in_slices_and_hot_keys_in_groups(spark, monkeypatch, hot, gr
     assert {(n, k) for n, k in windows_of(batch)} == whole
 
 
+@pytest.mark.parametrize(("hot", "group"), [(0, 1), (suffix_dedup.HOT, suffix_dedup.GROUP)])
+def test_documents_are_shuffled_once(spark, monkeypatch, hot, group):
+    """By the exchanges in the plans of all queries that it takes; cut in two by a table, each half shuffled the documents."""
+    queries, save = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, path: queries.append(df) or save(df, path))
+    rows = [(k, f"{prose(600 + k, 40)} {prose(9, 40)}") for k in range(30)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, group=group)
+    out.collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in [*queries, out]]
+    shuffles = [line for p in plans for line in p.split("\n") if re.search(r"[- ]Exchange hashpartitioning\(batch#", line) and "REPARTITION_BY_NUM" in line and "Reused" not in line]
+    assert len(shuffles) == 1, shuffles
+
+
 def windows_of(batch):
     """(name, start) of every window that the runs of a batch hold, each once."""
     out = []
