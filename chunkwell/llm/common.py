@@ -109,6 +109,11 @@ def parts(df: DataFrame, mb: float, least: int | None = None) -> int:
     return max(least, min(1 << 20, int(input_bytes(df) / (mb * 1e6)) + 1))
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df``, aggregated by the number ``key``, as the side of a join: computed once more, the key is dealt out once more, and Spark splits a large partition only of what was dealt out for the join itself."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long"))).hint("merge")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of each node of ``edges`` (a, b): the smallest node of its connected component.
 

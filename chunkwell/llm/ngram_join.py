@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, first_rows, written
+from .common import components, dealt_anew, first_rows, written
 
 N = 5
 THRESHOLD = 0.8
@@ -240,7 +240,7 @@ def _star_edges(keyed: DataFrame) -> DataFrame:
     """keyed (rid, key) -> edges (a, b) between rows that share a key, by way of each key's smallest row."""
     stars = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A text meets many hubs. It is linked to the smallest, and so are the other hubs, which many texts share: the same components from fewer edges.
-    hubs = keyed.join(stars.hint("merge"), "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    hubs = keyed.join(dealt_anew(stars, "key"), "key").groupBy("rid").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
     return hubs.select(F.explode(F.array_union("hubs", F.array("rid"))).alias("a"), "b").where("a <> b").distinct()
 
 
@@ -307,7 +307,7 @@ def _sized(members: DataFrame) -> DataFrame:
     """members (rid, comp, n_grams, ...) with ``blocks``, the number of blocks that their component is cut into."""
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
     sizes = sizes.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("long").alias("blocks"))
-    return members.join(sizes.hint("merge"), "comp")
+    return members.join(dealt_anew(sizes, "comp"), "comp")
 
 
 def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -355,7 +355,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     above the threshold; copy_id, the smallest doc_id with the same words; n_copies, rows with the same words.
     """
     sketches, known, lowest = _classed(docs, threshold, tolerance)
-    classes = known.join(lowest.select("label", F.col("first.doc_id").alias("class_id")).hint("merge"), "label").drop("label")
+    classes = known.join(dealt_anew(lowest.select("label", F.col("first.doc_id").alias("class_id")), "label"), "label").drop("label")
     return sketches.select("doc_id", "digest").join(classes.hint("merge"), "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
